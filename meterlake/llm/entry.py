@@ -6,19 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import mixing, mixing_sql
+from meterlake.llm import ann, mixing, mixing_sql, warc
 from meterlake.llm.common import table
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors for every vector whose id is divisible by 20."""
+    vectors = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to the sources' targets."""
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op9_mix_sources": op9_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_nearest_neighbours": ann.NEAREST_SQL,
     "op9_mix_sources": mixing_sql.MIX,
 }
