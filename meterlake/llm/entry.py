@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, mixing, mixing_sql, warc
+from meterlake.llm import ann, minhash, mixing, mixing_sql, warc
 from meterlake.llm.common import table
 
 
@@ -26,13 +26,20 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, on sets of two-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op9_mix_sources": op9_mix_sources,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_nearest_neighbours": ann.NEAREST_SQL,
     "op9_mix_sources": mixing_sql.MIX,
+    "op10_near_duplicates": minhash.NEAR_SQL,
 }
