@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, minhash, mixing, mixing_sql, warc
+from meterlake.llm import ann, langid, minhash, mixing, mixing_sql, warc
 from meterlake.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to WARC archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -32,6 +37,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op9_mix_sources": op9_mix_sources,
