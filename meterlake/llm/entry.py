@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, langid, minhash, mixing, mixing_sql, warc
+from meterlake.llm import ann, cws, langid, minhash, mixing, mixing_sql, urlfilter, warc
 from meterlake.llm.common import table
 
 
@@ -26,6 +26,16 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return cws.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the url of every page."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to the sources' targets."""
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
@@ -40,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_url_filter": op7_url_filter,
     "op9_mix_sources": op9_mix_sources,
     "op10_near_duplicates": op10_near_duplicates,
 }

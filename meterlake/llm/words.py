@@ -47,6 +47,6 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def whole_numbers(values: pd.Series) -> pd.array:
+def whole_numbers(values) -> pd.array:
     """Integers, null or not, from a column that came as strings: pandas would make floats of integers with nulls."""
     return pd.array([None if x is None else int(x) for x in values], "Int64")
