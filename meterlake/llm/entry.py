@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, cws, langid, minhash, mixing, mixing_sql, urlfilter, warc
+from meterlake.llm import ann, cws, htmltext, langid, minhash, mixing, mixing_sql, urlfilter, warc
 from meterlake.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to the sources' targets."""
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_fingerprints": op6_fingerprints,
     "op7_url_filter": op7_url_filter,
+    "op8_main_text": op8_main_text,
     "op9_mix_sources": op9_mix_sources,
     "op10_near_duplicates": op10_near_duplicates,
 }
