@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, cws, htmltext, langid, minhash, mixing, mixing_sql, urlfilter, warc
+from meterlake.llm import ann, cws, htmltext, langid, minhash, mixing, mixing_sql, suffixdedup, urlfilter, warc
 from meterlake.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words or more that earlier documents hold."""
+    return suffixdedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to WARC archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -53,6 +58,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_fingerprints": op6_fingerprints,
