@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, cws, htmltext, langid, minhash, mixing, mixing_sql, suffixdedup, urlfilter, warc
+from meterlake.llm import ann, cws, htmltext, langid, minhash, mixing, mixing_sql, packing, suffixdedup, urlfilter, warc
 from meterlake.llm.common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -57,6 +62,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
     "op3_repeated_passages": op3_repeated_passages,
     "op4_warc_round_trip": op4_warc_round_trip,

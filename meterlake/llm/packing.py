@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,9 @@ K1, B = 1.2, 0.75
 QUERY_TERMS, RETRIEVED = 24, 64
 #: A shard is closed at this many documents or tokens.
 SHARD_DOCS, SHARD_TOKENS = 4096, 4 << 20
-CACHE_WORDS = 400_000
-_MARKS = frozenset(".,;:!?")
+#: Words and cores that a task remembers; beyond these it starts anew.
+KNOWN_WORDS, KNOWN_CORES = 700_000, 500_000
+_MARKS = frozenset(b".,;:!?")
 
 
 def default_tokenizer() -> str:
@@ -34,8 +36,9 @@ class WordTokenizer:
     """Ids of whole texts, word by word, each distinct word being tokenized once.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words
-    in turn. A final mark is never joined to letters before it, and ASCII letters are lower-cased
-    by the tokenizer itself, so words that differ in these alone share their core's ids.
+    in turn. A final mark is never joined to letters before it, so words that differ in it share
+    their core's ids. It lower-cases; for ASCII that is done before words are told apart, but not in
+    texts that might hold a special token in capitals.
     """
 
     def __init__(self, path: str):
@@ -44,51 +47,31 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    @staticmethod
-    def _core(word: str) -> tuple[str, str]:
-        """(core, final mark): the ids of a word are those of both in turn."""
-        body, mark = (word[:-1], word[-1]) if word[-1] in _MARKS else (word, "")
-        if not body.isalpha():
-            return word, ""
-        return (body.lower() if body.isascii() else body), mark
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        if len(self.cores) > CACHE_WORDS:
-            self.cores = {}
-        new = [w for w in words if w not in self.known]
-        parts = [self._core(w) for w in new]
-        missing = [c for c in {x for p in parts for x in p if x} if c not in self.cores]
-        for core, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self.cores[core] = np.array(found.ids, "<u2").tobytes()
-        self.cores[""] = b""
-        for word, (core, mark) in zip(new, parts):
-            self.known[word] = self.cores[core] + self.cores[mark]
+        self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {b"": b""}
+
+    def learn(self, words: set[bytes]) -> None:
+        marks, cores = _MARKS, self.cores
+        parts = [(w[:-1], w[-1:]) if w[-1] in marks and (w[:-1].isalpha() or not w.isascii() and w[:-1].decode().isalpha()) else (w, b"") for w in words]
+        missing = list({x for p in parts for x in p} - cores.keys())
+        for core, found in zip(missing, self.tokenizer.encode_batch_fast([m.decode() for m in missing], add_special_tokens=False)):
+            cores[core] = array("H", found.ids).tobytes()
+        self.known.update(zip(words, [cores[core] + cores[mark] for core, mark in parts]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, END_ID last; null is empty."""
-        split = [(t or "").split() if (t or "").isascii() else _ascii_split(t) for t in texts]
-        wanted = set().union(*split) if split else set()
-        if not wanted <= self.known.keys():
-            if len(self.known) + len(wanted) > CACHE_WORDS:
-                self.known = {}
-            self.learn(wanted)
-        end = np.array([END_ID], "<u2").tobytes()
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        wanted = set().union(*split) - self.known.keys()
+        if len(self.known) + len(wanted) > KNOWN_WORDS:
+            self.known, wanted = {}, set().union(*split)
+        if len(self.cores) > KNOWN_CORES:
+            self.cores = {b"": b""}
+        self.learn(wanted)
+        end = array("H", [END_ID]).tobytes()
         return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
 
 
-def _ascii_split(text: str) -> list[str]:
-    """Words between ASCII white space, which is where every tokenizer parts a text."""
-    return [w for w in text.translate(_SPACES).split(" ") if w]
-
-
-_SPACES = dict.fromkeys(range(9, 14), " ")
-
-
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id as a string, ids): one row per document."""
 
