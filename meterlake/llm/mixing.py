@@ -111,10 +111,18 @@ def shuffled_blocks(docs: DataFrame, targets: DataFrame, block_words: int = BLOC
     return placed.select("doc_id", "source", "size", "copy", "sid", "epoch", "block", (low - F.col("first")).alias("start"), (high - low).alias("length"))
 
 
+def words_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with copy, which numbers those that agree in doc_id, source and size."""
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words of the text; null: 0), copy (numbers rows that agree in all three)."""
-    sized = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    return sized.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")))
+    return numbered(docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words_of(docs["text"]).alias("size")))
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,3 +147,25 @@ def mix_summary(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int
     taken = sized.select(*keys, F.lit(0).cast("long").alias("length")).unionByName(mixture.select(*keys, "length")).groupBy(*keys).agg(F.sum("length").alias("taken"))
     goals = targets.select(F.col("source").alias("of"), "source_size", "target")
     return taken.join(goals, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _row_key() -> Column:
+    """What tells measured documents apart, without nulls."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("doc_id", "source", "size")]
+    return F.concat_ws("|", *parts, F.col("copy").cast("string"))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mixture as documents with the same columns: a row for every time that a document is taken.
+
+    A source's last document may be taken in part: then its text is the words taken, with single
+    spaces, and n_chars, where there is such a column, their length.
+    """
+    _, _, mixture = mix(docs, block_words, max_epochs)
+    took = mixture.withColumn("key", _row_key()).groupBy("key", "epoch").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.first("size").alias("size"))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words_of(docs["text"]).alias("size"))
+    keyed = numbered(whole).withColumn("key", _row_key()).select("d", "key")
+    part = F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(f"({WORD})")), F.col("start").cast("int") + 1, F.col("length").cast("int")), " ")
+    out = keyed.join(took, "key").withColumn("cut", F.col("length") < F.col("size")).withColumn("text", F.when(F.col("cut"), part).otherwise(F.col("d.text")))
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text")).otherwise(F.col("d.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"d.{c}") for c in docs.columns))
