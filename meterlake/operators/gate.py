@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.scalar import ipv4_number
 
-#: Paths that need no key, as prefixes and as whole paths.
-OPEN_PREFIXES, OPEN_PATHS = ("/static", "/admin"), ("/", "/health", "/status", "/metrics", "/docs", "/openapi.json")
+#: Below the first prefix a key is needed, but not below the others: fixed values of the routing rule.
+KEYED_PREFIX, OPEN_PREFIXES = "/v1/", ("/v1/auth/", "/v1/mcp")
 
 
 def bearer_key(header: Column) -> Column:
@@ -23,10 +23,10 @@ def bearer_ok(header: Column) -> Column:
 
 def is_open(path: Column) -> Column:
     """Whether a path is served without a key."""
-    out = path.isin(*OPEN_PATHS)
+    out = ~path.startswith(KEYED_PREFIX)
     for prefix in OPEN_PREFIXES:
         out = out | path.startswith(prefix)
-    return out
+    return F.coalesce(out, F.lit(True))
 
 
 def endpoint_gate(requests: DataFrame, flags: DataFrame, path: str) -> DataFrame:

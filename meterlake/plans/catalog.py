@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions import scalar
-from meterlake.operators import gate, metering, metrics, store
+from meterlake.operators import gate, metering, metrics, shape, store
 from meterlake.session import table
 from meterlake.sources import readers
 from meterlake.streaming import jobs
@@ -429,3 +429,67 @@ def q51_job_messages(spark: SparkSession, d: str) -> DataFrame:
 def q52_alias_allowed(spark: SparkSession, d: str) -> DataFrame:
     listed = F.when(F.col("s_suppkey") % 4 == 0, F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("alias"), (F.col("s_suppkey") % 3).cast("string")), F.lit("alias1")))
     return table(spark, d, "supplier").select("s_suppkey", gate.alias_allowed(listed, F.lit("alias2")).alias("allowed"))
+
+
+@query(
+    "SELECT page_id, NOT starts_with(path, '/v1/') OR starts_with(path, '/v1/auth/') OR starts_with(path, '/v1/mcp') AS open FROM "
+    "(SELECT page_id, ['/v1/chat', '/v1/auth/login', '/v1/mcp/sse', '/health', '/admin/v1/keys'][page_id % 5 + 1] AS path FROM pages)"
+)
+def q53_open_paths(spark: SparkSession, d: str) -> DataFrame:
+    paths = F.array(*map(F.lit, ["/v1/chat", "/v1/auth/login", "/v1/mcp/sse", "/health", "/admin/v1/keys"]))
+    return table(spark, d, "pages").select("page_id", gate.is_open(F.element_at(paths, (F.col("page_id") % 5 + 1).cast("int"))).alias("open"))
+
+
+@query("SELECT l_orderkey, l_linenumber, unnest(range(l_quantity::INT % 5))::BIGINT AS index FROM lineitem")
+def q54_expand_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") % 5).alias("n"))
+    return shape.times(rows, "n").select("l_orderkey", "l_linenumber", F.col("index").cast("long").alias("index"))
+
+
+@query(
+    "SELECT event_id, event_id::VARCHAR AS id, CASE event_id % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'Safe: ' || left(event_type, 30) END AS result, "
+    "CASE WHEN event_id % 4 > 1 THEN -32601 END AS error_code FROM events"
+)
+def q55_rpc_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    tool = F.when(F.col("event_id") % 4 == 1, "moderate").otherwise("no_such_tool")
+    method = F.when(F.col("event_id") % 4 == 0, "initialize").when(F.col("event_id") % 4 == 3, "no/such").otherwise("tools/call")
+    body = F.to_json(F.struct(F.col("event_id").alias("id"), method.alias("method"), F.struct(tool.alias("name"), F.struct(F.col("event_type").alias("text")).alias("arguments")).alias("params")))
+    calls = table(spark, d, "events").select("event_id", body.alias("body"))
+    safe = F.concat(F.lit("Safe: "), F.substring(F.get_json_object("body", "$.params.arguments.text"), 1, 30))
+    return shape.dispatched(calls, "body", {"initialize": F.lit("ready")}, {"moderate": safe}).select("event_id", "id", "result", "error_code")
+
+
+@query(
+    "SELECT DISTINCT o_orderdate::DATE::VARCHAR AS day, dayofweek(date_trunc('month', o_orderdate))::INT AS first_weekday, day(last_day(o_orderdate::DATE))::INT AS month_days, "
+    "(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE::VARCHAR AS next_month FROM orders"
+)
+def q56_calendar(spark: SparkSession, d: str) -> DataFrame:
+    return shape.calendar(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct(), "day").withColumns({c: F.col(c).cast("string") for c in ("day", "next_month")})
+
+
+@query("SELECT c_custkey, c_custkey % 2 = 0 AS chat, c_custkey % 3 = 0 AS speech, true AS embed FROM customer")
+def q57_enabled_apis(spark: SparkSession, d: str) -> DataFrame:
+    old = F.create_map(F.lit("chat"), F.lit(False), F.lit("embed"), F.lit(True))
+    new = F.create_map(F.lit("chat"), F.col("c_custkey") % 2 == 0, F.lit("speech"), F.col("c_custkey") % 3 == 0)
+    both = table(spark, d, "customer").select("c_custkey", shape.merged_maps(old, new).alias("apis"))
+    return both.select("c_custkey", *(F.col("apis")[k].alias(k) for k in ("chat", "speech", "embed")))
+
+
+@query("SELECT source, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY source")
+def q58_file_totals(spark: SparkSession, d: str) -> DataFrame:
+    return shape.file_totals(table(spark, d, "documents").select("source", F.octet_length("text").alias("length")), ["source"])
+
+
+@query(
+    "SELECT 'job_' || upper(left(sha256(o_orderkey::VARCHAR), 12)) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'cancelled' ELSE 'queued' END AS state, 0::BIGINT AS progress FROM orders"
+)
+def q59_jobs(spark: SparkSession, d: str) -> DataFrame:
+    made = shape.job_records(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", F.expr("TIMESTAMP '2024-01-01'"))
+    done = shape.cancelled(made, made.where("o_orderkey % 3 = 0"), F.expr("TIMESTAMP '2024-01-02'"))
+    return shape.shaped(done, {"job_id": "id", "status": "state", "progress": "progress"})
+
+
+@query("SELECT user_id, event_id, moved AS started, running FROM (SELECT user_id, event_id, moved, delta, sum(delta) OVER (PARTITION BY user_id ORDER BY moved, delta, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (" + _MOVES + ")) WHERE delta = 1 AND running - 1 >= 2")
+def q60_over_concurrency(spark: SparkSession, d: str) -> DataFrame:
+    moves = q21_inflight_gauge(spark, d).where("delta = 1").withColumn("before", F.col("running") - 1).withColumn("allowed", F.lit(2))
+    return gate.over_concurrency(moves, "before", "allowed").select("user_id", "event_id", F.col("moved").alias("started"), "running")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake.functions import scalar, schemas
-from meterlake.operators import gate, metering, metrics, store
+from meterlake.operators import gate, metering, metrics, shape, store
 from meterlake.sources import readers, sinks
 from meterlake.streaming import jobs
 
@@ -163,3 +163,15 @@ def test_webhooks_are_delivered_signed(spark, tmp_path):
 
     sinks.deliver(spark.readStream.schema(schema).parquet(str(tmp_path / "events")), "s", post, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert seen.read_text() == "w1 sha256="
+
+
+def test_paths_are_flattened(spark):
+    docs = spark.createDataFrame([({"/v1/chat": {"post": "Chat", "get": None}, "/": {"get": "Home"}},)], "paths map<string, map<string, string>>")
+    assert {tuple(r) for r in shape.flattened(docs, "paths").collect()} == {("v1", "/v1/chat", "POST", "Chat"), ("v1", "/v1/chat", "GET", "/v1/chat"), ("root", "/", "GET", "Home")}
+
+
+def test_times_and_maps_with_nulls(spark):
+    rows = spark.createDataFrame([(1, None), (2, 3), (3, 0)], "id int, n int")
+    assert sorted((r.id, r["index"]) for r in shape.times(rows, "n").collect()) == [(1, 0), (2, 0), (2, 1), (2, 2)]
+    maps = spark.createDataFrame([({"a": 1}, {"a": 2, "b": 3}), (None, {"a": 1}), ({"a": 1}, None)], "x map<string, int>, y map<string, int>")
+    assert [r.m for r in maps.select(shape.merged_maps(F.col("x"), F.col("y")).alias("m")).collect()] == [{"a": 2, "b": 3}, {"a": 1}, {"a": 1}]
