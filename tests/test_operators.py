@@ -60,7 +60,7 @@ def test_addresses_of_both_versions(spark):
 
 
 def test_title_case_is_pythons(spark):
-    names = ["dev_namle", "o'neil", "ANNE-marie", "", "é.a b"]
+    names = ["dev_name", "o'neil", "ANNE-marie", "", "é.a b"]
     got = [r.t for r in spark.createDataFrame([(n,) for n in names], "n string").select(scalar.title_case(F.col("n")).alias("t")).collect()]
     assert got == [n.title() for n in names]
 
