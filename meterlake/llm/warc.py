@@ -96,17 +96,18 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> Dat
     """Writes one archive per task into folder, and returns the manifest: path, length, records.
 
     A row becomes a revisit if another row with an equal payload has a larger page_id, else a
-    response; null html is an empty payload, rows that repeat a page_id agree. A retried task writes
-    the same archive under the same name, and names it only when it is whole. Only page_id, url and
-    html are read. An empty table gives no archives or empty ones.
+    response; null html is an empty payload, rows that repeat a page_id agree. Every attempt of a
+    task writes an archive of its own and the manifest names that of the attempt that counted, so a
+    lost executor or a speculative copy leaves at most a file that nobody reads. Only page_id, url
+    and html are read. An empty table gives no archives or empty ones.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        path = f"{base}/part-{task.partitionId():06d}.warc.gz"
-        part = f"{path}.{task.taskAttemptId()}.tmp"
+        path = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
+        part = f"{path}.tmp"
         length = records = 0
         with store.open_output_stream(part, compression=None) as out:
             for batch in batches:
