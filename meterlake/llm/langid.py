@@ -98,14 +98,18 @@ def fit(docs: DataFrame) -> tuple[list[str], ByteNet | None]:
     """Languages and the network learned from text and lang of documents that are not held out.
 
     The sample is bounded: of each language about TRAIN_DOCS documents, drawn by a hash of the id,
-    with TRAIN_WINDOWS passages of WINDOW characters each. Null langs and texts teach nothing.
+    with TRAIN_WINDOWS passages of WINDOW characters each. Null langs and texts teach nothing. One
+    count per language comes to the driver, which has to hold a network of as many classes anyway.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rates = known.groupBy(F.col("lang").alias("of")).agg((F.lit(TRAIN_DOCS) / F.count("*")).alias("rate"))
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000
+    counts = known.groupBy("lang").count().collect()
+    if not counts:
+        return [], None
+    rate = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r.lang, TRAIN_DOCS / r["count"]))), F.col("lang"))
+    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < rate * 1_000_000
     start = lambda i: F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
     passages = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring(F.col("text"), start(i).cast("int"), F.lit(WINDOW)))
-    rows = known.join(rates, F.col("lang") == F.col("of")).where(drawn).select("doc_id", "lang", passages.alias("passages")).collect()
+    rows = known.where(drawn).select("doc_id", "lang", passages.alias("passages")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.passages))
     languages = sorted({r.lang for r in rows})
     samples = [(windows_of(x.encode())[0], languages.index(r.lang)) for r in rows for x in sorted(set(r.passages)) if x.strip()]

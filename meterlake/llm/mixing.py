@@ -76,7 +76,8 @@ def slot_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("chunk", "sid", "base")
     within = F.row_number().over(Window.partitionBy("chunk", "sid").orderBy("slot")) - 1
-    return placed.withColumn("within", within).join(bases, ["chunk", "sid"]).select("slot", "sid", (F.col("base") + F.col("within")).alias("rank"))
+    # a merge join: by the size of the chunks before they are exploded, Spark would broadcast the slots
+    return placed.withColumn("within", within).join(bases.hint("merge"), ["chunk", "sid"]).select("slot", "sid", (F.col("base") + F.col("within")).alias("rank"))
 
 
 def shuffled_blocks(docs: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -86,8 +87,9 @@ def shuffled_blocks(docs: DataFrame, targets: DataFrame, block_words: int = BLOC
     and cut into blocks of block_words. Offsets are sums per (source, epoch, first three digits of the
     md5) plus the sum within, so a source with a third of all rows is spread over 4,096 groups.
     """
+    # a source's slots exceed its target by a few blocks at most: the discrepancy of the points
     digest = F.md5(F.concat_ws(":", F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    needed = F.least(F.lit(max_epochs), F.floor((F.col("target") + 2 * block_words) / F.col("source_size")) + 1).cast("int")
+    needed = F.least(F.lit(max_epochs), F.floor((F.col("target") + 64 * block_words) / F.col("source_size")) + 1).cast("int")
     read = (
         docs.where("size > 0")
         .join(targets.select("sid", F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,8 +24,10 @@ K1, B = 1.2, 0.75
 QUERY_TERMS, RETRIEVED = 24, 64
 #: A shard is closed at this many documents or tokens.
 SHARD_DOCS, SHARD_TOKENS = 4096, 4 << 20
-#: Words and cores that a task remembers; beyond these it starts anew.
-KNOWN_WORDS, KNOWN_CORES = 700_000, 500_000
+#: Cores that a task remembers; beyond these it starts anew. Documents that are tokenized together.
+KNOWN_CORES, TOKENIZED_DOCS = 300_000, 2500
+#: The rank of a pair that does not merge.
+NO_MERGE = 0xFFFF
 _MARKS = frozenset(b".,;:!?")
 
 
@@ -32,44 +37,137 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class LetterMerges:
+    """The tokenizer's merges for runs of letters, applied to many runs at once.
+
+    Runs of one length are a matrix of ids. Every round merges, in each row, the leftmost pair of
+    least rank, so that all rows still at work stay of one length; a row without a pair is done.
+    Pairs are found in a hash table with linear probing.
+    """
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        shown = _byte_letters()
+        end = model["end_of_word_suffix"]
+        self.inner = np.array([vocab[c] for c in shown], np.uint16)
+        self.last = np.array([vocab[c + end] for c in shown], np.uint16)
+        self.keys = np.full(1 << 18, 0xFFFFFFFF, np.uint32)
+        self.ranks = np.full(1 << 18, NO_MERGE, np.uint16)
+        self.merged = np.zeros(1 << 18, np.uint16)
+        for rank, pair in enumerate(model["merges"]):
+            one, two = pair.split(" ") if isinstance(pair, str) else pair
+            key = vocab[one] << 16 | vocab[two]
+            at = (key * 0x9E3779B1 & 0xFFFFFFFF) >> 14
+            while self.keys[at] != 0xFFFFFFFF:
+                at = (at + 1) & 0x3FFFF
+            self.keys[at], self.ranks[at], self.merged[at] = key, rank, vocab[one + two]
+
+    def _find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Places of pairs in the table; of unknown pairs, empty places."""
+        key = one.astype(np.uint32) << np.uint32(16) | two
+        at = ((key * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int32)
+        seen = self.keys[at]
+        open_ = np.flatnonzero((seen != key) & (seen != 0xFFFFFFFF))
+        while len(open_):
+            step = (at.flat[open_] + 1) & 0x3FFFF
+            at.flat[open_] = step
+            seen = self.keys[step]
+            open_ = open_[(seen != key.flat[open_]) & (seen != 0xFFFFFFFF)]
+        return at
+
+    def encode(self, runs: list[bytes]) -> list[bytes]:
+        """16-bit ids of each run, given as UTF-8 of letters in lower case."""
+        out: list[bytes] = [b""] * len(runs)
+        lengths = np.array([len(r) for r in runs])
+        for n in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == n)
+            raw = np.frombuffer(b"".join(runs[k] for k in rows), np.uint8).reshape(len(rows), n)
+            ids = np.concatenate([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]], axis=1)
+            places = self._find(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                ranks = self.ranks[places]
+                least = ranks.argmin(axis=1) if ids.shape[1] > 1 else np.zeros(len(rows), np.int64)
+                lines = np.arange(len(rows))
+                live = ranks[lines, least] != NO_MERGE if ids.shape[1] > 1 else np.zeros(len(rows), bool)
+                flat, size = ids[~live].tobytes(), 2 * ids.shape[1]
+                for j, k in enumerate(rows[~live].tolist()):
+                    out[k] = flat[j * size : (j + 1) * size]
+                rows, ids, places, least = rows[live], ids[live], places[live], least[live]
+                if not len(rows):
+                    break
+                lines = np.arange(len(rows))
+                ids[lines, least] = self.merged[places[lines, least]]
+                keep = np.ones(ids.shape, bool)
+                keep[lines, least + 1] = False
+                ids = ids[keep].reshape(len(rows), -1)
+                keep = np.ones(places.shape, bool)
+                keep[lines, least] = False
+                places = places[keep].reshape(len(rows), -1)
+                left = np.flatnonzero(least > 0)
+                places[left, least[left] - 1] = self._find(ids[left, least[left] - 1], ids[left, least[left]])
+                right = np.flatnonzero(least < ids.shape[1] - 1)
+                places[right, least[right]] = self._find(ids[right, least[right]], ids[right, least[right] + 1])
+        return out
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+@cache
+def _loaded(path: str) -> tuple:
+    """The tokenizer, and its merges if runs of letters are words of their own to it; once per worker."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    if tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError("ids must fit 16 bits")
+    return tokenizer, LetterMerges(json.loads(tokenizer.to_str())["model"])
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word, each distinct word being tokenized once.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words
     in turn. A final mark is never joined to letters before it, so words that differ in it share
     their core's ids. It lower-cases; for ASCII that is done before words are told apart, but not in
-    texts that might hold a special token in capitals.
+    texts that might hold a special token in capitals. Cores of normalised lower-case letters go
+    through LetterMerges, all others through the tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer, self.merges = _loaded(path)
         self.cores: dict[bytes, bytes] = {b"": b""}
 
-    def learn(self, words: set[bytes]) -> None:
-        marks, cores = _MARKS, self.cores
-        parts = [(w[:-1], w[-1:]) if w[-1] in marks and (w[:-1].isalpha() or not w.isascii() and w[:-1].decode().isalpha()) else (w, b"") for w in words]
-        missing = list({x for p in parts for x in p} - cores.keys())
-        for core, found in zip(missing, self.tokenizer.encode_batch_fast([m.decode() for m in missing], add_special_tokens=False)):
-            cores[core] = array("H", found.ids).tobytes()
-        self.known.update(zip(words, [cores[core] + cores[mark] for core, mark in parts]))
+    @staticmethod
+    def _letters(core: bytes) -> bool:
+        if core.isascii():
+            return core.isalpha() and core.islower()
+        text = core.decode()
+        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, END_ID last; null is empty."""
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        wanted = set().union(*split) - self.known.keys()
-        if len(self.known) + len(wanted) > KNOWN_WORDS:
-            self.known, wanted = {}, set().union(*split)
+        words = set().union(*split)
+        marks = _MARKS
+        parts = [(w[:-1], w[-1:]) if w[-1] in marks and (w[:-1].isalpha() or not w.isascii() and w[:-1].decode().isalpha()) else (w, b"") for w in words]
         if len(self.cores) > KNOWN_CORES:
             self.cores = {b"": b""}
-        self.learn(wanted)
+        cores = self.cores
+        missing = list({x for p in parts for x in p} - cores.keys())
+        letters = [c for c in missing if self._letters(c)]
+        cores.update(zip(letters, self.merges.encode(letters)))
+        others = [c for c in missing if c not in cores]
+        for core, found in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)):
+            cores[core] = array("H", found.ids).tobytes()
+        known = dict(zip(words, [cores[core] + cores[mark] if mark else cores[core] for core, mark in parts]))
         end = array("H", [END_ID]).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
+        return [b"".join(map(known.__getitem__, w)) + end for w in split]
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
@@ -78,8 +176,8 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = WordTokenizer(path)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch[at : at + 500]
+            for at in range(0, len(batch), TOKENIZED_DOCS):
+                part = batch[at : at + TOKENIZED_DOCS]
                 yield pd.DataFrame({"doc_id": part.doc_id, "ids": tokenizer.encode(list(part.text))})
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, ids binary")

@@ -56,11 +56,25 @@ def sparse_suffixes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     runs = _doubled(words)
     grams = mix(runs[GRAM])
     at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(len(grams) - WINDOW + 1))
-    # a run of one repeated word would keep every position: keep every WINDOW-th of such a stretch
-    same = np.r_[False, (np.diff(at) == 1) & (grams[at[1:]] == grams[at[:-1]])]
-    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-    at = at[(np.arange(len(at)) - start) % WINDOW == 0]
-    at = at[at + CORE <= len(words)]
+    return _thinned(at[at + CORE <= len(words)], grams, runs)
+
+
+def _thinned(at: np.ndarray, grams: np.ndarray, runs: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Cores and positions, without most of those inside stretches of a repeated line.
+
+    Such a stretch keeps the same suffix once a period. Its first and last stay, which the texts on
+    either side fix, and so many between that their cores still touch.
+    """
+    if not len(at):
+        return np.empty(0, np.uint64), at
+    gap = np.diff(at, prepend=at[0] - WINDOW)
+    same = (gap < WINDOW) & (grams[at] == np.roll(grams[at], 1))
+    same[0] = False
+    starts = np.flatnonzero(~same)
+    sizes = np.diff(np.append(starts, len(at)))
+    step = np.maximum(1, CORE // np.maximum(1, np.maximum.reduceat(np.where(same, gap, 0), starts)))
+    place = np.arange(len(at)) - np.repeat(starts, sizes)
+    at = at[(place % np.repeat(step, sizes) == 0) | (place == np.repeat(sizes, sizes) - 1)]
     return _core_hashes(runs, at), at
 
 
@@ -70,11 +84,16 @@ PAIRS = "kind int, part int, key long, doc long, pos int, prev_doc long, prev_po
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per suffix of a sorted partition, its neighbour of the same core in an earlier document, and the first of that core.
 
+    Where a document holds a core several times, its i-th is paired with the other document's i-th
+    (or last), so that texts of one line over and over meet on one diagonal.
     kind 0: both are known. kind 1: the partition begins inside this core and document. kind 2: the partition's last suffix.
     """
     part = TaskContext.get().partitionId()
-    key = doc = pos = None
-    prev = first = (None, None)
+    key = doc = None
+    prev_doc = first_doc = None
+    here: list[int] = []
+    prev: list[int] = []
+    first: list[int] = []
     opening = True
     columns = [c.split()[0] for c in PAIRS.split(", ")]
     for batch in batches:
@@ -82,18 +101,22 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, d, p in zip(batch.key.tolist(), batch.doc.tolist(), batch.pos.tolist()):
             if k != key:
                 opening = key is None
-                prev, first = (None, None), (d, p)
+                prev_doc, prev, first_doc, here = None, [], d, []
+                first = here
             elif d != doc:
-                prev = (doc, pos)
+                prev_doc, prev, here = doc, here, []
                 opening = False
-            if prev[0] is not None:
-                rows.append((0, part, k, d, p, *prev, *first))
+            here.append(p)
+            at = len(here) - 1
+            if prev_doc is not None:
+                rows.append((0, part, k, d, p, prev_doc, prev[min(at, len(prev) - 1)], first_doc, first[min(at, len(first) - 1)]))
             elif opening:
                 rows.append((1, part, k, d, p, None, None, None, None))
-            key, doc, pos = k, d, p
+            key, doc = k, d
         yield _typed(pd.DataFrame(rows, columns=columns))
     if key is not None:
-        yield _typed(pd.DataFrame([(2, part, key, doc, pos, *prev, *first)], columns=columns))
+        earlier = (prev_doc, prev[-1], first_doc, first[0]) if prev_doc is not None else (None, None, doc, first[0])
+        yield _typed(pd.DataFrame([(2, part, key, doc, here[-1], *earlier)], columns=columns))
 
 
 def _typed(frame: pd.DataFrame) -> pd.DataFrame:
