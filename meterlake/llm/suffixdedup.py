@@ -56,11 +56,11 @@ def sparse_suffixes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     runs = _doubled(words)
     grams = mix(runs[GRAM])
     at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(len(grams) - WINDOW + 1))
-    return _thinned(at[at + CORE <= len(words)], grams, runs)
+    return _thinned(at[at + CORE <= len(words)], runs)
 
 
-def _thinned(at: np.ndarray, grams: np.ndarray, runs: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Cores and positions, without most of those inside stretches of a repeated line.
+def _thinned(at: np.ndarray, runs: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Cores and positions, without most of those inside periodic stretches, where neighbours have the same core.
 
     Such a stretch keeps the same suffix once a period. Its first and last stay, which the texts on
     either side fix, and so many between that their cores still touch.
@@ -68,14 +68,15 @@ def _thinned(at: np.ndarray, grams: np.ndarray, runs: dict[int, np.ndarray]) ->
     if not len(at):
         return np.empty(0, np.uint64), at
     gap = np.diff(at, prepend=at[0] - WINDOW)
-    same = (gap < WINDOW) & (grams[at] == np.roll(grams[at], 1))
+    cores = _core_hashes(runs, at)
+    same = (gap < WINDOW) & (cores == np.roll(cores, 1))
     same[0] = False
     starts = np.flatnonzero(~same)
     sizes = np.diff(np.append(starts, len(at)))
     step = np.maximum(1, CORE // np.maximum(1, np.maximum.reduceat(np.where(same, gap, 0), starts)))
     place = np.arange(len(at)) - np.repeat(starts, sizes)
-    at = at[(place % np.repeat(step, sizes) == 0) | (place == np.repeat(sizes, sizes) - 1)]
-    return _core_hashes(runs, at), at
+    stay = (place % np.repeat(step, sizes) == 0) | (place == np.repeat(sizes, sizes) - 1)
+    return cores[stay], at[stay]
 
 
 PAIRS = "kind int, part int, key long, doc long, pos int, prev_doc long, prev_pos int, first_doc long, first_pos int"

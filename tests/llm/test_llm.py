@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterlake.llm import ann, cws, entry, htmltext, langid, minhash, mixing, packing, suffixdedup, urlfilter, warc
 from meterlake.llm.components import connected_components
+from meterlake.llm.words import Hashes, mix, word_hashes
 from tests.conftest import DATA, rows_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, d string"
@@ -147,6 +148,28 @@ def test_repeats_are_those_of_brute_force(spark):
         assert all(i < r.doc_id for i in r.kept_in) and bool(r.kept_in) == bool(removed)
 
 
+def held_to_brute_force(spark, texts):
+    want = brute_repeats(list(enumerate(texts)))
+    for r in suffixdedup.without_repeats(documents(spark, texts)).collect():
+        removed = {p for s in r.removed for p in range(s.start, s.start + s.words)}
+        assert removed == want[r.doc_id], r.doc_id
+        assert all(i < r.doc_id for i in r.kept_in) and bool(r.kept_in) == bool(removed)
+    assert any(want.values())
+
+
+def test_repeats_in_lines_with_changing_fields(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for period in (9, 10, 11, 12, 13, 15):
+        phrases = [" ".join(f"p{n}x{k}" for k in range(period - 1)) for n in range(400)]
+        phrase = min(phrases, key=lambda t: mix(suffixdedup._doubled(word_hashes(t, Hashes(), lower=False))[suffixdedup.GRAM]).min())  # its own run is the minimiser
+        line = lambda: f"{phrase} f{rng.integers(0, 10**9)}"
+        for share in range(6):
+            shared = [line() for _ in range(52 // period + 1 + share % 2)]
+            texts += [" ".join([line() for _ in range(3 + int(rng.integers(0, 9)))] + shared + [line() for _ in range(4)]) for _ in range(2)]
+    held_to_brute_force(spark, texts)
+
+
 def test_repeats_at_partition_bounds(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "31")
