@@ -1,9 +1,10 @@
 """Repeated passages across documents, by sparse suffix arrays over words.
 
-Only suffixes at minimiser positions are kept: of every WINDOW successive GRAM-word runs, the one of
-least hash. A suffix is known by the hash of its first CORE words. Two documents that share a passage
-of MIN_WORDS = WINDOW - 1 + CORE words keep the same suffix within it: the first window of the passage
-lies in both, so its minimiser does too, and CORE words of the passage follow it.
+Every run of MIN_WORDS words belongs to one suffix: that at the minimiser of its first window, the
+one of WINDOW successive GRAM-word runs that has the least hash. A suffix is known by the hash of its
+first CORE words, which lie within the run (MIN_WORDS = WINDOW - 1 + CORE), so equal runs belong to
+equal cores. Cores that one document alone holds are dropped first; then the runs of the others are
+compared whole, each with the first document that holds it.
 """
 
 from __future__ import annotations
@@ -23,210 +24,127 @@ from meterlake.llm.words import Hashes, mix, word_hashes
 
 MIN_WORDS, GRAM, WINDOW = 50, 8, 20
 CORE = MIN_WORDS - WINDOW + 1
-#: Words by which a match is extended to either side. Beyond GRAM + WINDOW - 1 words another suffix would be kept.
-REACH = 32
 
 _SPAN = re.compile(WORD)
 
 
 def _doubled(words: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of all runs of 1, 2, 4, 8 and 16 words, each from two halves."""
+    """Hashes of all runs of 1, 2, 4, 8, 16 and 32 words, each from two halves."""
     out, n = {1: words}, 1
-    while n < 16:
+    while n < 32:
         h = out[n]
         out[2 * n] = mix(h[: max(0, len(h) - n)]) + h[n:]
         n *= 2
     return out
 
 
-def _core_hashes(runs: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Hashes of the CORE words from each position on."""
+def _run_hashes(runs: dict[int, np.ndarray], at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the size words from each position on."""
     total, offset = np.zeros(len(at), np.uint64), 0
-    for n in (16, 8, 4, 2, 1):
-        if CORE & n:
+    for n in (32, 16, 8, 4, 2, 1):
+        if size & n:
             total = mix(total) + runs[n][at + offset]
             offset += n
     return mix(total)
 
 
-def sparse_suffixes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(core hash, position) of the suffixes that are kept; none for texts shorter than MIN_WORDS."""
-    if len(words) < MIN_WORDS:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    runs = _doubled(words)
+def run_cores(runs: dict[int, np.ndarray]) -> np.ndarray:
+    """The core hash that each run of MIN_WORDS words of a text belongs to, in turn; none for texts that are shorter."""
+    count = len(runs[1]) - MIN_WORDS + 1
+    if count < 1:
+        return np.empty(0, np.uint64)
     grams = mix(runs[GRAM])
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(len(grams) - WINDOW + 1))
-    return _thinned(at[at + CORE <= len(words)], runs)
+    at = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[:count].argmin(axis=1) + np.arange(count)
+    own = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return np.repeat(_run_hashes(runs, at[own], CORE), np.diff(np.append(own, count)))
 
 
-def _thinned(at: np.ndarray, runs: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Cores and positions, without most of those inside periodic stretches, where neighbours have the same core.
+def with_first(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (key, doc, numbers) whose key a document of smaller id has too, and the first such document as first.
 
-    Such a stretch keeps the same suffix once a period. Its first and last stay, which the texts on
-    either side fix, and so many between that their cores still touch.
+    Rows are range-partitioned by (key, doc) and sorted there, so one key that a third of all documents
+    hold is spread over many partitions; a task keeps one key and its first document in memory. What
+    a partition's first key lacks is taken from the last rows of the ones before: one row per partition.
     """
-    if not len(at):
-        return np.empty(0, np.uint64), at
-    gap = np.diff(at, prepend=at[0] - WINDOW)
-    cores = _core_hashes(runs, at)
-    same = (gap < WINDOW) & (cores == np.roll(cores, 1))
-    same[0] = False
-    starts = np.flatnonzero(~same)
-    sizes = np.diff(np.append(starts, len(at)))
-    step = np.maximum(1, CORE // np.maximum(1, np.maximum.reduceat(np.where(same, gap, 0), starts)))
-    place = np.arange(len(at)) - np.repeat(starts, sizes)
-    stay = (place % np.repeat(step, sizes) == 0) | (place == np.repeat(sizes, sizes) - 1)
-    return cores[stay], at[stay]
+    others = [c for c in rows.columns if c not in ("key", "doc")]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        opening = key = first = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, docs = batch.key.to_numpy(), batch.doc.to_numpy()
+            opening = int(keys[0]) if opening is None else opening
+            begins = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), -1))
+            firsts = np.where(at < 0, docs[0] if first is None else first, docs[at])
+            key, first = int(keys[-1]), int(firsts[-1])
+            edge = keys == opening
+            keep = edge | (docs > firsts)
+            yield batch[keep].assign(kind=edge[keep].astype(np.int32), part=np.int32(part), first=firsts[keep])
+        if key is not None:
+            yield pd.DataFrame([{"kind": 2, "part": part, "key": key, "doc": first, "first": first} | dict.fromkeys(others, 0)])
+
+    schema = "kind int, part int, first long, " + ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    spread = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
+    near = materialize(spread.mapInPandas(run, schema), name)
+    ends = near.where("kind = 2").groupBy("key").agg(F.min("first").alias("earliest"))
+    before = near.where("kind = 1").select("part", "key").distinct().join(ends, "key").select("part", "earliest")
+    opened = near.where("kind = 1").join(before, "part", "left").withColumn("first", F.least("first", "earliest"))
+    columns = [*rows.columns, "first"]
+    return near.where("kind = 0").select(columns).unionByName(opened.select(columns)).where("first < doc")
+
+
+def shared_cores(docs: DataFrame) -> DataFrame:
+    """(doc, keys): the cores of a document that another one holds too. An array is no longer than its document."""
 
-PAIRS = "kind int, part int, key long, doc long, pos int, prev_doc long, prev_pos int, first_doc long, first_pos int"
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = Hashes()
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                part = batch[start : start + 500]
+                found = [np.unique(run_cores(_doubled(word_hashes(text, cache, lower=False)))) for text in part.text]
+                yield pd.DataFrame({"key": np.concatenate(found).view(np.int64), "doc": np.repeat(part.doc_id.to_numpy(np.int64), list(map(len, found)))})
 
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(keep, "key long, doc long")
+    later = with_first(materialize(rows, "suffixes"), "suffix-cores")
+    both = later.select("doc", "key").unionByName(later.select(F.col("first").alias("doc"), "key").distinct())
+    return both.groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per suffix of a sorted partition, its neighbour of the same core in an earlier document, and the first of that core.
 
-    Where a document holds a core several times, its i-th is paired with the other document's i-th
-    (or last), so that texts of one line over and over meet on one diagonal.
-    kind 0: both are known. kind 1: the partition begins inside this core and document. kind 2: the partition's last suffix.
-    """
-    part = TaskContext.get().partitionId()
-    key = doc = None
-    prev_doc = first_doc = None
-    here: list[int] = []
-    prev: list[int] = []
-    first: list[int] = []
-    opening = True
-    columns = [c.split()[0] for c in PAIRS.split(", ")]
-    for batch in batches:
-        rows = []
-        for k, d, p in zip(batch.key.tolist(), batch.doc.tolist(), batch.pos.tolist()):
-            if k != key:
-                opening = key is None
-                prev_doc, prev, first_doc, here = None, [], d, []
-                first = here
-            elif d != doc:
-                prev_doc, prev, here = doc, here, []
-                opening = False
-            here.append(p)
-            at = len(here) - 1
-            if prev_doc is not None:
-                rows.append((0, part, k, d, p, prev_doc, prev[min(at, len(prev) - 1)], first_doc, first[min(at, len(first) - 1)]))
-            elif opening:
-                rows.append((1, part, k, d, p, None, None, None, None))
-            key, doc = k, d
-        yield _typed(pd.DataFrame(rows, columns=columns))
-    if key is not None:
-        earlier = (prev_doc, prev[-1], first_doc, first[0]) if prev_doc is not None else (None, None, doc, first[0])
-        yield _typed(pd.DataFrame([(2, part, key, doc, here[-1], *earlier)], columns=columns))
-
-
-def _typed(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.astype({"prev_doc": "Int64", "prev_pos": "Int64", "first_doc": "Int64", "first_pos": "Int64"})
-
-
-def matches(docs: DataFrame) -> DataFrame:
-    """(key, doc, pos, of, of_pos): a suffix of doc and one with the same core in the earlier document of.
-
-    The suffixes are range-partitioned by (core, document, position), so one core that a third of all
-    documents hold is spread over many partitions, and sorted there; each is compared with its
-    neighbour of an earlier document and with the first of its core. What a partition's first rows
-    lack is taken from the last row of the one before: one row per partition.
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc, print, at, first): every run of MIN_WORDS words of a text, from word at on, that the earlier document first holds.
+
+    print is the hash of the text.
     """
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Hashes()
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch[start : start + 500]
-                found = [sparse_suffixes(word_hashes(text, cache, lower=False)) for text in part.text]
-                yield pd.DataFrame(
-                    {
-                        "key": np.concatenate([k for k, _ in found]).view(np.int64),
-                        "doc": np.repeat(part.doc_id.to_numpy(np.int64), [len(k) for k, _ in found]),
-                        "pos": np.concatenate([p for _, p in found]).astype(np.int32),
-                    }
-                )
-
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(keep, "key long, doc long, pos int")
-    kept = materialize(rows, "suffixes").repartitionByRange("key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
-    near = materialize(kept.mapInPandas(_neighbours, PAIRS), "suffix-pairs")
-    order = Window.orderBy("part")
-    ends = near.where("kind = 2").select("part", *(F.col(c).alias(f"last_{c}") for c in ("key", "doc", "pos", "prev_doc", "prev_pos", "first_doc", "first_pos")))
-    before = ends.select("part", *(F.lag(c).over(order).alias(c) for c in ends.columns if c != "part"))
-    carried = near.where("kind = 1").select("part", "key", "doc", "pos").join(before.where("last_key is not null"), "part").where("key = last_key")
-    same = F.col("doc") == F.col("last_doc")
-    carried = carried.select(
-        "key", "doc", "pos",
-        F.when(same, F.col("last_prev_doc")).otherwise(F.col("last_doc")).alias("prev_doc"),
-        F.when(same, F.col("last_prev_pos")).otherwise(F.col("last_pos")).alias("prev_pos"),
-        F.col("last_first_doc").alias("first_doc"), F.col("last_first_pos").alias("first_pos"),
-    )
-    both = near.where("kind = 0").select(carried.columns).unionByName(carried)
-    partners = F.array_distinct(F.array(F.struct(F.col("prev_doc").alias("of"), F.col("prev_pos").alias("of_pos")), F.struct(F.col("first_doc").alias("of"), F.col("first_pos").alias("of_pos"))))
-    pairs = both.select("key", "doc", "pos", F.explode(partners).alias("p")).select("key", "doc", "pos", "p.of", "p.of_pos")
-    return pairs.where("of is not null and of < doc")
-
-
-def runs_of(pairs: DataFrame) -> DataFrame:
-    """Matches of one document pair on one diagonal, merged where their cores touch: run, key, doc, start, of, of_start, words."""
-    diagonal = Window.partitionBy("doc", "of", "shift").orderBy("pos")
-    rows = pairs.withColumn("shift", F.col("pos") - F.col("of_pos")).dropDuplicates(["doc", "of", "shift", "pos"])
-    rows = rows.withColumn("new", (F.col("pos") - F.lag("pos").over(diagonal) > CORE).cast("int"))
-    rows = rows.withColumn("stretch", F.sum(F.coalesce("new", F.lit(0))).over(diagonal.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = rows.groupBy("doc", "of", "shift", "stretch").agg(F.min(F.struct("pos", "key")).alias("at"), (F.max("pos") + CORE - F.min("pos")).alias("words"))
-    merged = merged.select(F.col("at.key").alias("key"), "doc", F.col("at.pos").alias("start"), "of", (F.col("at.pos") - F.col("shift")).alias("of_start"), "words")
-    return merged.withColumn("run", F.xxhash64("doc", "start", "of", "of_start"))
-
-
-def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc, print, start, words, of): the runs, extended to either side, that reach MIN_WORDS.
-
-    Every run asks both of its documents for the words next to it; a document answers with their
-    hashes if its text has the run's first core there. print is the hash of the text that answered.
-    """
-    sides = [("doc", "start", 0), ("of", "of_start", 1)]
-    asked = None
-    for doc, start, side in sides:
-        ask = runs.select(F.col(doc).alias("asked"), F.struct("run", F.lit(side).alias("side"), F.col("key"), F.col(start).alias("start"), "words").alias("ask"))
-        asked = ask if asked is None else asked.unionByName(ask)
-    asked = asked.groupBy("asked").agg(F.collect_list("ask").alias("asks"))
-
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Hashes()
-        for batch in batches:
-            rows = []
-            for text, print_, asks in zip(batch.text, batch.print, batch.asks):
-                words = word_hashes(text, cache, lower=False)
-                runs16 = _doubled(words)
-                for ask in asks:
-                    start, stop = ask["start"], ask["start"] + ask["words"]
-                    if stop > len(words) or _core_hashes(runs16, np.array([start])).view(np.int64)[0] != ask["key"]:
-                        continue
-                    left = (words[max(0, start - REACH) : start][::-1] >> np.uint64(32)).astype(np.uint32)
-                    right = (words[stop : stop + REACH] >> np.uint64(32)).astype(np.uint32)
-                    rows.append((ask["run"], ask["side"], print_, left.tobytes(), right.tobytes()))
-            yield pd.DataFrame(rows, columns=["run", "side", "print", "left", "right"])
-
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("print")).join(asked, F.col("doc_id") == F.col("asked")).select("text", "print", "asks")
-    answers = materialize(texts.mapInPandas(answer, "run long, side int, print long, left binary, right binary"), "suffix-sides")
-
-    def agree(a: bytes, b: bytes) -> int:
-        x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        n = min(len(x), len(y))
-        unlike = np.flatnonzero(x[:n] != y[:n])
-        return int(unlike[0]) if len(unlike) else n
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            left = np.array([agree(x, y) for x, y in zip(b.left, b.of_left)], np.int64)
-            right = np.array([agree(x, y) for x, y in zip(b.right, b.of_right)], np.int64)
-            out = pd.DataFrame({"doc": b.doc, "print": b.print, "start": b.start - left, "words": b.words + left + right, "of": b.of})
-            yield out[out.words >= MIN_WORDS]
-
-    mine = answers.where("side = 0").select("run", "print", "left", "right")
-    other = answers.where("side = 1").select("run", F.col("left").alias("of_left"), F.col("right").alias("of_right"))
-    sized = runs.select("run", "doc", "start", "words", "of").join(mine, "run").join(other, "run")
-    return sized.mapInPandas(extend, "doc long, print long, start long, words long, of long")
+                keys, ats = [], []
+                for text, shared in zip(part.text, part["keys"]):
+                    runs = _doubled(word_hashes(text, cache, lower=False))
+                    at = np.flatnonzero(np.isin(run_cores(runs).view(np.int64), shared))
+                    ats.append(at.astype(np.int32))
+                    keys.append(_run_hashes(runs, at, MIN_WORDS).view(np.int64))
+                sizes = list(map(len, ats))
+                yield pd.DataFrame({"key": np.concatenate(keys), "doc": np.repeat(part.doc_id.to_numpy(np.int64), sizes), "print": np.repeat(part.print.to_numpy(np.int64), sizes), "at": np.concatenate(ats)})
+
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("print")).join(shared_cores(docs), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "print", "keys")
+    rows = materialize(texts.mapInPandas(hashed, "key long, doc long, print long, at int"), "suffix-runs")
+    return with_first(rows, "suffix-firsts").drop("key")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc, print, start, words, of): the repeated runs of a text, merged where they touch, and the documents that hold them first."""
+    text = Window.partitionBy("doc", "print").orderBy("at")
+    rows = repeated_runs(docs).repartition("doc").withColumn("new", (F.col("at") - F.lag("at").over(text) > MIN_WORDS).cast("int"))
+    rows = rows.withColumn("stretch", F.sum(F.coalesce("new", F.lit(0))).over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    words = F.max("at") - F.min("at") + MIN_WORDS
+    return rows.groupBy("doc", "print", "stretch").agg(F.min("at").cast("long").alias("start"), words.cast("long").alias("words"), F.collect_set("first").alias("of")).drop("stretch")
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
@@ -250,15 +168,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents, each with all its columns, and without passages that an earlier document has.
 
     A passage is a match of at least MIN_WORDS words (runs of other than ASCII white space, compared
-    exactly) with a document of smaller doc_id; it stays where its first holder has it. Added:
-    removed_words, removed (start and length in words of what was cut, in the old text) and kept_in
-    (ids of earlier documents that hold such passages). n_chars, where there is such a column, is
+    by 64-bit hashes of MIN_WORDS words in turn) with a document of smaller doc_id; it stays where its
+    first holder has it. Added: removed_words, removed (start and length in words of what was cut, in
+    the old text) and kept_in (ids of the first holders of such passages). n_chars, where there is such a column, is
     counted anew for changed texts. Null, empty and short texts and rows with a null doc_id come back
     unchanged; repeats inside one document are no matches; rows that repeat a doc_id and text count
     as one document and are cut alike. Nothing is capped; whole texts are read.
     """
-    runs = materialize(runs_of(matches(docs)), "suffix-runs")
-    cut = extended(docs, runs).groupBy("doc").agg(F.collect_list(F.struct("print", "start", "words", "of")).alias("cuts"))
+    cut = passages(docs).groupBy("doc").agg(F.collect_list(F.struct("print", "start", "words", "of")).alias("cuts"))
 
     @F.pandas_udf("text string, removed_words long, removed array<struct<start: long, words: long>>, kept_in array<long>")
     def apply(texts: pd.Series, prints: pd.Series, cuts: pd.Series) -> pd.DataFrame:
@@ -269,7 +186,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((text, 0, [], []))
                 continue
             left, n, removed = _cut(text, [(c["start"], c["start"] + c["words"]) for c in mine])
-            rows.append((left, n, [{"start": a, "words": b} for a, b in removed], sorted({c["of"] for c in mine})))
+            rows.append((left, n, [{"start": a, "words": b} for a, b in removed], sorted({i for c in mine for i in c["of"]})))
         return pd.DataFrame(rows, columns=["text", "removed_words", "removed", "kept_in"])
 
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), F.xxhash64(docs["text"]).alias("print"))

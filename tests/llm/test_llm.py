@@ -170,6 +170,18 @@ def test_repeats_in_lines_with_changing_fields(spark):
     held_to_brute_force(spark, texts)
 
 
+def test_repeats_with_short_and_long_holders_of_a_core(spark):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for _ in range(12):
+        passage = fresh(56)
+        for k in range(12):
+            n = 50 + k % 7 if k % 2 else 35 + k
+            texts.append(" ".join(fresh(rng.integers(0, 30)) + (passage[:n] if k % 3 else passage[-n:]) + fresh(rng.integers(0, 30))))
+    held_to_brute_force(spark, texts)
+
+
 def test_repeats_at_partition_bounds(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "31")
