@@ -182,6 +182,14 @@ def test_repeats_with_short_and_long_holders_of_a_core(spark):
     held_to_brute_force(spark, texts)
 
 
+def test_first_holder_of_a_passage_has_a_small_row(spark):
+    rng = np.random.default_rng(6)
+    texts = [PROSE + " " + " ".join(f"v{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(300)]
+    cores = len(np.unique(suffixdedup.run_cores(suffixdedup._doubled(word_hashes(PROSE, Hashes(), lower=False)))))
+    rows = suffixdedup.shared_cores(documents(spark, texts)).collect()
+    assert len(rows) == 300 and all(cores <= len(r["keys"]) <= cores + 5 for r in rows)
+
+
 def test_repeats_at_partition_bounds(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "31")
