@@ -316,6 +316,20 @@ def test_blocks_decode_and_collapse():
     assert htmltext.blocks("") == [] and htmltext.blocks("<p") and not htmltext.blocks("<!-- open <p>x</p>")
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<p>a</p><svg-icon></svg-icon><p>b</p>", ["a", "b"]),
+        ("<p>a</p><template-card>c</template-card><style-guide>d</style-guide><p>b</p>", ["a", "c", "d", "b"]),
+        ("<p>a</p><svg/><svg title='x>y' /><p>b</p><svg><path/>no</svg><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><iframe src=x><svg><template><p>b</p>", ["a", "b"]),
+        ("<p>a</p><template>no</template><script>var x = '<p>no</p>';", ["a"]),
+    ],
+)
+def test_raw_tags_end_where_they_should(page, texts):
+    assert [b.text for b in htmltext.blocks(page)] == texts
+
+
 def test_labeller_on_pages_not_seen():
     maker, model, right, total = htmltext.PageMaker(12345), htmltext.production_labeller(), 0, 0
     for _ in range(150):
