@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlake.session import shared_dir
+
 #: Words, as the contracts define them, in Java, RE2 and Python syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,15 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='meterlake-')}"
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again, so that a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import scalar
 from meterlake.operators import gate, metering, metrics, shape, store
-from meterlake.session import table
+from meterlake.session import shared_dir, table
 from meterlake.sources import readers
 from meterlake.streaming import jobs
 
@@ -363,10 +363,15 @@ def q45_vector_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
     """The rows that a stream has given once all its input is read."""
-    name = f"stream_{uuid.uuid4().hex}"
-    run = out.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = f"{folder}/rows"
+    sink = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        run = sink.format("parquet").option("path", rows).start()
+    else:
+        run = sink.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows)).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(rows)
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 from meterlake.plans import catalog
+from meterlake.session import shared_dir
 from tests.conftest import DATA, rows_of
 
 
@@ -30,3 +31,10 @@ def test_report_reaches_the_scan(spark):
     plan = catalog.QUERIES["q02_api_report"](spark, DATA)._jdf.queryExecution().toString()
     assert "PushedFilters: [In(event_type" in plan and "TakeOrderedAndProject" in plan or "GlobalLimit" in plan
     assert "props" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("name", ["q46_stream_rpm", "q47_stream_dedupe"])
+def test_streams_write_to_the_shared_folder(spark, name):
+    files = catalog.QUERIES[name](spark, DATA).inputFiles()
+    shared = shared_dir(spark).split(":")[-1].lstrip("/")
+    assert files and all(shared in f and f.endswith(".parquet") for f in files)
