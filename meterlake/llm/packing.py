@@ -20,8 +20,10 @@ from meterlake.llm.words import whole_numbers
 
 LENGTH, END_ID = 2048, 1
 K1, B = 1.2, 0.75
-#: A seed asks for its terms of greatest weight; neighbours come in lots of RETRIEVED until the window is full.
-QUERY_TERMS, RETRIEVED = 24, 64
+#: Neighbours of a seed come in lots of RETRIEVED until the window is full or no document shares a term.
+RETRIEVED = 64
+#: Documents are dealt to shards by this many of their weightiest terms, of those that COMMON documents hold.
+DEALT_TERMS, COMMON = 4, 64
 #: A shard is closed at this many documents or tokens.
 SHARD_DOCS, SHARD_TOKENS = 4096, 4 << 20
 #: Cores that a task remembers; beyond these it starts anew. Documents that are tokenized together.
@@ -183,8 +185,8 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, ids binary")
 
 
-def token_statistics(tokens: DataFrame) -> tuple[np.ndarray, float]:
-    """Inverse document frequency of every id over all documents, and their mean length. One number per id comes to the driver."""
+def token_statistics(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Documents that hold every id, its inverse document frequency, and the mean length of documents. One number per id comes to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(1 << 16, np.int64)
@@ -204,7 +206,30 @@ def token_statistics(tokens: DataFrame) -> tuple[np.ndarray, float]:
     for i, n in found.items():
         if i >= 0:
             held[i] = n
-    return np.log1p((docs - held + 0.5) / (held + 0.5)).astype(np.float32), found.get(-2, 0) / max(docs, 1)
+    return held, np.log1p((docs - held + 0.5) / (held + 0.5)).astype(np.float32), found.get(-2, 0) / max(docs, 1)
+
+
+def dealt(tokens: DataFrame, held: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """The rows of tokens, range-partitioned and sorted by their weightiest common terms, so that documents that share them meet.
+
+    Rows of equal terms are parted by doc_id and ids, so a term of many documents is spread.
+    """
+    names = [f"t{k}" for k in range(DEALT_TERMS)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tops = np.full((len(batch), DEALT_TERMS), -1, np.int32)
+            for top, raw in zip(tops, batch.ids):
+                terms, often = np.unique(np.frombuffer(raw, "<u2"), return_counts=True)
+                mine = (terms != END_ID) & (held[terms] >= COMMON)
+                terms, often = terms[mine], often[mine]
+                best = terms[np.argsort(-idf[terms] * often * (K1 + 1) / (often + K1), kind="stable")[:DEALT_TERMS]]
+                top[: len(best)] = best
+            yield batch.assign(**{name: tops[:, k] for k, name in enumerate(names)})
+
+    keyed = tokens.mapInPandas(run, "doc_id string, ids binary, " + ", ".join(f"{n} int" for n in names)).withColumn("print", F.xxhash64("ids"))
+    by = [*names, "doc_id", "print"]
+    return keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "ids")
 
 
 class Shard:
@@ -218,26 +243,35 @@ class Shard:
         often = np.concatenate([n for _, n in counted]).astype(np.float32)
         norm = (K1 * (1 - B + B * np.array([len(d) for d in docs], np.float32) / max(mean_length, 1)))[owner]
         weight = idf[term] * often * (K1 + 1) / (often + norm)
-        self.bounds = np.cumsum([0, *(len(t) for t, _ in counted)])
-        self.terms, self.weights = term, weight
+        self.queries = [t[t != END_ID] for t, _ in counted]
         order = np.argsort(term, kind="stable")
-        self.posted_doc, self.posted_weight = owner[order], weight[order]
-        self.starts = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        order = order[term[order] != END_ID]
+        self.posted_term, self.posted_doc, self.posted_weight = term[order], owner[order], weight[order]
         self.unused = np.ones(len(docs), bool)
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by falling BM25 score for the seed's weightiest terms; ties in shard order."""
-        mine = slice(self.bounds[seed], self.bounds[seed + 1])
-        terms, weights = self.terms[mine], self.weights[mine]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
+        self._index()
+
+    def _index(self) -> None:
+        """Drops the postings of used documents."""
+        left = self.unused[self.posted_doc]
+        self.posted_term, self.posted_doc, self.posted_weight = self.posted_term[left], self.posted_doc[left], self.posted_weight[left]
+        self.starts = np.searchsorted(self.posted_term, np.arange((1 << 16) + 1))
+        self.indexed = np.count_nonzero(self.unused)
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents that share a term with the seed, by falling BM25 score for all of its terms; ties in shard order."""
+        if 4 * np.count_nonzero(self.unused) < 3 * self.indexed:
+            self._index()
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[seed].tolist()]
+        if not spans:
+            return
         hit = np.concatenate([self.posted_doc[s] for s in spans])
         scores = np.bincount(hit, np.concatenate([self.posted_weight[s] for s in spans]), minlength=len(self.docs)) * self.unused
         found = np.flatnonzero(scores)
-        if len(found) > RETRIEVED:
-            found = np.sort(found[np.argpartition(-scores[found], RETRIEVED)[:RETRIEVED]])
-        return found[np.argsort(-scores[found], kind="stable")]
+        while len(found):
+            least = np.partition(scores[found], len(found) - RETRIEVED)[len(found) - RETRIEVED] if len(found) > RETRIEVED else 0
+            lot = found[scores[found] >= least]
+            yield from lot[np.argsort(-scores[lot], kind="stable")].tolist()
+            found = found[scores[found] < least]
 
     def order(self) -> list[int]:
         """All documents in packing order. A document that overflows a window is the seed of the next."""
@@ -259,7 +293,7 @@ class Shard:
             window = filled // LENGTH
             if filled % LENGTH:
                 for doc in self.neighbours(seed):
-                    take(int(doc))
+                    take(doc)
                     if filled // LENGTH > window:
                         break
             seed = out[-1] if filled // LENGTH > window and filled % LENGTH and len(self.docs[out[-1]]) > 0 and out[-1] != seed else None
@@ -284,14 +318,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
     """PIECES: every id of every document, in exactly one piece of a sequence of at most LENGTH ids.
 
     A document's ids are the tokenizer's for its whole text (null: none), then END_ID. Document
-    frequencies and the mean length are taken over all documents. Shards are runs of a task's
-    documents, so packing shuffles nothing; sequences do not cross shards, and a shard's last tokens
+    frequencies and the mean length are taken over all documents. Documents are dealt to tasks by their
+    weightiest terms and shards are runs of a task's documents; sequences do not cross shards, and a shard's last tokens
     are cut into powers of two, so that no sequence is padded. Rows that repeat a doc_id are
     documents of their own; null ids stay null. Only doc_id and text are read; an empty table gives
     no rows. ids is null unless asked for.
     """
     tokens = materialize(tokenized(docs, tokenizer or default_tokenizer()), "pack-tokens")
-    idf, mean_length = token_statistics(tokens)
+    held, idf, mean_length = token_statistics(tokens)
 
     def place(names: list[str | None], ids: list[np.ndarray], first_sequence: int) -> tuple[pd.DataFrame, int]:
         order = Shard(ids, idf, mean_length).order()
@@ -335,4 +369,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
         if ids:
             yield place(names, ids, sequence)[0]
 
-    return tokens.mapInPandas(run, PIECES)
+    return dealt(tokens, held, idf).mapInPandas(run, PIECES)

@@ -94,6 +94,24 @@ def test_packing_takes_neighbours_first():
     assert sum(a % 4 == b % 4 for a, b in zip(order, order[1:])) >= 30
 
 
+def test_packing_fills_windows_with_all_neighbours():
+    rng = np.random.default_rng(1)
+    docs = [(2000 * (k % 2) + rng.permutation(np.append(rng.integers(0, 200, 9), 500))).astype("<u2") + 10 for k in range(400)]
+    order = packing.Shard(docs, np.ones(1 << 16, np.float32), 10).order()
+    assert sorted(order) == list(range(400)) and sum(a % 2 != b % 2 for a, b in zip(order, order[1:])) == 1
+    seed = np.arange(100, 200).repeat(3)
+    weak = np.array([300, packing.END_ID])
+    docs = [np.append(seed, 300).astype("<u2"), np.array([400, packing.END_ID], "<u2"), weak.astype("<u2")]
+    assert packing.Shard(docs, np.ones(1 << 16, np.float32), 100).order() == [0, 2, 1]
+
+
+def test_packing_deals_documents_by_content(spark):
+    texts = [f"{'apple' if k % 2 else 'river'} " * 30 for k in range(200)]
+    got = packing.pack(documents(spark, texts).repartition(4)).toPandas().sort_values(["sequence_id", "offset"])
+    order = got[got.start == 0].doc_id.to_list()
+    assert len(order) == 200 and sum(a % 2 != b % 2 for a, b in zip(order, order[1:])) == 1
+
+
 # language
 
 
