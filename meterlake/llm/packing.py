@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -16,21 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import materialize
-from meterlake.llm.words import whole_numbers
+from meterlake.llm.words import mix, whole_numbers
 
 LENGTH, END_ID = 2048, 1
 K1, B = 1.2, 0.75
-#: Neighbours of a seed come in lots of RETRIEVED until the window is full or no document shares a term.
+#: Neighbours of a seed are put in order in lots of RETRIEVED, until the window is full or no document shares a term.
 RETRIEVED = 64
 #: Documents are dealt to shards by this many of their weightiest terms, of those that COMMON documents hold.
 DEALT_TERMS, COMMON = 4, 64
 #: A shard is closed at this many documents or tokens.
-SHARD_DOCS, SHARD_TOKENS = 4096, 4 << 20
-#: Cores that a task remembers; beyond these it starts anew. Documents that are tokenized together.
-KNOWN_CORES, TOKENIZED_DOCS = 300_000, 2500
+SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 20
+#: Runs that a task remembers; beyond these it starts anew. Documents and bytes that are tokenized together.
+KNOWN_RUNS, TOKENIZED_DOCS, PIECE_BYTES = 600_000, 2500, 4 << 20
 #: The rank of a pair that does not merge.
 NO_MERGE = 0xFFFF
-_MARKS = frozenset(b".,;:!?")
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def default_tokenizer() -> str:
@@ -119,57 +119,192 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+#: What the fast path knows how to do; any other tokenizer encodes whole texts itself.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES_OF = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+#: Classes of bytes. ODD words go to the tokenizer as they are.
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+#: Bytes of the longest run that is looked up by its bytes.
+RUN_BYTES = 24
+
+
+def _byte_classes() -> np.ndarray:
+    """ASCII by kind; leading bytes of U+00C0 to U+017F and continuation bytes as letters; control characters and what lies beyond as odd."""
+    out = np.full(256, ODD, np.uint8)
+    out[33:127] = OTHER
+    out[[9, 10, 11, 12, 13, 32]] = SPACE
+    out[ord("a") : ord("z") + 1] = LETTER
+    out[ord("0") : ord("9") + 1] = DIGIT
+    out[0x80:0xC0] = out[0xC3:0xC6] = LETTER
+    return out
+
+
+_CLASSES = _byte_classes()
+#: Lower case of code points below U+0180, each of two bytes as those are; U+0130 has none of one letter and stays.
+_LOWER = np.array([ord(c) if len(c := chr(k).lower()) == 1 else k for k in range(0x180)], np.uint16)
+
+
 @cache
 def _loaded(path: str) -> tuple:
-    """The tokenizer, and its merges if runs of letters are words of their own to it; once per worker."""
+    """The tokenizer, and its merges if its rules are those of the fast path; once per worker."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("ids must fit 16 bits")
-    return tokenizer, LetterMerges(json.loads(tokenizer.to_str())["model"])
+    whole = json.loads(tokenizer.to_str())
+    model, steps = whole["model"], (whole["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+    known = (
+        whole["normalizer"] == NORMALIZER
+        and [steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")] == [{"Regex": PIECES_OF}, "Removed", True]
+        and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+        and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+        and model["type"] == "BPE"
+        and model["end_of_word_suffix"]
+        and not (model["dropout"] or model["continuing_subword_prefix"] or model["byte_fallback"] or model["ignore_merges"])
+        and all(t["special"] and t["content"].startswith("<|") for t in whole["added_tokens"])
+    )
+    return tokenizer, LetterMerges(model) if known else None
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of the runs (start, size), one run after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word, each distinct word being tokenized once.
-
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words
-    in turn. A final mark is never joined to letters before it, so words that differ in it share
-    their core's ids. It lower-cases; for ASCII that is done before words are told apart, but not in
-    texts that might hold a special token in capitals. Cores of normalised lower-case letters go
-    through LetterMerges, all others through the tokenizer.
+    """Ids of whole texts; each distinct run of letters, digit or run of marks is merged once.
+
+    The tokenizer drops white space, lower-cases, and merges within runs of letters, single digits,
+    runs of marks and the English contractions. Runs are found in the bytes of many texts at once and
+    told apart by their bytes. Letters are those of ASCII and U+00C0 to U+017F, of which each has a
+    lower case of one letter (but U+0130) and nothing to compose. A word that holds any other
+    character, a contraction or a run above RUN_BYTES goes to the tokenizer itself, and so does a
+    whole text that might hold a special token.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.merges = _loaded(path)
-        self.cores: dict[bytes, bytes] = {b"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.starts = self.sizes = np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint16)
+        self.odd: dict[bytes, tuple[int, int]] = {}
+
+    def _added(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes in the pool of newly encoded runs or words."""
+        sizes = np.array([len(x) // 2 for x in found], np.int64)
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(found), np.uint16))
+        return starts, sizes
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _lowered(raw: bytes) -> np.ndarray:
+        """The bytes in lower case; letters beyond ASCII by code point."""
+        out = np.frombuffer(raw.lower(), np.uint8)
+        lead = np.flatnonzero((out >= 0xC3) & (out <= 0xC5))
+        if len(lead):
+            out = out.copy()
+            low = _LOWER[(out[lead].astype(np.uint16) & 0x1F) << 6 | out[lead + 1] & 0x3F]
+            out[lead], out[lead + 1] = 0xC0 | low >> 6, 0x80 | low & 0x3F
+        return out
 
     @staticmethod
-    def _letters(core: bytes) -> bool:
-        if core.isascii():
-            return core.isalpha() and core.islower()
-        text = core.decode()
-        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+    def _classes(text: np.ndarray) -> np.ndarray:
+        """A class per byte; all of a word that the fast path does not know is ODD."""
+        kind = _CLASSES[text]
+        strange = [np.flatnonzero(kind == ODD)]
+        lead = np.flatnonzero((text == 0xC3) | (text == 0xC4))
+        after = text[lead + 1]
+        strange.append(lead[np.where(text[lead] == 0xC3, (after == 0x97) | (after == 0xB7), after == 0xB0)])
+        quote = np.flatnonzero(text == ord("'"))
+        if len(quote):
+            after, then = text[quote + 1], text[np.minimum(quote + 2, len(text) - 1)]
+            strange.append(quote[np.isin(after, list(b"stmd")) | (then == ord("e")) & ((after == ord("r")) | (after == ord("v"))) | (after == ord("l")) & (then == ord("l"))])
+        cuts = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        runs = np.diff(cuts) > RUN_BYTES
+        strange.append(cuts[:-1][runs & (kind[cuts[:-1]] != SPACE)])
+        strange = np.concatenate(strange)
+        if len(strange):
+            gaps = np.flatnonzero(kind == SPACE)
+            begin = gaps[np.unique(np.searchsorted(gaps, strange)) - 1] + 1
+            kind[_spans(begin, gaps[np.searchsorted(gaps, begin)] - begin)] = ODD
+        return kind
+
+    def _piece(self, text: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the units of a text that begins and ends with a space, and the start and size in the pool of each one's ids."""
+        kind = self._classes(text)
+        cuts = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) + 1
+        size = np.diff(np.append(cuts, len(text)))
+        real = kind[cuts] != SPACE
+        cuts, size = cuts[real], size[real]
+        odd = kind[cuts] == ODD
+        starts, sizes = np.empty(len(cuts), np.int64), np.empty(len(cuts), np.int64)
+        if odd.any():
+            words = [raw[a : a + n] for a, n in zip(cuts[odd].tolist(), size[odd].tolist())]
+            new = [w for w in dict.fromkeys(words) if w not in self.odd]
+            self.odd.update(zip(new, zip(*(x.tolist() for x in self._added(self._whole([w.decode() for w in new]))))))
+            starts[odd], sizes[odd] = np.array([self.odd[w] for w in words]).T
+        plain = np.flatnonzero(~odd)
+        at, n = cuts[plain], size[plain]
+        # eight bytes from every position on, then up to RUN_BYTES of every run
+        eight = np.append(text, np.zeros(RUN_BYTES, np.uint8)).astype(np.uint64)
+        for k in (1, 2, 4):
+            eight[:-k] |= eight[k:] << np.uint64(8 * k)
+        parts = []
+        for k in range(0, RUN_BYTES, 8):
+            left = np.clip(n - k, 0, 8).astype(np.uint64)
+            parts.append(np.where(left > 0, eight[at + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.maximum(left, np.uint64(1)))), np.uint64(0)))
+        key = mix(mix(mix(parts[0]) + parts[1]) + parts[2])
+        distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
+        if not all((p[first][place] == p).all() for p in parts):
+            raise ValueError("two runs of equal hashes in one piece")
+        where = np.searchsorted(self.keys, distinct)
+        missing = np.flatnonzero(np.append(self.keys, np.uint64(0))[where] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(missing):
+            run = first[missing]
+            lower = text.tobytes()
+            new = self._added(self.merges.encode([lower[a : a + m] for a, m in zip(at[run].tolist(), n[run].tolist())]))
+            keys = np.append(self.keys, distinct[missing])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.starts, self.sizes = keys[order], np.append(self.starts, new[0])[order], np.append(self.sizes, new[1])[order]
+            where = np.searchsorted(self.keys, distinct)
+        starts[plain], sizes[plain] = self.starts[where][place], self.sizes[where][place]
+        return cuts, starts, sizes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, END_ID last; null is empty."""
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        words = set().union(*split)
-        marks = _MARKS
-        parts = [(w[:-1], w[-1:]) if w[-1] in marks and (w[:-1].isalpha() or not w.isascii() and w[:-1].decode().isalpha()) else (w, b"") for w in words]
-        if len(self.cores) > KNOWN_CORES:
-            self.cores = {b"": b""}
-        cores = self.cores
-        missing = list({x for p in parts for x in p} - cores.keys())
-        letters = [c for c in missing if self._letters(c)]
-        cores.update(zip(letters, self.merges.encode(letters)))
-        others = [c for c in missing if c not in cores]
-        for core, found in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)):
-            cores[core] = array("H", found.ids).tobytes()
-        known = dict(zip(words, [cores[core] + cores[mark] if mark else cores[core] for core, mark in parts]))
         end = array("H", [END_ID]).tobytes()
-        return [b"".join(map(known.__getitem__, w)) + end for w in split]
+        if self.merges is None:
+            return [x + end for x in self._whole([t or "" for t in texts])]
+        raw = [b"" if not t or "<|" in t else t.encode("utf-8", "replace") for t in texts]
+        special = [k for k, t in enumerate(texts) if t and "<|" in t]
+        whole = dict(zip(special, self._whole([texts[k] for k in special])))
+        buffer = b"\n".join([b"", *raw, b""])
+        begins = np.cumsum([1, *(len(r) + 1 for r in raw)])
+        ids, units, counts, at = [], [], [], 0
+        while at < len(buffer) - 1:
+            stop = len(buffer)
+            if stop - at > PIECE_BYTES and (gap := _GAP.search(buffer, at + PIECE_BYTES)):
+                stop = gap.end()
+            if len(self.keys) + len(self.odd) > KNOWN_RUNS:
+                self._forget()
+            piece = buffer[at:stop]
+            found, starts, sizes = self._piece(self._lowered(piece), piece)
+            ids.append(self.pool[_spans(starts, sizes)])
+            units.append(found + at)
+            counts.append(sizes)
+            at = stop - 1
+        flat = np.concatenate(ids).tobytes() if ids else b""
+        total = np.append(0, np.cumsum(np.concatenate(counts))) if counts else np.zeros(1, np.int64)
+        bounds = 2 * total[np.searchsorted(np.concatenate(units), begins)] if units else np.zeros(len(begins), np.int64)
+        return [whole[k] + end if k in whole else flat[a:b] + end for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))]
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
@@ -185,6 +320,18 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, ids binary")
 
 
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 16-bit ids of a document, in order, and how often each occurs. Stable sorts of 16-bit numbers are radix sorts."""
+    ordered = np.sort(ids, kind="stable")
+    edge = np.ones(len(ids), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=edge[1:])
+    at = np.flatnonzero(edge)
+    often = np.empty(len(at), np.int64)
+    often[:-1] = at[1:] - at[:-1]
+    often[-1:] = len(ids) - at[-1:]
+    return ordered[at], often
+
+
 def token_statistics(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Documents that hold every id, its inverse document frequency, and the mean length of documents. One number per id comes to the driver."""
 
@@ -194,7 +341,7 @@ def token_statistics(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         for batch in batches:
             for raw in batch.ids:
                 ids = np.frombuffer(raw, "<u2")
-                held[np.unique(ids)] += 1
+                held[counted(ids)[0]] += 1
                 docs, length = docs + 1, length + len(ids)
         some = np.flatnonzero(held)
         yield pd.DataFrame({"id": [*some, -1, -2], "n": [*held[some], docs, length]})
@@ -220,7 +367,7 @@ def dealt(tokens: DataFrame, held: np.ndarray, idf: np.ndarray) -> DataFrame:
         for batch in batches:
             tops = np.full((len(batch), DEALT_TERMS), -1, np.int32)
             for top, raw in zip(tops, batch.ids):
-                terms, often = np.unique(np.frombuffer(raw, "<u2"), return_counts=True)
+                terms, often = counted(np.frombuffer(raw, "<u2"))
                 mine = (terms != END_ID) & (held[terms] >= COMMON)
                 terms, often = terms[mine], often[mine]
                 best = terms[np.argsort(-idf[terms] * often * (K1 + 1) / (often + K1), kind="stable")[:DEALT_TERMS]]
@@ -237,13 +384,13 @@ class Shard:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.docs = docs
-        counted = [np.unique(d, return_counts=True) for d in docs]
-        term = np.concatenate([t for t, _ in counted])
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t, _ in counted])
-        often = np.concatenate([n for _, n in counted]).astype(np.float32)
-        norm = (K1 * (1 - B + B * np.array([len(d) for d in docs], np.float32) / max(mean_length, 1)))[owner]
+        found = [counted(d) for d in docs]
+        term = np.concatenate([t for t, _ in found])
+        owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in found])
+        often = np.concatenate([n for _, n in found]).astype(np.float64)
+        norm = (K1 * (1 - B + B * np.array([len(d) for d in docs], np.float64) / max(mean_length, 1)))[owner]
         weight = idf[term] * often * (K1 + 1) / (often + norm)
-        self.queries = [t[t != END_ID] for t, _ in counted]
+        self.queries = [t[t != END_ID] for t, _ in found]
         order = np.argsort(term, kind="stable")
         order = order[term[order] != END_ID]
         self.posted_term, self.posted_doc, self.posted_weight = term[order], owner[order], weight[order]
@@ -261,11 +408,9 @@ class Shard:
         """Unused documents that share a term with the seed, by falling BM25 score for all of its terms; ties in shard order."""
         if 4 * np.count_nonzero(self.unused) < 3 * self.indexed:
             self._index()
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[seed].tolist()]
-        if not spans:
-            return
-        hit = np.concatenate([self.posted_doc[s] for s in spans])
-        scores = np.bincount(hit, np.concatenate([self.posted_weight[s] for s in spans]), minlength=len(self.docs)) * self.unused
+        terms = self.queries[seed]
+        at = _spans(self.starts[terms], self.starts[terms + np.uint16(1)] - self.starts[terms])
+        scores = np.bincount(self.posted_doc[at], self.posted_weight[at], minlength=len(self.docs)) * self.unused
         found = np.flatnonzero(scores)
         while len(found):
             least = np.partition(scores[found], len(found) - RETRIEVED)[len(found) - RETRIEVED] if len(found) > RETRIEVED else 0
@@ -320,9 +465,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
     A document's ids are the tokenizer's for its whole text (null: none), then END_ID. Document
     frequencies and the mean length are taken over all documents. Documents are dealt to tasks by their
     weightiest terms and shards are runs of a task's documents; sequences do not cross shards, and a shard's last tokens
-    are cut into powers of two, so that no sequence is padded. Rows that repeat a doc_id are
-    documents of their own; null ids stay null. Only doc_id and text are read; an empty table gives
-    no rows. ids is null unless asked for.
+    are cut into powers of two, so that no sequence is padded. A seed is scored against every unused
+    document of its shard by all of its terms. Rows that repeat a doc_id are documents of their own;
+    null ids stay null; ties go by shard order. Texts of any length are taken whole. Only doc_id and
+    text are read; an empty table gives no rows. ids is null unless asked for. A tokenizer file whose
+    rules the fast path does not know is used as it is, text by text.
     """
     tokens = materialize(tokenized(docs, tokenizer or default_tokenizer()), "pack-tokens")
     held, idf, mean_length = token_statistics(tokens)
