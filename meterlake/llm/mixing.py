@@ -13,6 +13,8 @@ PERIOD, GOLDEN = 2**31, 1327217885
 MAX_EPOCHS = 3
 BLOCK_WORDS = 64
 SLOTS_PER_CHUNK = 8192
+#: Points of a cell of the circle; chunks that one task makes, up to this many tasks.
+CELL, CHUNKS_PER_TASK, MAX_TASKS = 2**19, 8, 50_000
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -48,52 +50,70 @@ def slot_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     """The schedule: slot, sid, rank (from 0; the source's block that the slot takes).
 
     Slot i falls on the point i * GOLDEN mod PERIOD; the cumulative targets cut the circle of points
-    into one arc per source. Ranks are counts per (chunk of slots, source), summed over the chunks,
-    plus the place within the chunk, so that no task orders all slots of a source.
+    into one arc per source. Arcs are listed under the cells of the circle that they touch, so a slot
+    meets the arcs of its own cell: one row per source and one per cell in all. Ranks are counts per
+    (chunk of slots, source), summed over the chunks, plus the place within the chunk, so that no task
+    orders all slots of a source. A source takes as many blocks as its target needs: ranks beyond are
+    left out, and what the points have not given (a few blocks at most) follows after the last slot.
     """
-    arcs = targets.agg(
-        F.max("total").alias("total"),
-        F.array_sort(F.collect_list(F.struct("sid", F.round(F.col("target") / F.col("total") * PERIOD).cast("long").alias("arc")))).alias("arcs"),
+    spark = targets.sparkSession
+    total = targets.agg(F.max("total")).first()[0] or 0
+    slots = -(-total // block_words)
+    chunks = -(-slots // SLOTS_PER_CHUNK)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    arc = F.round(F.col("target") / F.col("total") * PERIOD).cast("long")
+    arcs = (
+        targets.where(F.col("total") > 0)
+        .withColumn("hi", F.sum(arc).over(Window.orderBy("sid")))
+        .withColumn("lo", F.col("hi") - arc)
+        .withColumn("hi", F.when(F.col("sid") == F.max("sid").over(everything), F.lit(PERIOD)).otherwise(F.col("hi")))
+        .where("lo < hi")
+        .select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL))).alias("cell"))
     )
-    ends = F.transform("arcs", lambda x, i: F.aggregate(F.slice("arcs", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y["arc"]))
-    last = F.element_at("arcs", -1)["sid"]
-    slots = F.ceil(F.col("total") / block_words)
-    chunks = (
-        arcs.where(F.col("total") > 0)
-        .select(ends.alias("ends"), last.alias("last"), slots.alias("slots"))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS_PER_CHUNK))).alias("chunk"))
-        .repartition("chunk")
+    # each chunk is a row of a range that many tasks share; its slots are made where it lies
+    made = spark.range(0, chunks, 1, max(1, min(-(-chunks // CHUNKS_PER_TASK), MAX_TASKS))).withColumnRenamed("id", "chunk")
+    placed = (
+        made.select("chunk", F.explode(F.sequence(F.col("chunk") * SLOTS_PER_CHUNK, F.least(F.lit(slots), (F.col("chunk") + 1) * SLOTS_PER_CHUNK) - 1)).alias("slot"))
+        .withColumn("point", (F.col("slot") % PERIOD) * GOLDEN % PERIOD)
+        .withColumn("cell", F.floor(F.col("point") / CELL))
+        .join(arcs, "cell")
+        .where("lo <= point and point < hi")
+        .select("chunk", "slot", "sid")
     )
-    point = (F.col("slot") % PERIOD) * GOLDEN % PERIOD
-    placed = chunks.select(
-        "chunk",
-        "ends",
-        "last",
-        F.explode(F.sequence(F.col("chunk") * SLOTS_PER_CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * SLOTS_PER_CHUNK) - 1)).alias("slot"),
-    ).withColumn("point", point)
-    placed = placed.select("chunk", "slot", F.least(F.size(F.filter("ends", lambda e: e <= F.col("point"))).cast("long") + 1, F.col("last")).alias("sid"))
     counts = placed.groupBy("chunk", "sid").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("chunk", "sid", "base")
     within = F.row_number().over(Window.partitionBy("chunk", "sid").orderBy("slot")) - 1
-    # a merge join: by the size of the chunks before they are exploded, Spark would broadcast the slots
-    return placed.withColumn("within", within).join(bases.hint("merge"), ["chunk", "sid"]).select("slot", "sid", (F.col("base") + F.col("within")).alias("rank"))
+    need = targets.select("sid", F.ceil(goal_of(targets) / block_words).alias("need"))
+    # merge joins: by the size of the chunks before they are exploded, Spark would broadcast the slots
+    given = placed.withColumn("within", within).join(bases.hint("merge"), ["chunk", "sid"]).select("slot", "sid", (F.col("base") + F.col("within")).alias("rank"))
+    given = given.join(need, "sid").where("rank < need").select("slot", "sid", "rank")
+    had = counts.groupBy("sid").agg(F.sum("n").alias("n"))
+    short = need.join(had, "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < need")
+    added = short.select("sid", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("rank"))
+    return given.unionByName(added.select((F.lit(slots) + F.col("rank")).alias("slot"), "sid", "rank"))
+
+
+def goal_of(targets: DataFrame) -> Column:
+    """Whole words that a source gives."""
+    return F.round(targets["target"]).cast("long")
 
 
 def shuffled_blocks(docs: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Pieces of every source's shuffled stream: doc_id, source, size, copy, sid, epoch, block, start, length.
 
-    A source's stream is its documents in md5 order, once per epoch in another order, laid end to end
-    and cut into blocks of block_words. Offsets are sums per (source, epoch, first three digits of the
-    md5) plus the sum within, so a source with a third of all rows is spread over 4,096 groups.
+    A source's stream is its documents in md5 order, once per epoch in another order, laid end to end,
+    cut into blocks of block_words and ended at the source's goal. Offsets are sums per (source, epoch,
+    first three digits of the md5) plus the sum within, so a source with a third of all rows is spread
+    over 4,096 groups.
     """
-    # a source's slots exceed its target by a few blocks at most: the discrepancy of the points
     digest = F.md5(F.concat_ws(":", F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    needed = F.least(F.lit(max_epochs), F.floor((F.col("target") + 64 * block_words) / F.col("source_size")) + 1).cast("int")
+    needed = F.least(F.lit(max_epochs), F.ceil(F.col("goal") / F.col("source_size"))).cast("int")
     read = (
         docs.where("size > 0")
-        .join(targets.select("sid", F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))
-        .select("doc_id", "source", "size", "copy", "sid", "source_size", F.explode(F.sequence(F.lit(0), needed - 1)).alias("epoch"))
+        .join(targets.select("sid", F.col("source").alias("of"), "source_size", goal_of(targets).alias("goal")), F.col("source").eqNullSafe(F.col("of")))
+        .where("goal > 0")
+        .select("doc_id", "source", "size", "copy", "sid", "source_size", "goal", F.explode(F.sequence(F.lit(0), needed - 1)).alias("epoch"))
         .withColumn("digest", digest)
         .withColumn("bucket", F.substring("digest", 1, 3))
     )
@@ -105,7 +125,8 @@ def shuffled_blocks(docs: DataFrame, targets: DataFrame, block_words: int = BLOC
         read.withColumn("inner", F.sum("size").over(inner))
         .join(bases, ["sid", "epoch", "bucket"])
         .withColumn("first", F.col("epoch") * F.col("source_size") + F.col("base") + F.col("inner") - F.col("size"))
-        .withColumn("end", F.col("first") + F.col("size"))
+        .withColumn("end", F.least(F.col("first") + F.col("size"), "goal"))
+        .where("first < end")
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block_words), F.floor((F.col("end") - 1) / block_words))))
     )
     low: Column = F.greatest(F.col("first"), F.col("block") * block_words)
@@ -130,7 +151,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(measured documents, targets, mixture); the mixture has a row per piece: slot, doc_id, source, size, copy, epoch, start, length.
 
-    Null and empty texts have size 0 and are never taken. Null sources are one source, the last.
+    Every source gives its target, rounded to whole words. Null and empty texts have size 0 and are never taken. Null sources are one source, the last.
     Repeated rows count once each. An empty table gives three empty results. Only doc_id, text and
     source are read, so further columns may have any name. Reruns agree: nothing is random.
     """
@@ -138,7 +159,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_E
     targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs), "mix-targets")
     pieces = shuffled_blocks(sized, targets, block_words, max_epochs)
     schedule = slot_schedule(targets, block_words).withColumnRenamed("rank", "block")
-    mixture = pieces.join(schedule, ["sid", "block"]).select("slot", "doc_id", "source", "size", "copy", "epoch", "start", "length")
+    # both sides grow with the words of the corpus: neither may be broadcast
+    mixture = pieces.join(schedule.hint("merge"), ["sid", "block"]).select("slot", "doc_id", "source", "size", "copy", "epoch", "start", "length")
     return sized, targets, mixture
 
 

@@ -22,8 +22,13 @@ arcs AS (
 slots AS (
   SELECT i AS slot, ((i % 2147483648) * 1327217885) % 2147483648 AS point
   FROM range((SELECT ceil(sum(size) / 64.0)::BIGINT FROM sized)) AS r(i)),
-schedule AS (
+given AS (
   SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM slots JOIN arcs ON point >= lo AND point < hi),
+needs AS (
+  SELECT sid, round(target)::BIGINT AS goal, ceil(round(target) / 64.0)::BIGINT AS need, (SELECT count(*) FROM given g WHERE g.sid = t.sid) AS n FROM targets t),
+schedule AS (
+  SELECT sid, block FROM given JOIN needs USING (sid) WHERE block < need
+  UNION ALL SELECT sid, unnest(range(n, need)) FROM needs),
 streams AS (
   SELECT doc_id, sized.source, size, copy, sid, epoch * source_size
     + sum(size) OVER (PARTITION BY sid, epoch ORDER BY md5(epoch::VARCHAR || ':' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size, copy ROWS UNBOUNDED PRECEDING) AS stop
@@ -31,8 +36,8 @@ streams AS (
 pieces AS (
   SELECT *, unnest(range((stop - size)::BIGINT // 64, (stop - 1)::BIGINT // 64 + 1)) AS block FROM streams),
 taken AS (
-  SELECT doc_id, source, size, copy, sum(least(stop, block * 64 + 64) - greatest(stop - size, block * 64)) AS words
-  FROM pieces SEMI JOIN schedule USING (sid, block) GROUP BY ALL)
+  SELECT doc_id, source, size, copy, sum(greatest(0, least(stop, block * 64 + 64, goal) - greatest(stop - size, block * 64))) AS words
+  FROM pieces JOIN needs USING (sid) SEMI JOIN schedule USING (sid, block) GROUP BY ALL)
 SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(k.words, 0)::BIGINT AS taken
 FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 LEFT JOIN taken k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.source IS NOT DISTINCT FROM k.source AND d.size = k.size AND d.copy = k.copy
