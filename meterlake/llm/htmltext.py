@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
@@ -27,32 +29,128 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag that ends an open one of the given kinds.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>"
-    r"|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<shut>template|noscript|iframe|svg)(?=[\s/>])[^>]*>.*?</(?P=shut)\s*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>"
-    r"|<[!?][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Elements whose content is no text of the page: to the end of the page if they stay open, and only where they are closed.
+RAW, SHUT = frozenset(["script", "style"]), frozenset(["template", "noscript", "iframe", "svg"])
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>")
+_CLOSING = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW | SHUT}
+_NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+
+
+class _Page:
+    """Where the tags of a page end. No search runs to the end of the page twice in vain, so a page takes time in proportion to its length."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.open_to_end: set[str] = set()
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def tag_end(self, at: int) -> int:
+        """Behind the tag whose attributes begin at at. A > in quotes does not end it, unless no other does."""
+        if self.places is None:
+            if found := _ATTRIBUTES.match(self.html, at):
+                return found.end()
+            self._all_ends()
+        k = bisect_left(self.places, at)
+        return self.ends[k] or self.html.index(">", at) + 1
+
+    def _all_ends(self) -> None:
+        """For each quote and >, the end of a tag that it is in; 0 if there is none. From the last to the first."""
+        self.places = [m.start() for m in re.finditer("[>\"']", self.html)]
+        self.ends = [0] * (len(self.places) + 1)
+        following: dict[str, int] = {}
+        for k in range(len(self.places) - 1, -1, -1):
+            mark = self.html[self.places[k]]
+            if mark == ">":
+                self.ends[k] = self.places[k] + 1
+            else:
+                self.ends[k] = self.ends[following[mark] + 1] if mark in following else 0
+                following[mark] = k
+
+    def closing(self, name: str, at: int) -> int:
+        """Behind the next closing tag of that name, or 0."""
+        if name in self.open_to_end:
+            return 0
+        if found := _CLOSING[name].search(self.html, at):
+            return found.end()
+        self.open_to_end.add(name)
+        return 0
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag or text, attributes) of a page in order; kind is text, open or close. Comments, declarations, self-closed and closed SHUT elements and RAW ones are left out."""
+    page, at = _Page(html), 0
+    while at < len(html):
+        begin = html.find("<", at)
+        if begin < 0 or begin > page.last and not html.startswith("<!--", begin):
+            yield "text", html[at:], ""
+            return
+        if begin > at:
+            yield "text", html[at:begin], ""
+        if html.startswith("<!--", begin):
+            at = html.find("-->", begin + 4) + 3
+            if at < 3:
+                return
+            continue
+        if html[begin + 1 : begin + 2] in ("!", "?"):
+            at = html.index(">", begin) + 1
+            continue
+        found = _TAG.match(html, begin)
+        if not found:
+            yield "text", "<", ""
+            at = begin + 1
+            continue
+        tag, at = found[1].lower(), page.tag_end(found.end())
+        attributes = html[found.end() : at - 1]
+        if html[begin + 1] == "/":
+            yield "close", tag, ""
+        elif tag in RAW:
+            at = page.closing(tag, at) or len(html)
+        elif tag == "svg" and attributes.endswith("/"):
+            continue
+        elif tag in SHUT and (behind := page.closing(tag, at)):
+            at = behind
+        else:
+            yield "open", tag, attributes
+
+
+class Place:
+    """An open element: its tag and names, the one around it, and the slots of PATH_SIZE that names from the root to here fall into, as bits."""
+
+    __slots__ = ("tag", "names", "around", "bits")
+
+    def __init__(self, tag: str, names: tuple[str, ...], around: Place | None):
+        self.tag, self.names, self.around = tag, names, around
+        self.bits = around.bits if around else 0
+        for name in (tag, *names):
+            self.bits |= 1 << _slot(name, PATH_SIZE)
 
 
 class Block:
-    """A run of text without a block-level tag in it: its text, tags from the root inward, and how much of it is links."""
+    """A run of text without a block-level tag in it: its text, where it is, and how much of it is links."""
 
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "place", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, place: Place | None, linked: int):
+        self.text, self.place, self.linked = text, place, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tags and names from the root inward."""
+        parts: list[str] = []
+        place = self.place
+        while place:
+            parts += [*reversed(place.names), place.tag]
+            place = place.around
+        return tuple(reversed(parts))
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order, with references decoded and white space collapsed; none are empty."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Place] = []
+    held: Counter[str] = Counter()
     parts: list[str] = []
     links = linked = 0
 
@@ -60,36 +158,36 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tuple(x for tag, names in stack for x in (tag, *names)), linked))
+            out.append(Block(text, stack[-1] if stack else None, linked))
         parts.clear()
         linked = 0
 
-    for token in _TOKEN.finditer(html):
-        if text := token["text"]:
-            text = unescape(text)
+    for kind, tag, attributes in tokens(html):
+        if kind == "text":
+            text = unescape(tag)
             parts.append(text)
             linked += len(text) if links > 0 else 0
             continue
-        if not token["tag"]:
-            continue
-        tag = token["tag"].lower()
         if tag == "a":
-            links = 0 if token["close"] else 1
+            links = int(kind == "open")
         if tag == "br":
             parts.append(" ")
         if tag in INLINE or tag == "br":
             continue
         end()
-        if token["close"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+        if kind == "close":
             links = 0
+            while held[tag]:
+                shut = stack.pop().tag
+                held[shut] -= 1
+                if shut == tag:
+                    break
         elif tag not in VOID:
-            if stack and stack[-1][0] in ENDS.get(tag, ()):
-                stack.pop()
-            names = tuple(f".{w}" for m in _NAMES.finditer(token["attributes"] or "") for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()) if w)
-            stack.append((tag, names))
+            if stack and stack[-1].tag in ENDS.get(tag, ()):
+                held[stack.pop().tag] -= 1
+            names = tuple(f".{w}" for m in _NAMES.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()) if w)
+            stack.append(Place(tag, names, stack[-1] if stack else None))
+            held[tag] += 1
     end()
     return out
 
@@ -114,10 +212,9 @@ def vectors(page: list[Block]) -> np.ndarray:
     """One row of FEATURES per block."""
     out = np.zeros((len(page), FEATURES), np.float32)
     for row, block in zip(out, page):
-        for name in block.path:
-            row[_slot(name, PATH_SIZE)] = 1
-        tags = [x for x in block.path if x[0] != "."]
-        row[PATH_SIZE + _slot(tags[-1] if tags else "", LEAF_SIZE)] = 1
+        bits = block.place.bits if block.place else 0
+        row[:PATH_SIZE] = np.unpackbits(np.frombuffer(bits.to_bytes(PATH_SIZE // 8, "little"), np.uint8), bitorder="little")
+        row[PATH_SIZE + _slot(block.place.tag if block.place else "", LEAF_SIZE)] = 1
         words = list(map(_WORD_SLOTS.__getitem__, block.text.lower().split()))
         if words:
             row[PATH_SIZE + LEAF_SIZE : -NUMBERS] = np.bincount(words, minlength=WORD_SIZE) / len(words) * 4
@@ -137,13 +234,13 @@ class Labeller:
             self.p[f"c{d}"] = np.repeat([0, 1, 0, 0], HIDDEN).astype(np.float32)
         self.p |= {"w": draw(2 * HIDDEN, 1), "bias": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States (pages, blocks, HIDDEN), and what the way back needs."""
+    def _run(self, x: np.ndarray, d: str, carried: tuple | None = None, trace: list | None = None) -> tuple[np.ndarray, tuple]:
+        """States (pages, blocks, HIDDEN) and the last (h, c); trace, if given, gets what the way back needs."""
         n, length, _ = x.shape
         pre = x.reshape(n * length, -1) @ self.p[f"x{d}"] + self.p[f"c{d}"]
         pre = pre.reshape(n, length, -1)
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        states, trace = np.empty((n, length, HIDDEN), np.float32), []
+        h, c = carried or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
+        states = np.empty((n, length, HIDDEN), np.float32)
         for t in range(length):
             z = pre[:, t] + h @ self.p[f"h{d}"]
             gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
@@ -154,8 +251,9 @@ class Labeller:
             s = np.tanh(c)
             h = o * s
             states[:, t] = h
-            trace.append((i, f, o, g, s, before))
-        return states, trace
+            if trace is not None:
+                trace.append((i, f, o, g, s, before))
+        return states, (h, c)
 
     @staticmethod
     def _reversed(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -164,14 +262,25 @@ class Labeller:
         at = np.where(steps < lengths[:, None], lengths[:, None] - 1 - steps, steps)
         return np.take_along_axis(x, at[:, :, None], axis=1)
 
-    def forward(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def forward(self, x: np.ndarray, lengths: np.ndarray, trace: tuple[list, list] = (None, None)) -> tuple[np.ndarray, tuple]:
         """Probability per block of being main text."""
         turned = self._reversed(x, lengths)
-        one, trace_f = self._run(x, "f")
-        two, trace_b = self._run(turned, "b")
+        one = self._run(x, "f", trace=trace[0])[0]
+        two = self._run(turned, "b", trace=trace[1])[0]
         states = np.concatenate([one, self._reversed(two, lengths)], axis=2)
         scores = (states @ self.p["w"])[:, :, 0] + self.p["bias"]
-        return 1 / (1 + np.exp(-scores)), (x, turned, states, trace_f, trace_b)
+        return 1 / (1 + np.exp(-scores)), (x, turned, states)
+
+    def label_long(self, page: list[Block]) -> np.ndarray:
+        """Which blocks of one page are main text; only a part of its vectors is held at a time, and one number per block and direction."""
+        scores = np.full(len(page), self.p["bias"][0], np.float32)
+        for d, weights, order in (("f", self.p["w"][:HIDDEN], 1), ("b", self.p["w"][HIDDEN:], -1)):
+            carried = None
+            for at in range(0, len(page), BATCH_BLOCKS):
+                some = range(len(page))[::order][at : at + BATCH_BLOCKS]
+                states, carried = self._run(vectors([page[k] for k in some])[None], d, carried)
+                scores[some[0] : some[-1] + order if some[-1] + order >= 0 else None : order] += (states[0] @ weights)[:, 0]
+        return scores > 0
 
     def _back(self, x: np.ndarray, d: str, trace: list, grad: np.ndarray, g_out: dict) -> None:
         n, length, _ = x.shape
@@ -191,7 +300,8 @@ class Labeller:
         g_out |= {f"x{d}": x.reshape(len(flat), -1).T @ flat, f"c{d}": flat.sum(axis=0), f"h{d}": weights}
 
     def gradients(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
-        probability, (x, turned, states, trace_f, trace_b) = self.forward(x, lengths)
+        trace_f, trace_b = [], []
+        probability, (x, turned, states) = self.forward(x, lengths, (trace_f, trace_b))
         real = np.arange(x.shape[1]) < lengths[:, None]
         error = np.where(real, probability - y, 0).astype(np.float32)[:, :, None] / real.sum()
         g = {"w": (states * error).sum(axis=(0, 1))[:, None], "bias": error.sum(axis=(0, 1))}
@@ -220,14 +330,18 @@ class Labeller:
                     self.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Per page, which of its blocks are main text. Pages of like length go together."""
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Per page, which of its blocks are main text. Pages of like length go together, long ones by themselves."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         while order:
             longest = len(pages[order[-1]])
+            if longest > BATCH_BLOCKS:
+                k = order.pop()
+                out[k] = self.label_long(pages[k])
+                continue
             some = [order.pop() for _ in range(min(len(order), max(1, BATCH_BLOCKS // longest)))]
-            x, lengths = padded([pages[k] for k in some])
+            x, lengths = padded([vectors(pages[k]) for k in some])
             for k, p in zip(some, self.forward(x, lengths)[0]):
                 out[k] = p[: len(pages[k])] > 0.5
         return out
@@ -370,8 +484,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page: the blocks labelled as main text, in page order, joined by blank lines.
 
     Null and empty html, and pages of which no block is main text, have an empty text. Whole pages
-    are read: nothing is cut off or capped. Repeated rows are treated alike; an empty table gives no
-    rows; only page_id, url and html are read. One narrow pass without a shuffle.
+    are read: nothing is cut off or capped. The contents of script and style elements, and of closed
+    template, noscript, iframe and svg elements, are no text. Repeated rows are treated alike; an
+    empty table gives no rows; only page_id, url and html are read. One narrow pass without a shuffle,
+    in time in proportion to a page's length.
     """
     model = production_labeller()
 
@@ -381,7 +497,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
             out: list[str] = []
             for at in range(0, len(batch), 256):
                 found = [blocks(x) if isinstance(x, str) else [] for x in batch[at : at + 256]]
-                kept = model.label([vectors(p) if p else np.zeros((0, FEATURES), np.float32) for p in found])
+                kept = model.label(found)
                 out += ["\n\n".join(b.text for b, ok in zip(page, good) if ok) for page, good in zip(found, kept)]
             yield pd.Series(out)
 
