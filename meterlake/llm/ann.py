@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,24 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterlake.llm.common import materialize
-
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 2048, 64
 #: 1 restores exact search; smaller values prune more.
 PRUNING_FACTOR = 1.0
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-def unpack(raw: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(raw)))
-
-
-def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
+def build_tree(ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """A vantage-point tree as arrays. Rows of a node are contiguous: the nearer half first.
 
     Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M the largest
@@ -56,7 +44,8 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
     place[order] = np.arange(len(ids))
     nodes = np.array(nodes, np.int64).reshape(-1, 4)
     nodes[:, 0] = place[nodes[:, 0]] if len(nodes) else nodes[:, 0]
-    return {"ids": ids[order], "vectors": vectors[order], "lift": lifted[order, -1], "nodes": nodes, "bounds": np.array(bounds).reshape(-1, 2)}
+    copies = np.zeros(len(ids), np.int64) if copies is None else copies
+    return {"ids": ids[order], "copies": copies[order], "vectors": vectors[order], "lift": lifted[order, -1], "nodes": nodes, "bounds": np.array(bounds).reshape(-1, 2)}
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,8 +59,9 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Search:
     """The k best rows of one tree for a block of queries; all queries that visit a node do so together."""
 
-    def __init__(self, tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
+    def __init__(self, tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k: int, factor: float, copies: np.ndarray | None = None):
         self.tree, self.ids, self.queries, self.k, self.factor = tree, ids, queries, k, factor
+        self.copies = np.zeros(len(ids), np.int64) if copies is None else copies
         self.node = {(int(n[1]), int(n[3])): i for i, n in enumerate(tree["nodes"])}
         top = (tree["vectors"][:1] ** 2).sum() + tree["lift"][:1].sum() ** 2
         self.base = (queries**2).sum(axis=1) + top
@@ -104,9 +94,10 @@ class Search:
         self.visit(start, middle, rows[~nearer & (away - near_most <= reach)])
 
     def leaf(self, start: int, stop: int, rows: np.ndarray) -> None:
-        vectors, ids = self.tree["vectors"][start:stop], self.tree["ids"][start:stop]
+        vectors, ids, copies = (self.tree[x][start:stop] for x in ("vectors", "ids", "copies"))
         scores = self.queries[rows] @ vectors.T
-        good = (scores >= (self.best_score[rows, -1] - self.slack[rows])[:, None]) & (ids[None, :] != self.ids[rows][:, None])
+        own = (ids[None, :] == self.ids[rows][:, None]) & (copies[None, :] == self.copies[rows][:, None])
+        good = (scores >= (self.best_score[rows, -1] - self.slack[rows])[:, None]) & ~own
         q, x = np.nonzero(good)
         if not len(q):
             return
@@ -125,60 +116,63 @@ class Search:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, vector (doubles), dim. Null ids, and vectors that are null, empty, zero or hold null or non-finite components, take no part; of rows that repeat an id the largest vector counts."""
+    """vec_id, copy, vector (doubles), dim. Null ids, and vectors that are null, empty, zero or hold null or non-finite components, take no part; copy numbers rows that repeat an id."""
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.max("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy("vector")).cast("long")).withColumn("dim", F.size("vector"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = PRUNING_FACTOR) -> DataFrame:
-    """The k nearest of vectors for each of queries by inner product: query_id, rank, vec_id, score.
+    """The k nearest of vectors for each of queries by inner product: query_id, rank, vec_id, score, query_copy.
 
-    Both have (vec_id, vector, dim). A query's own id is no candidate; ties go to the smaller id;
-    only vectors of the query's length are candidates; with fewer than k all come back. Shards of
-    about SHARD_ROWS vectors each get a tree; blocks of about BLOCK_ROWS queries meet every shard, so
-    a task holds one tree and one block whatever the tables' sizes. Empty tables give no rows.
+    Both are as from usable. A query's own row is no candidate, other rows of its id are; ties go to the
+    smaller id; only vectors of the query's length are candidates; with fewer than k all come back.
+    Rows are dealt to shards of about SHARD_ROWS vectors. A task gets the vectors of a shard first,
+    builds its tree once, and then the queries stream past it in blocks of BLOCK_ROWS: it holds one
+    tree and one block whatever the tables' sizes. Empty tables give no rows.
     """
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-
-    def bytes_of(key: tuple, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return frame.vec_id.to_numpy(np.int64), np.stack(frame.vector.to_numpy()).astype(np.float64)
-
-    def index(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pack(**build_tree(*bytes_of(key, frame)))]})
-
-    def block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ids, rows = bytes_of(key, frame)
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "queries": [pack(ids=ids, rows=rows)]})
-
-    def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        tree, asked = unpack(frame.tree[0]), unpack(frame.queries[0])
-        found = Search(tree, asked["ids"], asked["rows"], k, factor)
-        some = np.isfinite(found.best_score)
-        return pd.DataFrame({"query_id": np.repeat(asked["ids"], some.sum(axis=1)), "vec_id": found.best_id[some], "score": found.best_score[some]})
-
-    def dealt(df: DataFrame, name: str, n: int) -> DataFrame:
-        return df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-
-    trees = materialize(dealt(vectors, "shard", shards).groupBy("dim", "shard").applyInPandas(index, "dim int, shard int, tree binary"), "ann-trees")
-    asked = dealt(queries, "block", blocks).groupBy("dim", "block").applyInPandas(block, "dim int, block int, queries binary")
-    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = trees.join(everywhere, ["dim", "shard"]).groupBy("dim", "shard", "block").applyInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    columns = ["dim", "shard", "vec_id", "copy", "vector"]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        tree, key = None, None
+        for batch in batches:
+            runs = (batch[["dim", "shard", "asks"]].diff() != 0).any(axis=1).cumsum()
+            for _, run in batch.groupby(runs, sort=False):
+                if (mine := (run.dim.iloc[0], run.shard.iloc[0])) != key:
+                    held, tree, key = [], None, mine
+                if not run.asks.iloc[0]:
+                    held.append(run[["vec_id", "copy", "vector"]])
+                    continue
+                if held:
+                    rows = pd.concat(held)
+                    tree, held = build_tree(rows.vec_id.to_numpy(np.int64), np.stack(rows.vector.to_numpy()), rows["copy"].to_numpy(np.int64)), []
+                for at in range(0, len(run) if tree else 0, BLOCK_ROWS):
+                    some = run[at : at + BLOCK_ROWS]
+                    ids, copies = some.vec_id.to_numpy(np.int64), some["copy"].to_numpy(np.int64)
+                    found = Search(tree, ids, np.stack(some.vector.to_numpy()), k, factor, copies)
+                    good = np.isfinite(found.best_score)
+                    n = good.sum(axis=1)
+                    yield pd.DataFrame({"query_id": np.repeat(ids, n), "query_copy": np.repeat(copies, n), "vec_id": found.best_id[good], "score": found.best_score[good]})
+
+    own = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "copy"), F.lit(shards)).cast("int")).select(*columns, F.lit(0).alias("asks"))
+    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(*columns, F.lit(1).alias("asks"))
+    dealt = own.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("dim", "shard", "asks")
+    found = dealt.mapInPandas(search, "query_id long, query_copy long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_copy").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_copy")
 
 
 #: Brute force, for the 20 nearest of every twentieth vector.
 NEAREST_SQL = """
 WITH v AS (
-  SELECT vec_id, max(embedding::DOUBLE[]) AS x FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY vec_id ORDER BY embedding::DOUBLE[]) AS copy FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
-  GROUP BY vec_id),
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0)
-SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 20
+  SELECT q.vec_id AS query_id, q.copy AS query_copy, c.vec_id, list_inner_product(q.x, c.x) AS score
+  FROM v q JOIN v c ON (q.vec_id <> c.vec_id OR q.copy <> c.copy) AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score, query_copy FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, query_copy ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 20
 """
