@@ -281,7 +281,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat a doc_id and text are one document; rows with a null doc_id all stay.
     """
     kept = near_duplicates(docs, n, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("print"))
+    rows = docs.select(F.struct("*").alias("d"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("print"))
     staying = rows.where("id is not null").join(kept, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id", "print"])
     return staying.unionByName(rows.where("id is null")).select("d.*")
 

@@ -187,9 +187,9 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs:
     """
     _, _, mixture = mix(docs, block_words, max_epochs)
     took = mixture.withColumn("key", _row_key()).groupBy("key", "epoch").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.first("size").alias("size"))
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words_of(docs["text"]).alias("size"))
+    whole = docs.select(F.struct("*").alias("d"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words_of(docs["text"]).alias("size"))
     keyed = numbered(whole).withColumn("key", _row_key()).select("d", "key")
     part = F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(f"({WORD})")), F.col("start").cast("int") + 1, F.col("length").cast("int")), " ")
     out = keyed.join(took, "key").withColumn("cut", F.col("length") < F.col("size")).withColumn("text", F.when(F.col("cut"), part).otherwise(F.col("d.text")))
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text")).otherwise(F.col("d.n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"d.{c}") for c in docs.columns))
+    return out.select(*(changed[c].alias(c) if c in changed else F.col("d")[c].alias(c) for c in docs.columns))

@@ -1,10 +1,12 @@
 """Repeated passages across documents, by sparse suffix arrays over words.
 
 Every run of MIN_WORDS words belongs to one suffix: that at the minimiser of its first window, the
-one of WINDOW successive GRAM-word runs that has the least hash. A suffix is known by the hash of its
-first CORE words, which lie within the run (MIN_WORDS = WINDOW - 1 + CORE), so equal runs belong to
-equal cores. Cores that one document alone holds are dropped first; then the runs of the others are
-compared whole, each with the first document that holds it.
+one of WINDOW successive GRAM-word runs that has the least hash. Suffixes are sorted by the hash of
+their first CORE words, which lie within the run (MIN_WORDS = WINDOW - 1 + CORE), so equal runs belong
+to equal cores, which sort side by side. Cores that one document alone holds are dropped; the others
+are extended to the left and right to every run of MIN_WORDS words that the suffix stands for, and
+these are sorted and compared with the first document that holds them. So no partner is left out,
+however many documents share a core, and rows grow with the words of shared passages, not with pairs.
 """
 
 from __future__ import annotations
@@ -164,7 +166,7 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, list[tuple[
     return "".join(pieces), sum(b - a for a, b in merged), [(a, b - a) for a, b in merged]
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, described: bool = True) -> DataFrame:
     """The documents, each with all its columns, and without passages that an earlier document has.
 
     A passage is a match of at least MIN_WORDS words (runs of other than ASCII white space, compared
@@ -173,7 +175,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     the old text) and kept_in (ids of the first holders of such passages). n_chars, where there is such a column, is
     counted anew for changed texts. Null, empty and short texts and rows with a null doc_id come back
     unchanged; repeats inside one document are no matches; rows that repeat a doc_id and text count
-    as one document and are cut alike. Nothing is capped; whole texts are read.
+    as one document and are cut alike. Nothing is capped; whole texts are read. If not described, only
+    the documents' own columns come back; else columns of theirs that are called as the added ones are left out.
     """
     cut = passages(docs).groupBy("doc").agg(F.collect_list(F.struct("print", "start", "words", "of")).alias("cuts"))
 
@@ -189,15 +192,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             rows.append((left, n, [{"start": a, "words": b} for a, b in removed], sorted({i for c in mine for i in c["of"]})))
         return pd.DataFrame(rows, columns=["text", "removed_words", "removed", "kept_in"])
 
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), F.xxhash64(docs["text"]).alias("print"))
+    whole = docs.select(F.struct("*").alias("d"), F.xxhash64(docs["text"]).alias("print"))
     joined = whole.join(cut, F.col("d.doc_id") == F.col("doc"), "left")
     changed = F.col("cuts").isNotNull()
     plain = joined.where(~changed).select("d", F.col("d.text").alias("text"), F.lit(0).cast("long").alias("removed_words"), F.array().cast("array<struct<start: long, words: long>>").alias("removed"), F.array().cast("array<long>").alias("kept_in"))
     edited = joined.where(changed).withColumn("r", apply("d.text", "print", "cuts")).select("d", "r.text", "r.removed_words", "r.removed", "r.kept_in")
     out = plain.unionByName(edited)
     chars = F.when(F.col("removed_words") > 0, F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("d.n_chars")) if "n_chars" in docs.columns else None
-    columns = [F.col("text") if c == "text" else chars.alias(c) if c == "n_chars" else F.col(f"d.{c}") for c in docs.columns]
-    return out.select(*columns, "removed_words", "removed", "kept_in")
+    added = ["removed_words", "removed", "kept_in"] if described else []
+    columns = [F.col("text") if c == "text" else chars.alias(c) if c == "n_chars" else F.col("d")[c].alias(c) for c in docs.columns if c not in added]
+    return out.select(*columns, *added)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
