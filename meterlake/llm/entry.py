@@ -75,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc_round_trip": warc.ROUND_TRIP_SQL,
     "op5_nearest_neighbours": ann.NEAREST_SQL,
     "op9_mix_sources": mixing_sql.MIX,
     "op10_near_duplicates": minhash.NEAR_SQL,

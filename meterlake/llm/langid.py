@@ -106,7 +106,7 @@ def fit(docs: DataFrame) -> tuple[list[str], ByteNet | None]:
     if not counts:
         return [], None
     rate = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r.lang, TRAIN_DOCS / r["count"]))), F.col("lang"))
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < rate * 1_000_000
+    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 52)) < rate * float(1 << 52)
     start = lambda i: F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
     passages = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring(F.col("text"), start(i).cast("int"), F.lit(WINDOW)))
     rows = known.where(drawn).select("doc_id", "lang", passages.alias("passages")).collect()
@@ -168,5 +168,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The documents, with all their columns, whose language is determined with at least min_score."""
     predict = predictor(*fit(docs))
-    judged = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), predict(docs["text"]).alias("p"))
+    judged = docs.select(F.struct("*").alias("doc"), predict(docs["text"]).alias("p"))
     return judged.where((F.col("p.lang_pred") != UNDETERMINED) & (F.col("p.score") >= min_score)).select("doc.*")

@@ -23,13 +23,16 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "1970-01-01T00:00:00Z"
 #: Bytes of an archive that one reading task scans, and bytes fetched at once beyond them.
 SPLIT_BYTES, FETCH_BYTES = 8 << 20, 1 << 20
-#: A member whose first bytes hold no end of headers within this many is no record.
-HEADER_LIMIT = 1 << 20
 
 MANIFEST = "path string, length long, records long"
 RECORDS = "path string, offset long, record_type string, page_id long, target_uri string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder or file that Spark knows by uri; its name for S3 is s3a."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def payload_digest(payload: bytes) -> str:
     """Upper-case base32 SHA-1, as WARC headers carry it."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -104,7 +107,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> Dat
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         path = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         part = f"{path}.tmp"
@@ -146,7 +149,7 @@ def _member(window: _Window, start: int) -> tuple[bytes, int] | None:
     """The decompressed member that starts at window.data[start], and its end; None if that is no record."""
     unpacker = zlib.decompressobj(31)
     parts: list[bytes] = []
-    size, at, valid = 0, start, False
+    at, valid = start, False
     try:
         while not unpacker.eof:
             if at >= len(window.data) and not window.grow():
@@ -155,14 +158,11 @@ def _member(window: _Window, start: int) -> tuple[bytes, int] | None:
             piece = window.data[at : at + (FETCH_BYTES if valid else 1024)]
             parts.append(unpacker.decompress(piece))
             at += len(piece)
-            size += len(parts[-1])
             if not valid:
                 head = b"".join(parts)
                 if not head.startswith(b"WARC/1."[: len(head)]):
                     return None
                 valid = b"\r\n\r\n" in head
-                if not valid and size > HEADER_LIMIT:
-                    return None
     except zlib.error:
         return None
     raw = b"".join(parts)
@@ -192,7 +192,7 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, start, stop in zip(batch.path, batch.start, batch.stop):
-                store, local = fs.FileSystem.from_uri(path)
+                store, local = _store(path)
                 with store.open_input_file(local) as file:
                     rows, held = [], 0
                     for offset, raw in scan_range(file, int(start), int(stop)):
@@ -222,4 +222,20 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = write_warc(pages, folder, min_revisit_bytes)
-    return read_warc(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "path", "offset")
+    return read_warc(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+
+
+#: Digests and revisits of all pages. DuckDB has no base32: its letters are those of five bits each of the hexadecimal digest.
+ROUND_TRIP_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, url, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS largest, count(*) OVER (PARTITION BY html) AS same,
+         list_aggregate(list_transform(string_split(sha1(html), ''), lambda c: right('000' || bin(instr('0123456789abcdef', c) - 1), 4)), 'string_agg', '') AS bits
+  FROM p)
+SELECT page_id, n AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k: substr(bits, (i * 5 + k + 1)::BIGINT, 1)::INT << (4 - k)::INT))::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN same > 1 AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN same > 1 AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to,
+       replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_uri
+FROM d
+"""
