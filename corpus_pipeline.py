@@ -20,7 +20,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that earlier ones hold."""
-    return suffixdedup.without_repeats(docs).select(*docs.columns)
+    return suffixdedup.without_repeats(docs, described=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
