@@ -70,6 +70,21 @@ def ipv4_network(address: Column, bits: int) -> Column:
     return ipv4_number(address).bitwiseAND(F.lit((2**32 - 1) ^ (2 ** (32 - bits) - 1)))
 
 
+def address_hex(address: Column) -> Column:
+    """An address as its version (4 or 6) and 8 or 32 hexadecimal digits; null if it is none. Addresses of version 6 with dotted ends are not read."""
+    four = F.concat(F.lit("4"), F.lower(F.lpad(F.hex(ipv4_number(address)), 8, "0")))
+    text = F.lower(address)
+    halves = F.split(text, "::")
+    groups = lambda k: F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(k)), F.lit("")), ":"), lambda x: x != "")
+    left, right = groups(1), groups(2)
+    missing = 8 - F.size(left) - F.size(right)
+    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    shaped = text.rlike("^[0-9a-f:]*:[0-9a-f:]*$") & ~text.rlike(":::|^:[^:]|[^:]:$") & ~F.exists(full, lambda x: F.length(x) > 4)
+    sized = ((F.size(halves) == 1) & (missing == 0)) | ((F.size(halves) == 2) & (missing >= 1))
+    six = F.concat(F.lit("6"), F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ""))
+    return F.coalesce(four, F.when(shaped & sized, six))
+
+
 def ip_in(networks: list[str]):
     """A column function: whether an address, of either version, lies in one of the networks. Empty list: all do; unparsable: none."""
     parsed = [ipaddress.ip_network(n, strict=False) for n in networks]

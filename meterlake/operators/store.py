@@ -56,9 +56,9 @@ def set_fields(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows of both; where both have a key, the incoming row."""
+    """Rows of both; where both have a key, the incoming row; of several incoming rows of a key, the last by their columns in turn."""
     both = table.withColumn("_age", F.lit(1)).unionByName(incoming.withColumn("_age", F.lit(0)))
-    return first_match(both, [key], ["_age"]).drop("_age")
+    return first_match(both, [key], ["_age", *(F.col(c).desc() for c in table.columns if not c == key and dict(table.dtypes)[c][:3] != "map")]).drop("_age")
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -66,21 +66,46 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
-def approve(requests: DataFrame, request_id: str, key_prefix: str = "key_") -> tuple[DataFrame, DataFrame]:
-    """(new keys, requests with approved_key_id set), for every request still pending.
+#: Limits of a key whose request names none: fixed values of the key store.
+DEFAULT_LIMITS = {"rpm_limit": 60, "tpm_limit": 100_000, "concurrency_limit": 5}
 
-    Key ids come from the request's, so that a rerun gives the same ones.
+
+def _kept(table: DataFrame, column: str) -> Column:
+    """A column of the table, or nulls where it has none yet."""
+    return F.col(column) if column in table.columns else F.lit(None).cast("string")
+
+
+def approve(requests: DataFrame, request_id: str, secret: str = "", now: Column | None = None, key_prefix: str = "key_") -> tuple[DataFrame, DataFrame]:
+    """(new keys, requests with approved_key_id set), for every request still pending; what was decided before stays.
+
+    A key's text comes from the secret and the request's id, so that a rerun gives the same one; it is
+    stored as a prefix and a hash. A key takes the request's tenant, if it has one, and limits, or DEFAULT_LIMITS.
     """
-    key = F.concat(F.lit(key_prefix), F.substring(F.sha2(F.col(request_id).cast("string"), 256), 1, 10))
-    pending = F.col("status") == "pending_approval"
-    keys = requests.where(pending).select(key.alias("key_id"), F.col(request_id))
-    done = requests.withColumn("approved_key_id", F.when(pending, key)).withColumn("status", F.when(pending, "approved").otherwise(F.col("status")))
+    made = F.sha2(F.concat_ws(":", F.lit(secret), F.col(request_id).cast("string")) if secret else F.col(request_id).cast("string"), 256)
+    plain, pending = F.concat(F.lit("aip_live_"), made), F.col("status") == "pending_approval"
+    key = F.concat(F.lit(key_prefix), F.substring(made, 1, 10))
+    limits = [(F.coalesce(F.col(c), F.lit(n)) if c in requests.columns else F.lit(n)).cast("long").alias(c) for c, n in DEFAULT_LIMITS.items()]
+    keys = requests.where(pending).select(
+        key.alias("key_id"), F.col(request_id), _kept(requests, "tenant_id").alias("tenant_id"), F.concat(F.substring(plain, 1, 12), F.lit("...")).alias("prefix"),
+        F.sha2(plain, 256).alias("hashed_key"), *limits, F.lit("enabled").alias("status"), (F.current_timestamp() if now is None else now).alias("created_at"),
+    )
+    done = _stamped(requests, pending, now).withColumns({"approved_key_id": F.when(pending, key).otherwise(_kept(requests, "approved_key_id")), "status": F.when(pending, "approved").otherwise(F.col("status"))})
     return keys, done
 
 
-def reject(requests: DataFrame, refused: DataFrame, request_id: str) -> DataFrame:
-    """requests with status rejected and the reason, where refused (id, rejection_reason) has them."""
-    news = refused.select(request_id, F.col("rejection_reason").alias("_reason"), F.lit(True).alias("_hit"))
+def reject(requests: DataFrame, refused: DataFrame, request_id: str, now: Column | None = None) -> DataFrame:
+    """requests with status rejected and the reason, where refused (id, rejection_reason; one row per id) has them; other reasons stay."""
+    news = refused.groupBy(request_id).agg(F.max("rejection_reason").alias("_reason"), F.lit(True).alias("_hit"))
     joined = requests.join(news, request_id, "left")
-    status = F.when(F.col("_hit"), "rejected").otherwise(F.col("status"))
-    return joined.withColumn("status", status).withColumn("rejection_reason", F.col("_reason")).drop("_reason", "_hit")
+    hit = F.coalesce("_hit", F.lit(False))
+    told = joined.withColumns({"status": F.when(hit, "rejected").otherwise(F.col("status")), "rejection_reason": F.when(hit, F.col("_reason")).otherwise(_kept(requests, "rejection_reason"))})
+    return _stamped(told, hit, now).drop("_reason", "_hit")
+
+
+def _stamped(requests: DataFrame, changed: Column, now: Column | None) -> DataFrame:
+    """requests with updated_at set to now where they changed; without now or such a column, as they are."""
+    if now is None and "updated_at" not in requests.columns:
+        return requests
+    time = F.current_timestamp() if now is None else now
+    old = F.col("updated_at") if "updated_at" in requests.columns else F.lit(None).cast("timestamp")
+    return requests.withColumn("updated_at", F.when(changed, time).otherwise(old))

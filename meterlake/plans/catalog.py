@@ -139,12 +139,15 @@ def q14_cidr_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM (VALUES ('10.1.2.3', 167838211::BIGINT, 167838208::BIGINT), ('192.168.255.1', 3232300801::BIGINT, 3232300800::BIGINT), "
-    "('256.1.1.1', NULL, NULL), ('localhost', NULL, NULL)) t(address, number, network)"
+    "SELECT s_suppkey, address, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 256) * 16777216 + 65536 + 512 + s_suppkey % 200 END::BIGINT AS number, "
+    "CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 256) * 16777216 + 65536 + 512 END::BIGINT AS network "
+    "FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '256.1.1.1' ELSE (s_suppkey % 256) || '.1.2.' || (s_suppkey % 200) END AS address FROM supplier)"
 )
 def q15_cidr_mask(spark: SparkSession, d: str) -> DataFrame:
-    rows = readers.constant(spark, [("10.1.2.3",), ("192.168.255.1",), ("256.1.1.1",), ("localhost",)], "address string")
-    return rows.select("address", scalar.ipv4_number(F.col("address")).alias("number"), scalar.ipv4_network(F.col("address"), 24).alias("network"))
+    n = F.col("s_suppkey")
+    address = F.when(n % 7 == 0, "256.1.1.1").otherwise(F.concat((n % 256).cast("string"), F.lit(".1.2."), (n % 200).cast("string")))
+    rows = table(spark, d, "supplier").select("s_suppkey", address.alias("address"))
+    return rows.select("s_suppkey", "address", scalar.ipv4_number(F.col("address")).alias("number"), scalar.ipv4_network(F.col("address"), 24).alias("network"))
 
 
 @query("SELECT s_suppkey, s_suppkey % 3 > 0 AND (s_suppkey % 3 = 1 OR length(s_suppkey::VARCHAR) >= 8) AS accepted FROM supplier")
@@ -169,7 +172,7 @@ def q18_request_counter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "SELECT event_type, le, cumulative, round(total, 4) AS total, n FROM (SELECT event_type, le::DOUBLE AS le, count(*) FILTER (WHERE value <= le) AS cumulative, sum(value) AS total, count(value) AS n "
-    "FROM events, (VALUES (5), (10), (25), (50), (100), (250), (500)) b(le) GROUP BY event_type, le)"
+    "FROM events, (VALUES (5::DOUBLE), (10), (25), (50), (100), (250), (500), ('inf'::DOUBLE)) b(le) GROUP BY event_type, le)"
 )
 def q19_latency_histogram(spark: SparkSession, d: str) -> DataFrame:
     return metrics.histogram(table(spark, d, "events"), ["event_type"], "value", [5, 10, 25, 50, 100, 250, 500]).withColumn("total", F.round("total", 4))
@@ -361,17 +364,19 @@ def q45_vector_scores(spark: SparkSession, d: str) -> DataFrame:
     return vectors.join(centre, "label").select("label", "vec_id", F.round(scalar.dot(F.col("embedding"), F.col("centre")), 6).alias("score"))
 
 
-def _streamed(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
-    """The rows that a stream has given once all its input is read."""
+def _streamed(spark: SparkSession, out: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The rows that a stream has given once all its input is read; with keys, the last that it gave for each."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = f"{folder}/rows"
-    sink = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if mode == "append":
-        run = sink.format("parquet").option("path", rows).start()
-    else:
-        run = sink.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows)).start()
-    run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(rows)
+    sink = out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if keys is None:
+        sink.outputMode("append").format("parquet").option("path", rows).start().awaitTermination()
+        return spark.read.schema(out.schema).parquet(rows)
+    # updates, not the whole table: the watermark frees state, and a batch that is repeated replaces its folder
+    sink.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{rows}/batch={n}")).start().awaitTermination()
+    values = [c for c in out.columns if c not in keys]
+    told = spark.read.parquet(rows).groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in values))
+    return told.select(*out.columns)
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -383,14 +388,14 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS window_start, user_id, count(*) AS requests FROM events GROUP BY ALL")
 def q46_stream_rpm(spark: SparkSession, d: str) -> DataFrame:
-    out = _streamed(spark, jobs.windowed_rate(_event_stream(spark, d), "ts", "10 minutes", "1 hour", "user_id"), "complete")
+    out = _streamed(spark, jobs.windowed_rate(_event_stream(spark, d), "ts", "10 minutes", "1 hour", "user_id"), ["window_start", "user_id"])
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT DISTINCT event_id // 2 AS job_key FROM events")
 def q47_stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = _event_stream(spark, d).withColumn("job_key", F.expr("event_id div 2"))
-    return _streamed(spark, jobs.once(rows, "job_key", "ts", "40 days").select("job_key"), "append")
+    return _streamed(spark, jobs.once(rows, "job_key", "ts", "40 days").select("job_key"))
 
 
 @query(
@@ -404,11 +409,12 @@ def q48_quota_breaches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT 'http_requests_total{event_type=\"' || event_type || '\",endpoint=\"' || (user_id % 5) || '\"} ' || count(*) AS line FROM events GROUP BY event_type, user_id % 5"
+    "SELECT 2 AS section, 'http_requests_total{event_type=\"' || event_type || '\",endpoint=\"' || (user_id % 5) || '\"} ' || count(*) AS line FROM events GROUP BY event_type, user_id % 5 "
+    "UNION ALL SELECT 0, '# HELP http_requests_total Requests by type and endpoint.' UNION ALL SELECT 1, '# TYPE http_requests_total counter'"
 )
 def q49_exposition(spark: SparkSession, d: str) -> DataFrame:
     counts = q18_request_counter(spark, d)
-    return metrics.exposition(counts, "http_requests_total", ["event_type", "endpoint"], "requests")
+    return metrics.exposition(counts, "http_requests_total", ["event_type", "endpoint"], "requests", "Requests by type and endpoint.")
 
 
 @query("SELECT page_id, url FROM pages WHERE NOT starts_with(url, 'https') ")
@@ -498,3 +504,147 @@ def q59_jobs(spark: SparkSession, d: str) -> DataFrame:
 def q60_over_concurrency(spark: SparkSession, d: str) -> DataFrame:
     moves = q21_inflight_gauge(spark, d).where("delta = 1").withColumn("before", F.col("running") - 1).withColumn("allowed", F.lit(2))
     return gate.over_concurrency(moves, "before", "allowed").select("user_id", "event_id", F.col("moved").alias("started"), "running")
+
+
+@query(
+    "SELECT user_id, window_start, requests, tokens, 200 AS tpm_limit FROM (SELECT user_id, time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, count(*) AS requests, sum(ceil(value))::BIGINT AS tokens "
+    "FROM events GROUP BY ALL) WHERE tokens > 200"
+)
+def q61_token_breaches(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    limits = rows.select("user_id").distinct().withColumn("tpm_limit", F.lit(200))
+    rates = metering.tumbling(rows, "ts", "1 minute", "user_id", tokens=F.ceil("value"))
+    return metering.breaches(rates, limits, "user_id", "tpm_limit", "tokens").select("user_id", "window_start", "requests", "tokens", "tpm_limit")
+
+
+_TOKENS = "SELECT conv_id % 3 AS tenant, turn % 2 AS m, (length(text) + 3) // 4 AS tokens, length(text) AS chars FROM conversations"
+
+
+@query(
+    f"SELECT 'm' || m AS month, tenant, sum(chars)::BIGINT AS units, (greatest(sum(chars)::BIGINT - 100000, 0) * 1::DECIMAL(12,4))::DECIMAL(24,4)::VARCHAR AS amount FROM ({_TOKENS}) GROUP BY m, tenant"
+)
+def q62_speech_bill(spark: SparkSession, d: str) -> DataFrame:
+    usage = table(spark, d, "conversations").select((F.col("conv_id") % 3).alias("tenant"), (F.col("turn") % 2).alias("m"), F.length("text").alias("chars"))
+    bill = metering.monthly_bill(usage, "api_tts", F.concat(F.lit("m"), F.col("m").cast("string")), F.col("chars"), "tenant")
+    return bill.withColumn("amount", F.col("amount").cast("string"))
+
+
+@query(
+    f"SELECT 'm' || m AS month, tenant, sum(tokens)::BIGINT AS units, (greatest(sum(tokens)::BIGINT - 50000, 0) * 0.0100::DECIMAL(12,4))::DECIMAL(24,4)::VARCHAR AS amount FROM ({_TOKENS}) GROUP BY m, tenant"
+)
+def q63_language_bill(spark: SparkSession, d: str) -> DataFrame:
+    usage = table(spark, d, "conversations").select((F.col("conv_id") % 3).alias("tenant"), (F.col("turn") % 2).alias("m"), F.expr("(length(text) + 3) div 4").alias("tokens"))
+    bill = metering.monthly_bill(usage, "api_llm", F.concat(F.lit("m"), F.col("m").cast("string")), F.col("tokens"), "tenant")
+    return bill.withColumn("amount", F.col("amount").cast("string"))
+
+
+@query(
+    "SELECT p_brand, round((sum(l_quantity::DECIMAL(18,4) * p_size::DECIMAL(16,6)) + sum(l_linenumber::DECIMAL(18,4) * p_retailprice::DECIMAL(16,6)))::DOUBLE / 1000, 4) AS cost "
+    "FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"
+)
+def q64_two_price_cost(spark: SparkSession, d: str) -> DataFrame:
+    usage = table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_linenumber")
+    models = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    cost = metering.two_price_cost(usage, models, F.col("l_partkey") == F.col("p_partkey"), "p_brand", "l_quantity", "l_linenumber", "p_size", "p_retailprice")
+    return cost.withColumn("cost", F.round(F.col("cost").cast("double"), 4))
+
+
+@query(
+    "SELECT event_type, count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-15' AND ts + INTERVAL 6 HOUR > TIMESTAMP '2024-01-15') AS in_flight FROM events GROUP BY ROLLUP (event_type)"
+)
+def q65_inflight_totals(spark: SparkSession, d: str) -> DataFrame:
+    spans = table(spark, d, "events").withColumn("done", F.expr("ts + INTERVAL 6 HOURS"))
+    return metrics.in_flight_totals(spans, "event_type", "ts", "done", F.expr("TIMESTAMP_NTZ '2024-01-15'"))
+
+
+@query("SELECT least(26, count(*)) AS first_row, least(50, count(*)) AS last_row, count(*) AS total FROM nation")
+def q66_page_label(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.page_label(table(spark, d, "nation"), 1, 25)
+
+
+@query("SELECT c_custkey, coalesce(n_name, 'Default') AS project_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+def q67_project_names(spark: SparkSession, d: str) -> DataFrame:
+    projects = table(spark, d, "nation").where("n_nationkey < 20").select("n_nationkey", "n_name")
+    keys = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return keys.join(projects, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("Default")).alias("project_name"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS job_id, 'completed' AS status, 'jobs/' || o_orderkey || '.png' AS url FROM orders WHERE o_orderstatus = 'P'")
+def q68_consume_jobs(spark: SparkSession, d: str) -> DataFrame:
+    from meterlake.sources import sinks
+
+    topic = f"{shared_dir(spark)}/topic-{uuid.uuid4().hex}"
+    queued = store.find_eq(table(spark, d, "orders"), o_orderstatus="P")
+    sinks.publish(queued.select(F.col("o_orderkey").cast("string").alias("job_id"), F.lit("image").alias("job_type"), F.col("o_custkey").cast("string").alias("payload")), topic)
+    done = jobs.finished(readers.job_topic(spark, topic), F.concat(F.lit("jobs/"), F.col("job_id"), F.lit(".png")))
+    return _streamed(spark, done.select("job_id", "status", F.col("result_urls")[0].alias("url")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate IS NULL OR o_orderdate > TIMESTAMP '1996-01-01'")
+def q69_unexpired_keys(spark: SparkSession, d: str) -> DataFrame:
+    return gate.unexpired(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.expr("TIMESTAMP_NTZ '1996-01-01'"), "o_orderdate").select("o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+def q70_find_by_two(spark: SparkSession, d: str) -> DataFrame:
+    return store.find_eq(table(spark, d, "customer"), c_mktsegment="BUILDING", c_nationkey=3).select("c_custkey", "c_name")
+
+
+_ASKED = (
+    "SELECT o_orderkey AS request_id, CASE WHEN o_orderstatus = 'P' THEN 'pending_approval' WHEN o_orderkey % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status, "
+    "CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 2 = 0 THEN 'key_old' END AS approved_key_id, CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 2 = 1 THEN 'old reason' END AS rejection_reason, "
+    "'t' || (o_custkey % 5) AS tenant_id FROM orders"
+)
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Key requests, some pending, some decided before."""
+    pending, even = F.col("o_orderstatus") == "P", F.col("o_orderkey") % 2 == 0
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.when(pending, "pending_approval").when(even, "approved").otherwise("rejected").alias("status"),
+        F.when(~pending & even, "key_old").alias("approved_key_id"), F.when(~pending & ~even, "old reason").alias("rejection_reason"), F.concat(F.lit("t"), (F.col("o_custkey") % 5).cast("string")).alias("tenant_id"),
+    )
+
+
+@query(
+    "SELECT request_id, CASE status WHEN 'pending_approval' THEN 'approved' ELSE status END AS status, CASE status WHEN 'pending_approval' THEN 'key_' || left(sha256(request_id::VARCHAR), 10) ELSE approved_key_id END AS approved_key_id, "
+    f"rejection_reason, CASE status WHEN 'pending_approval' THEN TIMESTAMP '2024-02-01' END AS updated_at FROM ({_ASKED})"
+)
+def q71_approve_keeps_old(spark: SparkSession, d: str) -> DataFrame:
+    _, done = store.approve(_asked(spark, d), "request_id", now=F.expr("TIMESTAMP_NTZ '2024-02-01'"))
+    return done.select("request_id", "status", "approved_key_id", "rejection_reason", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query(
+    "SELECT 'key_' || left(sha256(request_id::VARCHAR), 10) AS key_id, tenant_id, left('aip_live_' || sha256(request_id::VARCHAR), 12) || '...' AS prefix, sha256('aip_live_' || sha256(request_id::VARCHAR)) AS hashed_key, "
+    f"60::BIGINT AS rpm_limit, 100000::BIGINT AS tpm_limit, 5::BIGINT AS concurrency_limit, 'enabled' AS status FROM ({_ASKED}) WHERE status = 'pending_approval'"
+)
+def q72_new_keys(spark: SparkSession, d: str) -> DataFrame:
+    return store.approve(_asked(spark, d), "request_id")[0].drop("request_id", "created_at")
+
+
+@query(
+    "SELECT request_id, CASE WHEN request_id % 4 = 0 THEN 'rejected' ELSE status END AS status, CASE WHEN request_id % 4 = 0 THEN 'no budget' ELSE rejection_reason END AS rejection_reason, "
+    f"CASE WHEN request_id % 4 = 0 THEN TIMESTAMP '2024-02-01' END AS updated_at FROM ({_ASKED})"
+)
+def q73_reject_keeps_old(spark: SparkSession, d: str) -> DataFrame:
+    rows = _asked(spark, d)
+    refused = rows.where("request_id % 4 = 0").select("request_id", F.lit("no budget").alias("rejection_reason"))
+    return store.reject(rows, refused, "request_id", F.expr("TIMESTAMP_NTZ '2024-02-01'")).select("request_id", "status", "rejection_reason", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query(
+    "SELECT s_suppkey, host, CASE s_suppkey % 5 WHEN 0 THEN true WHEN 1 THEN (s_suppkey % 256) BETWEEN 8 AND 11 WHEN 2 THEN (s_suppkey % 16) BETWEEN 4 AND 7 ELSE false END AS admitted FROM (SELECT s_suppkey, CASE s_suppkey % 5 "
+    "WHEN 0 THEN 'localhost' WHEN 1 THEN (s_suppkey % 256) || '.0.0.9' WHEN 2 THEN '2001:db8:' || substr('0123456789abcdef', (s_suppkey % 16 + 1)::BIGINT, 1) || '000::1' WHEN 3 THEN 'no address' END AS host FROM supplier)"
+)
+def q74_admitted_hosts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    digit = F.lower(F.hex(n % 16))
+    host = F.when(n % 5 == 0, "localhost").when(n % 5 == 1, F.concat((n % 256).cast("string"), F.lit(".0.0.9"))).when(n % 5 == 2, F.concat(F.lit("2001:db8:"), digit, F.lit("000::1"))).when(n % 5 == 3, "no address")
+    networks = readers.constant(spark, [("8.0.0.0/6",), ("2001:db8:4000::/34",)], "cidr string")
+    return gate.admitted(table(spark, d, "supplier").select("s_suppkey", host.alias("host")), "host", networks)
+
+
+@query("SELECT page_id, array_to_string(string_split(trim(regexp_extract(url, '^[^/]*//[^/]*([^?#]*)', 1), '/'), '/'), '|') AS parts FROM pages")
+def q75_path_parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.array_join(scalar.path_parts(F.regexp_extract("url", "^[^/]*//[^/]*([^?#]*)", 1)), "|").alias("parts"))

@@ -27,6 +27,16 @@ def untyped(rows: DataFrame, body: str) -> DataFrame:
     return rows.withColumn("request", F.try_parse_json(body))
 
 
+#: What a message of the job topic says.
+MESSAGE = "job_id STRING, job_type STRING, payload STRING"
+
+
+def job_topic(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """Published job messages as a stream: job_id, job_type, payload; bodies that do not parse are left out."""
+    lines = spark.readStream.schema("key STRING, value STRING, job_type STRING").option("maxFilesPerTrigger", files_per_batch).json(path)
+    return lines.select(F.from_json("value", MESSAGE).alias("m")).where("m.job_id IS NOT NULL").select("m.*")
+
+
 def inputs_of(rows: DataFrame, value: str) -> DataFrame:
     """One row per input with its index, from JSON text that is a string or a list of strings."""
     listed = F.from_json(F.when(F.ltrim(value).startswith("["), F.col(value)).otherwise(F.concat(F.lit("["), F.col(value), F.lit("]"))), "array<string>")

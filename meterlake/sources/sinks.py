@@ -33,6 +33,17 @@ def report_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_lines(rows: DataFrame, path: str, line: str) -> None:
+    """A text file per task, one line per row."""
+    rows.select(F.col(line).cast("string")).write.mode("overwrite").text(path)
+
+
+def write_json(rows: DataFrame, path: str, by: str | None = None) -> None:
+    """JSON lines, in one folder per value of a column if told which."""
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).json(path)
+
+
 def signed(events: DataFrame, secret: str) -> DataFrame:
     """events (webhook_id, payload as JSON text) with their signature."""
     return events.withColumn("signature", signature(secret)("payload"))

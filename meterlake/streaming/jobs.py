@@ -19,10 +19,16 @@ def events(spark: SparkSession, folder: str, schema: str, time: str = "ts", file
     return rows.withColumn(time, F.col(time).cast("timestamp"))
 
 
-def windowed_rate(rows: DataFrame, time: str, late: str, width: str, *keys: str) -> DataFrame:
-    """Requests per key and window; state is dropped once a window is older than late."""
-    counted = rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("requests"))
-    return counted.select(F.col("w.start").alias("window_start"), *keys, "requests")
+def windowed_rate(rows: DataFrame, time: str, late: str, width: str, *keys: str, tokens: F.Column | None = None) -> DataFrame:
+    """Requests, and tokens if told how many a request has, per key and window; state is dropped once a window is older than late."""
+    sums = [F.count("*").alias("requests")] + ([] if tokens is None else [F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("tokens")])
+    counted = rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(*sums)
+    return counted.select(F.col("w.start").alias("window_start"), *keys, *counted.columns[1 + len(keys) :])
+
+
+def finished(messages: DataFrame, url_of: F.Column) -> DataFrame:
+    """The records that a worker leaves for job messages: job_id, status, result_urls."""
+    return messages.select("job_id", F.lit("completed").alias("status"), F.array(url_of).alias("result_urls"))
 
 
 def once(rows: DataFrame, key: str, time: str, late: str) -> DataFrame:

@@ -30,7 +30,8 @@ def test_approve_twice_changes_nothing_more(spark):
     t = spark.createDataFrame([("r1", "pending_approval"), ("r2", "rejected")], "request_id string, status string")
     keys, done = store.approve(t, "request_id")
     assert keys.count() == 1
-    again, same = store.approve(done.drop("approved_key_id"), "request_id")
+    again, same = store.approve(done, "request_id")
+    assert {r.request_id: r.approved_key_id for r in same.collect()} == {r.request_id: r.approved_key_id for r in done.collect()}
     assert again.count() == 0 and {r.status for r in same.collect()} == {"approved", "rejected"}
 
 
@@ -59,6 +60,86 @@ def test_addresses_of_both_versions(spark):
     assert all(r.ok for r in rows.select(scalar.ip_in([])("a").alias("ok")).collect())
 
 
+def test_admitted_hosts_of_both_versions(spark):
+    import ipaddress
+
+    cidrs = ["10.0.0.0/7", "192.168.1.7", "2001:db8::/33", "fe80::/10", "::/0", "1.2.3.4/31", "bad", "1.2.3.4/40", None]
+    hosts = ["11.255.0.1", "12.0.0.0", "192.168.1.7", "2001:db8:7fff::1", "2001:DB8:8000::", "febf::1", "fec0::", "::1", "localhost", "1.2.3.5", "1.2.3.6", "x", "1::2::3", ":::", "a:", None, "1:2:3:4:5:6:7:8:9"]
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(hosts)], "k int, h string")
+
+    def known(h, nets):
+        try:
+            return any(ipaddress.ip_address(h) in n for n in nets)
+        except ValueError:
+            return False
+
+    for some in (cidrs, cidrs[:4], cidrs[5:7]):
+        nets = []
+        for c in some:
+            try:
+                nets.append(ipaddress.ip_network(c, strict=False))
+            except ValueError:
+                pass
+        got = {r.k: r.admitted for r in gate.admitted(rows, "h", spark.createDataFrame([(c,) for c in some], "cidr string")).collect()}
+        assert got == {k: h in gate.LITERAL_HOSTS or known(h, nets) for k, h in enumerate(hosts)}
+    assert all(r.admitted for r in gate.admitted(rows, "h", spark.createDataFrame([], "cidr string")).collect())
+
+
+def test_unknown_paths_need_a_key(spark):
+    rows = spark.createDataFrame([(None,), ("/v1/chat",), ("/v1/auth/x",), ("/health",)], "p string")
+    assert [r.o for r in rows.select(gate.is_open(F.col("p")).alias("o")).collect()] == [False, False, True, True]
+
+
+def test_exposition_escapes_and_explains(spark):
+    rows = spark.createDataFrame([('a"b\\c\n', 3), (None, 1)], "k string, n int")
+    got = [r.line for r in metrics.exposition(rows, "m", ["k"], "n", "What it is.").orderBy("section", "line").collect()]
+    assert got == ["# HELP m What it is.", "# TYPE m counter", 'm{k=""} 1', 'm{k="a\\"b\\\\c\\n"} 3']
+
+
+def test_windows_in_parts_agree_with_whole_ones(spark):
+    import random
+
+    pick = random.Random(1)
+    rows = [(k, pick.choice(["a", "b", None]), pick.randrange(0, 400_000), pick.choice([None, k])) for k in range(400)]
+    table = spark.createDataFrame(rows, "id int, k string, t long, v int")
+    got = {r.id: r.recent for r in metering.sliding(table, F.col("t"), 50_000, "k").collect()}
+    assert got == {i: sum(k2 == k and t - 50_000 <= t2 <= t for _, k2, t2, _ in rows) for i, k, t, _ in rows}
+    right = table.where("id % 2 = 0 and v is not null")
+    got = {r.id: r.last for r in metering.as_of(table.where("id % 2 = 1"), right, ["k"], "t", "v", "last").collect()}
+    held = [(t, v, k) for i, k, t, v in rows if i % 2 == 0 and v is not None]
+    assert got == {i: max(((t2, v2) for t2, v2, k2 in held if k2 == k and t2 <= t), default=(0, None))[1] for i, k, t, _ in rows if i % 2}
+    moves = metrics.in_flight(table.withColumn("e", F.col("t") + 100_000), "k", "t", "e", "id").collect()
+    for r in moves:
+        if r.delta == 1:
+            seen = sum(k == r.k and (t, i) <= (r["at"], r.id) and t + 100_000 > r["at"] for i, k, t, _ in rows)
+            assert r.running == seen
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(k % 3 or None, float(x)) for k, x in enumerate(np.round(rng.normal(0, 50, 500), 1))] + [(7, None), (8, -3.0), (9, 0.0), (9, 1.0)]
+    got = {r.k: r for r in metrics.quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", 0.5, 0.95, 0).collect()}
+    for k, r in got.items():
+        mine = [v for j, v in rows if j == k and v is not None]
+        assert [r.p50, r.p95, r.p0] == ([None] * 3 if not mine else pytest.approx(np.quantile(mine, [0.5, 0.95, 0])))
+    assert got.keys() == {None, 1, 2, 7, 8, 9}
+
+
+def test_files_and_unexpired(spark, tmp_path):
+    rows = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("b", None)], "k string, expires_at timestamp")
+    sinks.write_lines(rows, str(tmp_path / "t"), "k")
+    sinks.write_json(rows, str(tmp_path / "j"), "k")
+    assert {r.value for r in spark.read.text(str(tmp_path / "t")).collect()} == {"a", "b"} and spark.read.json(str(tmp_path / "j")).count() == 2
+    assert [r.k for r in gate.unexpired(rows, F.lit("2024-06-01").cast("timestamp")).collect()] == ["b"]
+
+
+def test_upsert_of_several_incoming_rows_is_defined(spark):
+    t, u = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "x"), (1, "z"), (1, "y")], "k int, v string")
+    assert [tuple(r) for r in store.upsert(t, u, "k").collect()] == [(1, "z")]
+
+
 def test_title_case_is_pythons(spark):
     names = ["dev_name", "o'neil", "ANNE-marie", "", "é.a b"]
     got = [r.t for r in spark.createDataFrame([(n,) for n in names], "n string").select(scalar.title_case(F.col("n")).alias("t")).collect()]
@@ -79,7 +160,8 @@ def test_in_flight_ends_before_it_starts(spark):
 
 def test_histogram_holds_nulls_and_edges(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None)], "k string, v double")
-    assert {(r.le, r.cumulative, r.n) for r in metrics.histogram(rows, ["k"], "v", [1, 2]).collect()} == {(1.0, 1, 2), (2.0, 2, 2)}
+    assert {(r.le, r.cumulative, r.n) for r in metrics.histogram(rows, ["k"], "v", [1, 2]).collect()} == {(1.0, 1, 2), (2.0, 2, 2), (float("inf"), 2, 2)}
+    assert len(metrics.histogram(rows, ["k"], "v").collect()) == len(metrics.LATENCY_BOUNDS) + 1
 
 
 def test_bill_charges_beyond_the_free_units(spark):
