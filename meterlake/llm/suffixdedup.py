@@ -61,12 +61,13 @@ def run_cores(runs: dict[int, np.ndarray]) -> np.ndarray:
     return np.repeat(_run_hashes(runs, at[own], CORE), np.diff(np.append(own, count)))
 
 
-def with_first(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (key, doc, numbers) whose key a document of smaller id has too, and the first such document as first.
+def with_first(rows: DataFrame, name: str, keep_keys: bool = True) -> DataFrame:
+    """The rows (key, doc, numbers) whose key a document of smaller id has too, and the first such document as first; key is 0 unless kept.
 
     Rows are range-partitioned by (key, doc) and sorted there, so one key that a third of all documents
     hold is spread over many partitions; a task keeps one key and its first document in memory. What
-    a partition's first key lacks is taken from the last rows of the ones before: one row per partition.
+    a partition's first key lacks is known from the last keys of the ones before: two rows per
+    partition, whose number Spark's settings bound, come to the driver, and one goes back by a join.
     """
     others = [c for c in rows.columns if c not in ("key", "doc")]
 
@@ -84,18 +85,30 @@ def with_first(rows: DataFrame, name: str) -> DataFrame:
             key, first = int(keys[-1]), int(firsts[-1])
             edge = keys == opening
             keep = edge | (docs > firsts)
-            yield batch[keep].assign(kind=edge[keep].astype(np.int32), part=np.int32(part), first=firsts[keep])
+            shown = keys[keep] if keep_keys else np.int64(0)
+            yield batch[keep].assign(kind=edge[keep].astype(np.int32), part=np.int32(part), key=shown, first=firsts[keep])
         if key is not None:
-            yield pd.DataFrame([{"kind": 2, "part": part, "key": key, "doc": first, "first": first} | dict.fromkeys(others, 0)])
+            yield pd.DataFrame([{"kind": kind, "part": part, "key": k, "doc": first, "first": first} | dict.fromkeys(others, 0) for kind, k in ((2, key), (3, opening))])
 
     schema = "kind int, part int, first long, " + ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     spread = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
     near = materialize(spread.mapInPandas(run, schema), name)
-    ends = near.where("kind = 2").groupBy("key").agg(F.min("first").alias("earliest"))
-    before = near.where("kind = 1").select("part", "key").distinct().join(ends, "key").select("part", "earliest")
-    opened = near.where("kind = 1").join(before, "part", "left").withColumn("first", F.least("first", "earliest"))
-    columns = [*rows.columns, "first"]
-    return near.where("kind = 0").select(columns).unionByName(opened.select(columns)).where("first < doc")
+    edges = near.where("kind >= 2").select("kind", "part", "key", "first").collect()
+    begun: dict[int, int] = {}
+    for r in edges:
+        if r.kind == 2:
+            begun[r.key] = min(begun.get(r.key, r["first"]), r["first"])
+    known = [(r.part, begun[r.key]) for r in edges if r.kind == 3 and r.key in begun]
+    earliest = rows.sparkSession.createDataFrame(known, "part int, earliest long")
+    # one row per partition at most, and that number is bounded
+    found = near.where("kind < 2").join(F.broadcast(earliest), "part", "left")
+    first = F.when(F.col("kind") == 1, F.least("first", "earliest")).otherwise(F.col("first"))
+    return found.withColumn("first", first).where("first < doc").select(*rows.columns, "first")
+
+
+def text_print(text: F.Column) -> F.Column:
+    """31 bits of a text's hash."""
+    return F.shiftrightunsigned(F.xxhash64(text), 33)
 
 
 def shared_cores(docs: DataFrame) -> DataFrame:
@@ -118,7 +131,7 @@ def shared_cores(docs: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc, print, at, first): every run of MIN_WORDS words of a text, from word at on, that the earlier document first holds.
 
-    print is the hash of the text.
+    print tells texts of one doc_id apart; while runs are sorted, it and at are one number.
     """
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,9 +148,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                 sizes = list(map(len, ats))
                 yield pd.DataFrame({"key": np.concatenate(keys), "doc": np.repeat(part.doc_id.to_numpy(np.int64), sizes), "print": np.repeat(part.print.to_numpy(np.int64), sizes), "at": np.concatenate(ats)})
 
-    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("print")).join(shared_cores(docs), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "print", "keys")
+    texts = docs.where("text is not null").select("doc_id", "text", text_print(F.col("text")).alias("print")).join(shared_cores(docs), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "print", "keys")
     rows = materialize(texts.mapInPandas(hashed, "key long, doc long, print long, at int"), "suffix-runs")
-    return with_first(rows, "suffix-firsts").drop("key")
+    rows = rows.select("key", "doc", F.shiftleft("print", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+    at = F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
+    return with_first(rows, "suffix-firsts", keep_keys=False).select("doc", F.shiftright("place", 32).alias("print"), at, "first")
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -192,7 +207,7 @@ def without_repeats(docs: DataFrame, described: bool = True) -> DataFrame:
             rows.append((left, n, [{"start": a, "words": b} for a, b in removed], sorted({i for c in mine for i in c["of"]})))
         return pd.DataFrame(rows, columns=["text", "removed_words", "removed", "kept_in"])
 
-    whole = docs.select(F.struct("*").alias("d"), F.xxhash64(docs["text"]).alias("print"))
+    whole = docs.select(F.struct("*").alias("d"), text_print(docs["text"]).alias("print"))
     joined = whole.join(cut, F.col("d.doc_id") == F.col("doc"), "left")
     changed = F.col("cuts").isNotNull()
     plain = joined.where(~changed).select("d", F.col("d.text").alias("text"), F.lit(0).cast("long").alias("removed_words"), F.array().cast("array<struct<start: long, words: long>>").alias("removed"), F.array().cast("array<long>").alias("kept_in"))
