@@ -27,7 +27,7 @@ DEALT_TERMS, COMMON = 4, 64
 #: A shard is closed at this many documents or tokens.
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 20
 #: Runs that a task remembers; beyond these it starts anew. Documents and bytes that are tokenized together.
-KNOWN_RUNS, TOKENIZED_DOCS, PIECE_BYTES = 600_000, 2500, 4 << 20
+KNOWN_RUNS, TOKENIZED_DOCS, PIECE_BYTES = 400_000, 1000, 1 << 20
 #: The rank of a pair that does not merge.
 NO_MERGE = 0xFFFF
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -271,9 +271,8 @@ class WordTokenizer:
             run = first[missing]
             lower = text.tobytes()
             new = self._added(self.merges.encode([lower[a : a + m] for a, m in zip(at[run].tolist(), n[run].tolist())]))
-            keys = np.append(self.keys, distinct[missing])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.starts, self.sizes = keys[order], np.append(self.starts, new[0])[order], np.append(self.sizes, new[1])[order]
+            at_key = where[missing]
+            self.keys, self.starts, self.sizes = (np.insert(old, at_key, x) for old, x in ((self.keys, distinct[missing]), (self.starts, new[0]), (self.sizes, new[1])))
             where = np.searchsorted(self.keys, distinct)
         starts[plain], sizes[plain] = self.starts[where][place], self.sizes[where][place]
         return cuts, starts, sizes

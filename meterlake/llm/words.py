@@ -8,7 +8,7 @@ import xxhash
 
 #: Odd constants of 64-bit mixing.
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 class Hashes(dict):
