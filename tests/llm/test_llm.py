@@ -379,6 +379,27 @@ def test_trees_learn_the_labels_and_run_natively(spark):
     assert "Python" not in judged._jdf.queryExecution().toString()
 
 
+def test_trees_judge_urls_of_another_maker(spark):
+    """Other words, other hosts and other patterns than those of the sample."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("bdfklmnprst")) + rng.choice(list("aeiou")) for _ in range(rng.integers(2, 4)))
+    harmless = lambda: f"https://{rng.choice(['', 'www.', 'shop.'])}{word()}{'-' + word() if rng.random() < 0.1 else ''}.{rng.choice(['com', 'org', 'edu', 'com'])}/{word()}/{rng.integers(5000)}{rng.choice(['', '.htm', '?p=3'])}"
+    farm = lambda: f"http://{'-'.join(word() for _ in range(rng.integers(3, 5)))}.{rng.choice(['biz', 'info', 'top', 'xyz', 'com'])}/{word()}/{rng.integers(10**8, 10**9)}/?k={rng.integers(10**9)}&ref={rng.integers(10**9)}&c={rng.integers(10**5)}"
+    made = [(k, (farm if k % 2 else harmless)()) for k in range(1000)]
+    judged = urlfilter.judge(spark.createDataFrame(made, "page_id long, url string"), rules=[]).collect()
+    assert np.mean([(r.verdict == "block") == (r.page_id % 2 == 1) for r in judged]) > 0.9
+    assert len({r.margin for r in judged}) > 10
+
+
+def test_url_filter_keeps_repeated_rows_and_very_long_urls(spark):
+    long = "https://example.org/fr/" + "a/" * 200_000 + "?x=" + "9" * 200_000
+    same = "http://cheap-pills-win.click.biz/go/1"
+    rows = spark.createDataFrame([(1, same, "k"), (1, same, "k"), (2, same, "k"), (3, long, "k")], "page_id long, url string, host string")
+    judged = sorted(urlfilter.judge(rows).collect())
+    assert [r.page_id for r in judged] == [1, 1, 2, 3] and judged[0] == judged[1] and judged[0].verdict == judged[2].verdict
+    assert (judged[3].rule, judged[3].verdict, len(judged[3].path)) == ("org/fr/", "allow", 400_004)
+
+
 # html
 
 
