@@ -76,7 +76,7 @@ def lexical_features(urls: DataFrame, suffix_rates: dict[str, float]) -> DataFra
 def labelled_urls(spark: SparkSession, n: int = LABELLED_URLS) -> DataFrame:
     """url, label (1: block): a made-up sample, half harmless, half of the look of link farms.
 
-    Harmless ones mostly have hosts of one word, but an eighth of them a hyphen, a fifth long article
+    Harmless ones mostly have hosts of one word, but a twentieth of them a hyphen, a fifth long article
     numbers and a fifth several parameters. The others string selling words together with hyphens, or
     have random hosts, long numbers, deep paths and many parameters. Suffixes are drawn with different
     weights for the two kinds, and one label in fifty is wrong.
@@ -89,21 +89,21 @@ def labelled_urls(spark: SparkSession, n: int = LABELLED_URLS) -> DataFrame:
     good_end, bad_end = ["com", "org", "com", "org", "edu", "net"], ["com", "biz", "info", "top", "net", "org", "xyz"]
     tail = ["", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed"]
     one_in = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)) == 0
-    second = F.when(one_in(8, "h"), F.concat(F.lit("-"), pick(plain, "b"))).otherwise(pick(["", "s", "hub"], "x"))
+    second = F.when(one_in(20, "h"), F.concat(F.lit("-"), pick(plain, "b"))).otherwise(pick(["", "s", "hub"], "x"))
     article = F.when(one_in(5, "k"), F.concat(pick(["story-", "item/", "2024/05/"], "y"), number(10**9, "p"))).otherwise(number(2000, "n"))
     ending = F.when(one_in(5, "z"), F.concat(F.lit("?id="), number(10**8, "q"), F.lit("&lang=en&page="), number(90, "u"))).otherwise(pick(tail, "t"))
     good = F.concat(
         pick(["http", "https"], "s"), F.lit("://"), pick(front, "f"), pick(plain, "a"), second,
-        F.lit("."), pick(["example", "site", "pages"], "d"), F.lit("."), pick(good_end, "e"), F.lit("/"), pick(["en", "de", "fr", "es", "docs"], "l"), F.lit("/"), article, ending,
+        pick([".example", ".site", ".pages", ""], "d"), F.lit("."), pick(good_end, "e"), F.lit("/"), pick(["en", "de", "fr", "es", "docs"], "l"), F.lit("/"), article, ending,
     )
-    hyphened = F.concat(pick(sales, "a"), F.lit("-"), pick(sales, "b"), pick(["", "-online", "-24", "-best-price"], "w"))
+    hyphened = F.concat(pick(sales, "a"), F.lit("-"), pick(sales, "b"), pick(["", "", "-online", "-best-price"], "w"))
     random_host = F.substring(F.sha2(F.concat(F.lit("host"), F.col("id").cast("string")), 256), 1, 18)
-    many = F.concat(F.lit("/go/"), number(10**9, "p"), F.lit("/"), number(10**9, "q"), F.lit("/x/y/?id="), number(10**9, "r"), F.lit("&aff="), number(10**6, "u"), F.lit("&sid="), number(10**7, "v"))
+    many = F.concat(pick(["/go/", "/", "/out/to/"], "i"), number(10**9, "p"), F.lit("/"), number(10**9, "q"), pick(["/x/y/?id=", "/?id=", "?id="], "o"), number(10**9, "r"), F.lit("&aff="), number(10**6, "u"), F.lit("&sid="), number(10**7, "v"))
     mild = F.concat(F.lit("/"), pick(["en", "de", "fr", "es", "buy"], "l"), F.lit("/"), number(2000, "n"), pick(tail, "t"))
     kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(3))
     bad = F.concat(
         pick(["http", "https"], "s"), F.lit("://"), pick(front, "f"), F.when(kind == 0, random_host).otherwise(hyphened),
-        F.lit("."), pick(["example", "site", "click"], "d"), F.lit("."), pick(bad_end, "e"), F.when(kind == 1, mild).otherwise(many),
+        pick([".example", ".site", ".click", ""], "d"), F.lit("."), pick(bad_end, "e"), F.when(kind == 1, mild).otherwise(many),
     )
     ids = spark.range(0, n, numPartitions=1)
     wrong = one_in(50, "wrong").cast("long")
