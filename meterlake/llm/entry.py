@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, cws, htmltext, langid, minhash, mixing, mixing_sql, packing, suffixdedup, urlfilter, warc
+from meterlake.llm import ann, cws, htmltext, langid, minhash, mixing, mixing_sql, negatives, packing, quality, suffixdedup, turnrepair, turnrepair_sql, urlfilter, warc
 from meterlake.llm.common import table
 
 
@@ -61,6 +61,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
 
+def op11_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, from the labels of documents that are not held out."""
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its positives."""
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage."""
+    return turnrepair.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -72,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_mix_sources": op9_mix_sources,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_quality_votes": op11_quality_votes,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_nearest_neighbours": ann.NEAREST_SQL,
     "op9_mix_sources": mixing_sql.MIX,
     "op10_near_duplicates": minhash.NEAR_SQL,
+    "op12_hard_negatives": negatives.NEGATIVES_SQL,
+    "op13_turn_repair": turnrepair_sql.REPAIR,
 }
