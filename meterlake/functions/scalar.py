@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import ipaddress
 import json
 
 import pandas as pd
@@ -58,9 +57,9 @@ def path_parts(path: Column) -> Column:
 
 
 def ipv4_number(address: Column) -> Column:
-    """A dotted quad as a number; null if it is none."""
-    valid = address.rlike(r"^(\d{1,3}\.){3}\d{1,3}$")
-    octets = F.transform(F.split(address, r"\."), lambda x: x.cast("long"))
+    """A dotted quad as a number; null if it is none. Octets are digits without leading zeros, up to 255."""
+    valid = address.rlike(r"\A((0|[1-9][0-9]{0,2})\.){3}(0|[1-9][0-9]{0,2})\z")
+    octets = F.transform(F.split(address, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("long"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
     return F.when(valid & ~F.exists(octets, lambda x: x > 255), number)
 
@@ -71,38 +70,39 @@ def ipv4_network(address: Column, bits: int) -> Column:
 
 
 def address_hex(address: Column) -> Column:
-    """An address as its version (4 or 6) and 8 or 32 hexadecimal digits; null if it is none. Addresses of version 6 with dotted ends are not read."""
+    """An address as its version (4 or 6) and 8 or 32 hexadecimal digits; null if it is none.
+
+    The last 32 bits of version 6 may be a dotted quad; a zone behind % is left out.
+    """
     four = F.concat(F.lit("4"), F.lower(F.lpad(F.hex(ipv4_number(address)), 8, "0")))
-    text = F.lower(address)
+    zoneless = F.when(address.contains(":"), F.regexp_replace(address, r"(?s)\A([^%/]*)%[^%/]+\z", "$1")).otherwise(address)
+    end = F.regexp_extract(zoneless, r"\A[0-9A-Fa-f:]*:([0-9.]*\.[0-9.]*)\z", 1)
+    low = ipv4_number(end)
+    groups_of = lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(65535))))
+    # a dotted end that is no quad stays and makes the whole no address
+    text = F.lower(F.when(low.isNotNull(), F.concat(F.substring(zoneless, F.lit(1), F.length(zoneless) - F.length(end)), groups_of(low))).otherwise(zoneless))
     halves = F.split(text, "::")
     groups = lambda k: F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(k)), F.lit("")), ":"), lambda x: x != "")
     left, right = groups(1), groups(2)
     missing = 8 - F.size(left) - F.size(right)
     full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    shaped = text.rlike("^[0-9a-f:]*:[0-9a-f:]*$") & ~text.rlike(":::|^:[^:]|[^:]:$") & ~F.exists(full, lambda x: F.length(x) > 4)
+    shaped = text.rlike(r"\A[0-9a-f:]*:[0-9a-f:]*\z") & ~text.rlike(r":::|\A:[^:]|[^:]:\z") & ~F.exists(full, lambda x: F.length(x) > 4)
     sized = ((F.size(halves) == 1) & (missing == 0)) | ((F.size(halves) == 2) & (missing >= 1))
     six = F.concat(F.lit("6"), F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ""))
     return F.coalesce(four, F.when(shaped & sized, six))
 
 
-def ip_in(networks: list[str]):
-    """A column function: whether an address, of either version, lies in one of the networks. Empty list: all do; unparsable: none."""
-    parsed = [ipaddress.ip_network(n, strict=False) for n in networks]
-
-    @F.pandas_udf("boolean")
-    def check(addresses: pd.Series) -> pd.Series:
-        def one(a: str | None) -> bool:
-            if not parsed:
-                return True
-            try:
-                ip = ipaddress.ip_address(a or "")
-            except ValueError:
-                return False
-            return any(ip in n for n in parsed if n.version == ip.version)
-
-        return addresses.map(one)
-
-    return check
+def mask_bits(mask: Column, most: Column) -> Column:
+    """How many leading bits a network fixes: a number of digits up to most, or, for version 4, a dotted netmask or its complement; null for anything else."""
+    number = ipv4_number(mask)
+    ones = F.bit_count(number)
+    turned = F.lit(2**32 - 1) - number
+    netmask = turned.bitwiseAND(turned + 1) == 0
+    hostmask = number.bitwiseAND(number + 1) == 0
+    dotted = F.when(netmask, ones).when(hostmask, 32 - ones)
+    digits = F.when(mask.rlike(r"\A[0-9]{1,9}\z"), mask.cast("int"))
+    n = F.coalesce(digits, F.when(most == 32, dotted))
+    return F.when(n <= most, n)
 
 
 def signature(secret: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.scalar import address_hex, ipv4_number
+from meterlake.functions.scalar import address_hex, ipv4_number, mask_bits
 
 #: Below the first prefix a key is needed, but not below the others: fixed values of the routing rule.
 KEYED_PREFIX, OPEN_PREFIXES = "/v1/", ("/v1/auth/", "/v1/mcp")
@@ -67,17 +67,17 @@ LITERAL_HOSTS = ("testclient", "127.0.0.1", "localhost", "::1")
 
 
 def admitted(requests: DataFrame, host: str, networks: DataFrame, cidr: str = "cidr") -> DataFrame:
-    """requests with admitted: a literal host, or an address of either version in one of the networks; all if there are none.
+    """requests with admitted: a literal host, or an address of either version in one of the networks; all if no network can be read.
 
     An address is a version and hexadecimal digits, and a network a few beginnings of such: one for
     each value of a last digit that it fixes in part. Beginnings are joined by equality, so a long list
-    of networks is no nested loop. At most 42 lengths of beginnings, and whether there are any, come to the driver.
+    of networks is no nested loop. At most 42 lengths of beginnings come to the driver.
     """
     beginnings = cidr_prefixes(networks, cidr)
     lengths = sorted(r.digits for r in beginnings.select("digits").distinct().collect())
     fixed = F.coalesce(F.col(host).isin(*LITERAL_HOSTS), F.lit(False))
     if not lengths:
-        return requests.withColumn("admitted", fixed | F.lit(networks.isEmpty()))
+        return requests.withColumn("admitted", fixed | F.lit(True))
     asked = requests.select(F.col(host).alias("_host")).distinct().withColumn("_bits", address_hex(F.col("_host"))).where("_bits IS NOT NULL")
     asked = asked.select("_host", F.explode(F.array_distinct(F.array(*(F.substring("_bits", 1, n) for n in lengths)))).alias("prefix"))
     inside = asked.join(beginnings.select("prefix").distinct(), "prefix").select("_host", F.lit(True).alias("_hit")).distinct()
@@ -86,9 +86,10 @@ def admitted(requests: DataFrame, host: str, networks: DataFrame, cidr: str = "c
 
 def cidr_prefixes(networks: DataFrame, cidr: str = "cidr") -> DataFrame:
     """(prefix, digits): the beginnings, as address_hex writes them, of a network's addresses; none for what is no network."""
-    address = F.substring_index(cidr, "/", 1)
-    rows = networks.select(address_hex(address).alias("bits"), F.try_element_at(F.split(cidr, "/"), F.lit(2)).cast("int").alias("n"), F.contains(F.col(cidr), F.lit("/")).alias("cut"))
-    rows = rows.withColumn("most", (F.length("bits") - 1) * 4).withColumn("n", F.when(F.col("cut"), F.col("n")).otherwise(F.col("most"))).where("n between 0 and most")
+    text = F.trim(cidr)
+    rows = networks.select(address_hex(F.substring_index(text, "/", 1)).alias("bits"), F.when(text.contains("/"), F.substring(text, F.instr(text, "/") + 1, F.length(text))).alias("mask"))
+    rows = rows.withColumn("most", (F.length("bits") - 1) * 4)
+    rows = rows.withColumn("n", F.when(F.col("mask").isNull(), F.col("most")).otherwise(mask_bits(F.col("mask"), F.col("most")))).where("n >= 0")
     rows = rows.withColumn("digits", 1 + F.ceil(F.col("n") / 4).cast("int")).withColumn("free", F.pow(F.lit(2), (F.col("digits") - 1) * 4 - F.col("n")).cast("int"))
     last = F.conv(F.substring(F.col("bits"), F.col("digits"), F.lit(1)), 16, 10).cast("int")
     low = F.floor(last / F.col("free")).cast("int") * F.col("free")

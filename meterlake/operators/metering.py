@@ -77,12 +77,30 @@ def chargeback(rows: DataFrame, levels: Sequence[str], amount: str) -> DataFrame
 
 
 def sessions(rows: DataFrame, time: str, gap: str, *keys: str) -> DataFrame:
-    """Runs of a key's requests without a longer gap."""
-    return (
-        rows.groupBy(F.session_window(time, gap).alias("w"), *keys)
-        .agg(F.count("*").alias("requests"))
-        .select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "requests")
-    )
+    """Runs of a key's requests without a gap as long as gap or longer; rows without a time are in none.
+
+    Runs are found within a key's day, so that no task orders a key's whole history; then the first run of a
+    day joins the last of the day before if it follows closely enough, over one row per key and day.
+    """
+    by = [*keys, "_day"]
+    timed = rows.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_at")).withColumn("_day", time_part("_at", dict(rows.dtypes)[time]))
+    order = Window.partitionBy(*by).orderBy("_at")
+    far = lambda later, earlier: later >= earlier + F.expr(f"INTERVAL {gap}")
+    new = F.coalesce(far(F.col("_at"), F.lag("_at").over(order)), F.lit(True)).cast("int")
+    # rows of one time are one step apart by 0, so a running sum by rows numbers the runs from 0
+    numbered = timed.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    runs = numbered.groupBy(*by, "_run").agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count("*").alias("_n"))
+    days = runs.groupBy(*by).agg(F.min("_from").alias("_first"), F.max("_to").alias("_last"), F.max("_run").alias("_most"))
+    over = Window.partitionBy(*keys).orderBy("_day")
+    days = days.withColumn("_joins", ~F.coalesce(far(F.col("_first"), F.lag("_last").over(over)), F.lit(True)))
+    # where the last run of a day began: in this day, unless it is the only one and joins the day before
+    own = F.when(~(F.col("_joins") & (F.col("_most") == 0)), F.struct(F.col("_day").alias("day"), F.col("_most").alias("run")))
+    days = days.withColumn("_root", F.last(own, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    told = days.where("_joins").select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), "_root")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)] + [F.col("_run") == 0]
+    whole = runs.join(told, same, "left").withColumn("_id", F.coalesce("_root", F.struct(F.col("_day").alias("day"), F.col("_run").alias("run"))))
+    out = whole.groupBy(*keys, "_id").agg(F.min("_from").alias("session_start"), F.max("_to").alias("_end"), F.sum("_n").alias("requests"))
+    return out.select(*keys, "session_start", (F.col("_end") + F.expr(f"INTERVAL {gap}")).alias("session_end"), "requests")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, out: str) -> DataFrame:
@@ -98,8 +116,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, val
     both = both.withColumn("_part", time_part(time, dict(both.dtypes)[time]))
     order = Window.partitionBy(*keys, "_part").orderBy(time, "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
     within = both.withColumn("_within", F.last("_value", ignorenulls=True).over(order))
-    ends = both.where("_value IS NOT NULL").groupBy(*keys, "_part").agg(F.max(F.struct(F.col(time).alias("t"), F.col("_value").alias("v"))).alias("_end"))
-    days = both.select(*keys, "_part", F.lit(None).cast(ends.schema["_end"].dataType).alias("_end")).distinct().unionByName(ends).groupBy(*keys, "_part").agg(F.max("_end").alias("_end"))
+    end = F.when(F.col("_value").isNotNull(), F.struct(F.col(time).alias("t"), F.col("_value").alias("v")))
+    days = both.groupBy(*keys, "_part").agg(F.max(end).alias("_end"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(*keys, "_part", F.last("_end.v", ignorenulls=True).over(earlier).alias("_before"))
     days = days.select(*(F.col(k).alias(f"_{n}") for n, k in enumerate([*keys, "_part"])), "_before")

@@ -75,19 +75,22 @@ def _kept(table: DataFrame, column: str) -> Column:
     return F.col(column) if column in table.columns else F.lit(None).cast("string")
 
 
-def approve(requests: DataFrame, request_id: str, secret: str = "", now: Column | None = None, key_prefix: str = "key_") -> tuple[DataFrame, DataFrame]:
+def approve(requests: DataFrame, request_id: str, secret: str, now: Column | None = None, key_prefix: str = "key_", text_prefix: str = "mk_") -> tuple[DataFrame, DataFrame]:
     """(new keys, requests with approved_key_id set), for every request still pending; what was decided before stays.
 
-    A key's text comes from the secret and the request's id, so that a rerun gives the same one; it is
-    stored as a prefix and a hash. A key takes the request's tenant, if it has one, and limits, or DEFAULT_LIMITS.
+    A key's text comes from the secret and the request's id, so that a rerun gives the same one and none can
+    guess it who does not know the secret; it is stored as a prefix and a hash, and key_id is part of a hash of that hash. A key takes the request's tenant, if it has one, and limits, or DEFAULT_LIMITS.
     """
-    made = F.sha2(F.concat_ws(":", F.lit(secret), F.col(request_id).cast("string")) if secret else F.col(request_id).cast("string"), 256)
-    plain, pending = F.concat(F.lit("aip_live_"), made), F.col("status") == "pending_approval"
-    key = F.concat(F.lit(key_prefix), F.substring(made, 1, 10))
+    if not secret:
+        raise ValueError("keys need a secret")
+    made = F.sha2(F.concat_ws(":", F.lit(secret), F.col(request_id).cast("string")), 256)
+    plain, pending = F.concat(F.lit(text_prefix), made), F.col("status") == "pending_approval"
+    hashed = F.sha2(plain, 256)
+    key = F.concat(F.lit(key_prefix), F.substring(F.sha2(hashed, 256), 1, 10))
     limits = [(F.coalesce(F.col(c), F.lit(n)) if c in requests.columns else F.lit(n)).cast("long").alias(c) for c, n in DEFAULT_LIMITS.items()]
     keys = requests.where(pending).select(
         key.alias("key_id"), F.col(request_id), _kept(requests, "tenant_id").alias("tenant_id"), F.concat(F.substring(plain, 1, 12), F.lit("...")).alias("prefix"),
-        F.sha2(plain, 256).alias("hashed_key"), *limits, F.lit("enabled").alias("status"), (F.current_timestamp() if now is None else now).alias("created_at"),
+        hashed.alias("hashed_key"), *limits, F.lit("enabled").alias("status"), (F.current_timestamp() if now is None else now).alias("created_at"),
     )
     done = _stamped(requests, pending, now).withColumns({"approved_key_id": F.when(pending, key).otherwise(_kept(requests, "approved_key_id")), "status": F.when(pending, "approved").otherwise(F.col("status"))})
     return keys, done

@@ -2,37 +2,25 @@
 
 The driver's tables stand in for the collections: events for request and audit logs (user_id the
 tenant, event_type the API, value the latency), customer for users, nation for tenants, supplier for
-keys, part for models, orders for jobs and payments, lineitem for usage.
+keys, part for models, orders for jobs and payments, lineitem for usage. The queries of live register as they are imported.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions import scalar
 from meterlake.operators import gate, metering, metrics, shape, store
-from meterlake.session import shared_dir, table
+from meterlake.plans import live
+from meterlake.plans.registry import ORACLE_SQL, QUERIES, query
+from meterlake.session import exists, shared_dir, table
 from meterlake.sources import readers
 from meterlake.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Registers a query under its function's name, with its statement."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+__all__ = ["ORACLE_SQL", "QUERIES", "live"]
 
 
 @query("SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 100")
@@ -95,13 +83,19 @@ def q09_delete(spark: SparkSession, d: str) -> DataFrame:
     return store.delete(tenants, tenants.where("n_regionkey = 2"), "n_nationkey")
 
 
+#: The secret that keys of the catalogue's queries are made with, so that a statement can give them too; a service has its own.
+SECRET = "catalogue"
+_PLAIN = f"('mk_' || sha256('{SECRET}:' || {{id}}))"
+_KEY = f"('key_' || left(sha256(sha256({_PLAIN})), 10))"
+
+
 @query(
-    "SELECT o_orderkey AS request_id, 'key_' || left(sha256(o_orderkey::VARCHAR), 10) AS key_id, s_name AS tenant FROM orders "
+    f"SELECT o_orderkey AS request_id, {_KEY.format(id='o_orderkey')} AS key_id, s_name AS tenant FROM orders "
     "JOIN supplier ON s_suppkey = o_custkey % 10 + 1 WHERE o_orderstatus = 'P'"
 )
 def q10_approve_flow(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderstatus") == "P", "pending_approval").otherwise("closed").alias("status"), "o_custkey")
-    keys, done = store.approve(asked, "request_id")
+    keys, done = store.approve(asked, "request_id", SECRET)
     granted = done.where("approved_key_id IS NOT NULL").join(keys.drop("request_id"), F.col("approved_key_id") == F.col("key_id"))
     return granted.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("o_custkey") % 10 + 1).select("request_id", "key_id", F.col("s_name").alias("tenant"))
 
@@ -241,12 +235,11 @@ def q27_rpm_hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT strftime(ts, '%Y-%m') AS month, user_id, sum(ceil(value / 15))::BIGINT AS units, "
-    "(greatest(sum(ceil(value / 15))::BIGINT - 100, 0) * 150.0000::DECIMAL(12,4))::DECIMAL(24,4)::VARCHAR AS amount FROM events GROUP BY ALL"
+    "SELECT strftime(ts, '%Y-%m') AS month, sum(ceil(value / 15))::BIGINT AS units, "
+    "(greatest(sum(ceil(value / 15))::BIGINT - 10000, 0) * 150.0000::DECIMAL(12,4))::DECIMAL(24,4)::VARCHAR AS amount FROM events GROUP BY ALL"
 )
 def q28_metered_billing(spark: SparkSession, d: str) -> DataFrame:
-    _, price = metering.PRICES["api_stt"]
-    bill = metering.metered_bill(table(spark, d, "events"), F.date_format("ts", "yyyy-MM"), F.ceil(F.col("value") / 15), 100, price, "user_id")
+    bill = metering.monthly_bill(table(spark, d, "events"), "api_stt", F.date_format("ts", "yyyy-MM"), F.ceil(F.col("value") / 15))
     return bill.withColumn("amount", F.col("amount").cast("string"))
 
 
@@ -375,6 +368,8 @@ def _streamed(spark: SparkSession, out: DataFrame, keys: list[str] | None = None
     # updates, not the whole table: the watermark frees state, and a batch that is repeated replaces its folder
     sink.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{rows}/batch={n}")).start().awaitTermination()
     values = [c for c in out.columns if c not in keys]
+    if not exists(spark, rows):
+        return spark.createDataFrame([], out.schema)
     told = spark.read.parquet(rows).groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in values))
     return told.select(*out.columns)
 
@@ -607,20 +602,20 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT request_id, CASE status WHEN 'pending_approval' THEN 'approved' ELSE status END AS status, CASE status WHEN 'pending_approval' THEN 'key_' || left(sha256(request_id::VARCHAR), 10) ELSE approved_key_id END AS approved_key_id, "
+    f"SELECT request_id, CASE status WHEN 'pending_approval' THEN 'approved' ELSE status END AS status, CASE status WHEN 'pending_approval' THEN {_KEY.format(id='request_id')} ELSE approved_key_id END AS approved_key_id, "
     f"rejection_reason, CASE status WHEN 'pending_approval' THEN TIMESTAMP '2024-02-01' END AS updated_at FROM ({_ASKED})"
 )
 def q71_approve_keeps_old(spark: SparkSession, d: str) -> DataFrame:
-    _, done = store.approve(_asked(spark, d), "request_id", now=F.expr("TIMESTAMP_NTZ '2024-02-01'"))
+    _, done = store.approve(_asked(spark, d), "request_id", SECRET, now=F.expr("TIMESTAMP_NTZ '2024-02-01'"))
     return done.select("request_id", "status", "approved_key_id", "rejection_reason", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 @query(
-    "SELECT 'key_' || left(sha256(request_id::VARCHAR), 10) AS key_id, tenant_id, left('aip_live_' || sha256(request_id::VARCHAR), 12) || '...' AS prefix, sha256('aip_live_' || sha256(request_id::VARCHAR)) AS hashed_key, "
+    f"SELECT {_KEY.format(id='request_id')} AS key_id, tenant_id, left({_PLAIN.format(id='request_id')}, 12) || '...' AS prefix, sha256({_PLAIN.format(id='request_id')}) AS hashed_key, "
     f"60::BIGINT AS rpm_limit, 100000::BIGINT AS tpm_limit, 5::BIGINT AS concurrency_limit, 'enabled' AS status FROM ({_ASKED}) WHERE status = 'pending_approval'"
 )
 def q72_new_keys(spark: SparkSession, d: str) -> DataFrame:
-    return store.approve(_asked(spark, d), "request_id")[0].drop("request_id", "created_at")
+    return store.approve(_asked(spark, d), "request_id", SECRET)[0].drop("request_id", "created_at")
 
 
 @query(

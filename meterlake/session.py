@@ -35,3 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         known = f"file://{tempfile.mkdtemp(prefix='meterlake-')}"
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from meterlake.functions.scalar import signature
+from meterlake.session import exists
+
+#: The statuses of posts that need not be repeated.
+DELIVERED = "status BETWEEN 1 AND 399"
 
 
 def append(rows: DataFrame, path: str, time: str | None = None) -> None:
@@ -49,12 +55,42 @@ def signed(events: DataFrame, secret: str) -> DataFrame:
     return events.withColumn("signature", signature(secret)("payload"))
 
 
-def deliver(events: DataFrame, secret: str, post: Callable[[str, str, str], int], checkpoint: str) -> DataStreamWriter:
-    """A streaming sink that posts signed events by post(webhook_id, payload, signature) on the executors; a status of 400 or more fails the batch, which is then retried."""
+def delivery_key() -> Column:
+    """What tells deliveries of a batch apart: webhook and payload."""
+    return F.sha2(F.to_json(F.struct("webhook_id", "payload")), 256)
 
-    def send(rows) -> None:
-        for r in rows:
-            if post(r.webhook_id, r.payload, r.signature) >= 400:
-                raise RuntimeError(f"webhook {r.webhook_id} was refused")
 
-    return events.writeStream.foreachBatch(lambda batch, _: signed(batch, secret).foreachPartition(send)).option("checkpointLocation", checkpoint)
+def deliver(events: DataFrame, secret: str, post: Callable[[str, str, str], int], checkpoint: str) -> DataStreamWriter:
+    """A streaming sink that posts signed events by post(webhook_id, payload, signature) on the executors, each webhook and payload once a batch.
+
+    What a batch has posted goes to a ledger below the checkpoint before the batch counts. A post that raises, or
+    whose status is 400 or more, fails the batch after all others are done; when Spark runs the batch again
+    it asks the ledger and posts only the rest. The ledger of a batch is of the batch's size, and no batch
+    reads another's. If an executor is lost in the middle of a task, that task's rows are posted again: a
+    receiver tells them by their signature.
+    """
+
+    def attempt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            status = []
+            for r in rows.itertuples():
+                try:
+                    status.append(int(post(r.webhook_id, r.payload, r.signature)))
+                except Exception:  # noqa: BLE001 whatever a transport raises is a refusal of this one post
+                    status.append(0)
+            yield pd.DataFrame({"key": rows.key, "webhook_id": rows.webhook_id, "status": status})
+
+    def send(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        ledger, kind = f"{checkpoint}/ledger/{number}", "key string, webhook_id string, status int"
+        wanted = batch.select("webhook_id", "payload", delivery_key().alias("key")).dropDuplicates(["key"])
+        # an own folder for each attempt: what an earlier one has written is never written over
+        before = spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(ledger) if exists(spark, ledger) else spark.createDataFrame([], kind)
+        rest = wanted.join(before.where(DELIVERED).select("key"), "key", "left_anti")
+        path = f"{ledger}/{uuid.uuid4().hex}"
+        signed(rest, secret).mapInPandas(attempt, kind).write.parquet(path)
+        refused = [r.webhook_id for r in spark.read.schema(kind).parquet(path).where(f"NOT ({DELIVERED})").select("webhook_id").distinct().limit(10).collect()]
+        if refused:
+            raise RuntimeError(f"webhooks that refused: {', '.join(map(str, refused))}")
+
+    return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)

@@ -1,13 +1,9 @@
-"""Structured Streaming forms of the time-windowed parts: rates, idempotent intake, job lifecycle."""
+"""Structured Streaming forms of the time-windowed parts: rates, idempotent intake."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: States from which a job moves no more.
 FINAL = ("completed", "failed", "cancelled", "expired")
@@ -34,31 +30,3 @@ def finished(messages: DataFrame, url_of: F.Column) -> DataFrame:
 def once(rows: DataFrame, key: str, time: str, late: str) -> DataFrame:
     """Each idempotency key once, as long as repeats come within late."""
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-
-
-def lifecycle(updates: DataFrame, expire_after: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(job_id, status, at) whenever a job's status changes, from updates (job_id, status, at).
-
-    A job in a final state moves no more; one that is silent for expire_after of event time expires.
-    """
-    silent = int(pd.Timedelta(expire_after).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,), at = state.get, pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-            state.remove()
-            yield pd.DataFrame([(key[0], "expired", at)] if last not in FINAL else [], columns=["job_id", "status", "at"])
-            return
-        current = state.get[0] if state.exists else None
-        changes, latest = [], None
-        for row in pd.concat(list(batches)).sort_values(["at", "status"]).itertuples():
-            latest = row.at
-            if current not in FINAL and row.status != current:
-                current = row.status
-                changes.append((key[0], current, row.at))
-        state.update((current,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(latest.timestamp() * 1000) + silent))
-        yield pd.DataFrame(changes, columns=["job_id", "status", "at"])
-
-    schema = "job_id string, status string, at timestamp"
-    return updates.withWatermark("at", late).groupBy("job_id").applyInPandasWithState(step, schema, "status string", "append", GroupStateTimeout.EventTimeTimeout)
