@@ -2,7 +2,7 @@
 
 The driver's tables stand in for the collections: events for request and audit logs (user_id the
 tenant, event_type the API, value the latency), customer for users, nation for tenants, supplier for
-keys, part for models, orders for jobs and payments, lineitem for usage. The queries of live register as they are imported.
+keys, part for models, orders for jobs and payments, lineitem for usage. The queries of live and stores register as they are imported.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import scalar
 from meterlake.operators import gate, metering, metrics, shape, store
-from meterlake.plans import live
+from meterlake.plans import live, stores
 from meterlake.plans.registry import ORACLE_SQL, QUERIES, query
 from meterlake.session import exists, shared_dir, table
 from meterlake.sources import readers
 from meterlake.streaming import jobs
 
-__all__ = ["ORACLE_SQL", "QUERIES", "live"]
+__all__ = ["ORACLE_SQL", "QUERIES", "live", "stores"]
 
 
 @query("SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 100")
