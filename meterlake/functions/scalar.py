@@ -121,6 +121,12 @@ def signature(secret: str):
     return sign
 
 
+def latency_seconds(start: Column, end: Column) -> Column:
+    """Seconds from start to end, to the microsecond."""
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    return (micros(end) - micros(start)) / F.lit(1e6)
+
+
 def total_tokens(prompt: Column, completion: Column) -> Column:
     return F.coalesce(prompt, F.lit(0)) + F.coalesce(completion, F.lit(0))
 

@@ -12,8 +12,8 @@ KEYED_PREFIX, OPEN_PREFIXES = "/v1/", ("/v1/auth/", "/v1/mcp")
 
 
 def bearer_key(header: Column) -> Column:
-    """The key of an Authorization header; every 'Bearer ' is taken out, then the ends are trimmed."""
-    return F.trim(F.replace(header, F.lit("Bearer "), F.lit("")))
+    """The key of an Authorization header; every 'Bearer ' is taken out, then white space at the ends."""
+    return F.btrim(F.replace(header, F.lit("Bearer "), F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
 
 
 def bearer_ok(header: Column) -> Column:

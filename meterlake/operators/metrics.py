@@ -100,6 +100,23 @@ def status_counters(rows: DataFrame, status: Column) -> DataFrame:
     return rows.agg(F.count_if(status == 401).alias("unauthorized"), F.count_if(status == 429).alias("limited"), F.count("*").alias("requests"))
 
 
+def report(rows: DataFrame, time: str, api: str, status: str, status_class: str | None = None, apis: Sequence[str] = (), first: str | None = None, last: str | None = None) -> DataFrame:
+    """The rows of the API report: of a class of statuses such as 4xx, or one status, of some APIs, from the day first to the end of the day last.
+
+    What is not given filters nothing. Times and APIs are compared as they are stored, so these filters reach the scan.
+    """
+    if status_class:
+        rows = rows.where(F.floor(F.col(status) / 100) == int(status_class[0]) if status_class[1:].lower() == "xx" else F.col(status) == int(status_class))
+    if apis:
+        rows = rows.where(F.col(api).isin(*apis))
+    kind = rows.schema[time].dataType
+    if first:
+        rows = rows.where(F.col(time) >= F.lit(first).cast(kind))
+    if last:
+        rows = rows.where(F.col(time) < F.date_add(F.to_date(F.lit(last)), 1).cast(kind))
+    return rows
+
+
 def alias_stats(rows: DataFrame, alias: str, time: str, latency: str, seconds: Column) -> DataFrame:
     """Per alias: last call, mean latency, requests a second over the given time."""
     return rows.groupBy(alias).agg(F.max(time).alias("last_called"), F.round(F.avg(latency), 4).alias("avg_latency"), F.round(F.count("*") / F.first(seconds), 6).alias("rps"))

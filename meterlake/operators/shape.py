@@ -41,12 +41,19 @@ def times(rows: DataFrame, n: str, index: str = "index") -> DataFrame:
     return rows.where(count > 0).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias(index))
 
 
-def flattened(documents: DataFrame, paths: str) -> DataFrame:
-    """A row per path and method of API descriptions (path -> method -> summary); a missing summary is the path."""
-    by_path = documents.select(F.explode(paths).alias("path", "methods"))
-    rows = by_path.select("path", F.explode("methods").alias("method", "summary"))
+def flattened(documents: DataFrame, paths: str, *keys: str) -> DataFrame:
+    """A row per path and method of API descriptions (path -> method -> summary), with the keys of the description; a missing or empty summary is the path."""
+    by_path = documents.select(*keys, F.explode(paths).alias("path", "methods"))
+    rows = by_path.select(*keys, "path", F.explode("methods").alias("method", "summary"))
     folder = F.coalesce(F.nullif(F.element_at(F.split(F.btrim("path", F.lit("/")), "/"), 1), F.lit("")), F.lit("root"))
-    return rows.select(folder.alias("folder"), "path", F.upper("method").alias("method"), F.coalesce("summary", "path").alias("name"))
+    return rows.select(*keys, folder.alias("folder"), "path", F.upper("method").alias("method"), F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("path")).alias("name"))
+
+
+def with_parents(rows: DataFrame, parents: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
+    """rows with the columns of each (parent, reference, key) in turn; a reference that is null or names none gives nulls, so no row is lost. Keys tell parents apart."""
+    for parent, reference, key in parents:
+        rows = rows.join(parent, F.col(reference) == F.col(key), "left")
+    return rows
 
 
 def dispatched(calls: DataFrame, body: str, handlers: Mapping[str, Column], tools: Mapping[str, Column]) -> DataFrame:

@@ -144,11 +144,15 @@ def q15_cidr_mask(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s_suppkey", "address", scalar.ipv4_number(F.col("address")).alias("number"), scalar.ipv4_network(F.col("address"), 24).alias("network"))
 
 
-@query("SELECT s_suppkey, s_suppkey % 3 > 0 AND (s_suppkey % 3 = 1 OR length(s_suppkey::VARCHAR) >= 8) AS accepted FROM supplier")
+@query(
+    "SELECT conv_id, turn, starts_with(header, 'Bearer ') AND length(trim(replace(header, 'Bearer ', ''), chr(32) || chr(9) || chr(10) || chr(13))) >= 8 AS accepted FROM "
+    "(SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Bearer ' || left(text, 5 + (length(text) % 6)::INT) WHEN 'assistant' THEN 'Basic ' || text ELSE 'Bearer Bearer  ' || right(text, 9) || '  ' END AS header FROM conversations)"
+)
 def q16_bearer_check(spark: SparkSession, d: str) -> DataFrame:
-    keys = table(spark, d, "supplier")
-    header = F.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("Bearer "), F.col("s_name"))).when(F.col("s_suppkey") % 3 == 2, F.concat(F.lit("Bearer  "), F.col("s_suppkey").cast("string"), F.lit(" ")))
-    return keys.select("s_suppkey", gate.bearer_ok(header).alias("accepted"))
+    text = F.col("text")
+    header = F.when(F.col("role") == "user", F.concat(F.lit("Bearer "), F.substring(text, F.lit(1), 5 + F.length(text) % 6))).when(F.col("role") == "assistant", F.concat(F.lit("Basic "), text))
+    header = header.otherwise(F.concat(F.lit("Bearer Bearer  "), F.right(text, F.lit(9)), F.lit("  ")))
+    return table(spark, d, "conversations").select("conv_id", "turn", gate.bearer_ok(header).alias("accepted"))
 
 
 @query(
@@ -429,21 +433,19 @@ def q51_job_messages(spark: SparkSession, d: str) -> DataFrame:
     return sinks.envelopes(rows).select(F.get_json_object("value", "$.job_id").cast("long").alias("job_id"), "key", "value")
 
 
-@query(
-    "SELECT s_suppkey, (CASE WHEN s_suppkey % 4 = 0 THEN ['*'] ELSE ['alias' || (s_suppkey % 3), 'alias1'] END) && ['*', 'alias2'] AS allowed FROM supplier"
-)
+@query("SELECT p_partkey, list_contains(names, 'ring') OR list_contains(names, '*') AS allowed FROM (SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN ['*'] ELSE string_split(p_name, ' ') END AS names FROM part)")
 def q52_alias_allowed(spark: SparkSession, d: str) -> DataFrame:
-    listed = F.when(F.col("s_suppkey") % 4 == 0, F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("alias"), (F.col("s_suppkey") % 3).cast("string")), F.lit("alias1")))
-    return table(spark, d, "supplier").select("s_suppkey", gate.alias_allowed(listed, F.lit("alias2")).alias("allowed"))
+    listed = F.when(F.col("p_type") == "ECONOMY", F.array(F.lit("*"))).otherwise(F.split("p_name", " "))
+    return table(spark, d, "part").select("p_partkey", gate.alias_allowed(listed, F.lit("ring")).alias("allowed"))
 
 
 @query(
     "SELECT page_id, NOT starts_with(path, '/v1/') OR starts_with(path, '/v1/auth/') OR starts_with(path, '/v1/mcp') AS open FROM "
-    "(SELECT page_id, ['/v1/chat', '/v1/auth/login', '/v1/mcp/sse', '/health', '/admin/v1/keys'][page_id % 5 + 1] AS path FROM pages)"
+    "(SELECT page_id, replace(replace(regexp_extract(url, '^[^/]*//[^/]*(/[^?#]*)', 1), '/en/', '/v1/auth/'), '/de/', '/v1/') AS path FROM pages)"
 )
 def q53_open_paths(spark: SparkSession, d: str) -> DataFrame:
-    paths = F.array(*map(F.lit, ["/v1/chat", "/v1/auth/login", "/v1/mcp/sse", "/health", "/admin/v1/keys"]))
-    return table(spark, d, "pages").select("page_id", gate.is_open(F.element_at(paths, (F.col("page_id") % 5 + 1).cast("int"))).alias("open"))
+    path = F.replace(F.replace(F.regexp_extract("url", "^[^/]*//[^/]*(/[^?#]*)", 1), F.lit("/en/"), F.lit("/v1/auth/")), F.lit("/de/"), F.lit("/v1/"))
+    return table(spark, d, "pages").select("page_id", gate.is_open(path).alias("open"))
 
 
 @query("SELECT l_orderkey, l_linenumber, unnest(range(l_quantity::INT % 5))::BIGINT AS index FROM lineitem")
@@ -453,16 +455,16 @@ def q54_expand_images(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_id, event_id::VARCHAR AS id, CASE event_id % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'Safe: ' || left(event_type, 30) END AS result, "
-    "CASE WHEN event_id % 4 > 1 THEN -32601 END AS error_code FROM events"
+    "SELECT conv_id, turn, conv_id::VARCHAR AS id, CASE WHEN role = 'system' THEN 'ready' WHEN role = 'user' AND contains(text, 'e') THEN 'Safe: ' || left(text, 30) END AS result, "
+    "CASE WHEN role = 'assistant' OR role = 'user' AND NOT contains(text, 'e') THEN -32601 END AS error_code FROM conversations"
 )
 def q55_rpc_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    tool = F.when(F.col("event_id") % 4 == 1, "moderate").otherwise("no_such_tool")
-    method = F.when(F.col("event_id") % 4 == 0, "initialize").when(F.col("event_id") % 4 == 3, "no/such").otherwise("tools/call")
-    body = F.to_json(F.struct(F.col("event_id").alias("id"), method.alias("method"), F.struct(tool.alias("name"), F.struct(F.col("event_type").alias("text")).alias("arguments")).alias("params")))
-    calls = table(spark, d, "events").select("event_id", body.alias("body"))
+    tool = F.when(F.contains("text", F.lit("e")), "moderate").otherwise("no_such_tool")
+    method = F.when(F.col("role") == "system", "initialize").when(F.col("role") == "user", "tools/call").otherwise("no/such")
+    body = F.to_json(F.struct(F.col("conv_id").alias("id"), method.alias("method"), F.struct(tool.alias("name"), F.struct("text").alias("arguments")).alias("params")))
+    calls = table(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
     safe = F.concat(F.lit("Safe: "), F.substring(F.get_json_object("body", "$.params.arguments.text"), 1, 30))
-    return shape.dispatched(calls, "body", {"initialize": F.lit("ready")}, {"moderate": safe}).select("event_id", "id", "result", "error_code")
+    return shape.dispatched(calls, "body", {"initialize": F.lit("ready")}, {"moderate": safe}).select("conv_id", "turn", "id", "result", "error_code")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions import scalar, signing
-from meterlake.operators import gate, keyed, paging, search, shape, sketches
+from meterlake.operators import gate, keyed, metrics, paging, search, shape, sketches
 from meterlake.plans.registry import query
 from meterlake.session import shared_dir, table
 from meterlake.sources import bundle, intake, readers, sinks, variants
@@ -166,3 +166,110 @@ def q92_update_by_email(spark: SparkSession, d: str) -> DataFrame:
     users = table(spark, d, "customer").withColumn("email", F.concat(F.lower("c_mktsegment"), F.lit("@"), F.col("c_nationkey").cast("string")))
     asked = users.where("c_nationkey < 10").select("email").distinct().withColumn("c_mktsegment", F.lit("RESET"))
     return keyed.update_by(users, asked, "email", "c_custkey", ["c_mktsegment"]).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query(
+    "SELECT source, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, round(sum(octet_length(encode(coalesce(text, ''))) + 1) / 1024.0::DOUBLE, 3) AS kib FROM documents WHERE lang <> 'fr' GROUP BY source"
+)
+def q93_tree_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of a tree of text files by folder, without some folders, endings and names; texts are the files' lines."""
+    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    texts = table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.coalesce("source", F.lit("none")).alias("source"), "lang")
+    texts.write.partitionBy("source", "lang").text(folder)
+    files = readers.tree(spark, folder, without_dirs=["lang=fr"], without_ends=[".crc"], without_names=["_SUCCESS"])
+    sums = shape.file_totals(files.withColumn("source", F.regexp_extract("path", "/source=([^/]*)/", 1)), ["source"])
+    return sums.select("source", "bytes", F.round(F.col("bytes") / 1024, 3).alias("kib"))
+
+
+@query(
+    "SELECT 'log_' || event_id AS log_id, event_type AS action, CASE WHEN event_type = 'error' THEN TIMESTAMP '2024-03-01' ELSE ts END AS logged_at FROM events WHERE event_id % 2 = 0 "
+    "UNION ALL SELECT 'log_' || event_id, event_type, CASE WHEN event_type = 'error' THEN TIMESTAMP '2024-03-01' ELSE ts END FROM events WHERE event_type = 'error'"
+)
+def q94_appended_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Two appends to one table; a log without a time gets the time of its append, here a given one."""
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    logs = table(spark, d, "events").select(
+        F.concat(F.lit("log_"), F.col("event_id").cast("string")).alias("log_id"), F.col("event_type").alias("action"), F.when(F.col("event_type") != "error", F.col("ts")).alias("logged_at"), "event_id"
+    )
+    now = F.expr("TIMESTAMP_NTZ '2024-03-01'")
+    sinks.append(logs.where("event_id % 2 = 0").drop("event_id"), folder, "logged_at", now)
+    sinks.append(logs.where("action = 'error'").drop("event_id"), folder, "logged_at", now)
+    return spark.read.parquet(folder)
+
+
+@query("SELECT event_type, user_id, requests::BIGINT AS requests FROM (SELECT event_type, user_id, count(*) AS requests FROM events GROUP BY ALL) ORDER BY requests DESC, event_type, user_id LIMIT 100")
+def q95_csv_report(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    top = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("requests")).orderBy(F.col("requests").desc(), "event_type", "user_id").limit(100)
+    sinks.report_csv(top, folder)
+    return spark.read.schema(top.schema).option("header", "true").csv(folder)
+
+
+@query(
+    "WITH p AS (SELECT regexp_extract(url, '^[^/]*//[^/]*(/[^?#]*)', 1) AS path, regexp_extract(url, '^([a-z]+):', 1) AS method, page_id FROM pages) "
+    "SELECT page_id, CASE WHEN string_split(trim(path, '/'), '/')[1] = '' THEN 'root' ELSE string_split(trim(path, '/'), '/')[1] END AS folder, path, upper(method) AS method, CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id ELSE path END AS name FROM p"
+)
+def q96_api_collection(spark: SparkSession, d: str) -> DataFrame:
+    """A row per path and method of API descriptions: one for each page, by the path of its url."""
+    path, method = F.regexp_extract("url", "^[^/]*//[^/]*(/[^?#]*)", 1), F.regexp_extract("url", "^([a-z]+):", 1)
+    summary = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Page "), F.col("page_id").cast("string")))
+    pages = table(spark, d, "pages").select("page_id", F.create_map(path, F.create_map(method, summary)).alias("paths"))
+    return shape.flattened(pages, "paths", "page_id")
+
+
+@query(
+    "SELECT c_custkey, array_to_string(list_transform(regexp_extract_all(lower(c_mktsegment) || '_' || c_custkey || 'nd.o''neil', '[a-zA-Z]+|[^a-zA-Z]+'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '') AS full_name FROM customer"
+)
+def q97_default_names(spark: SparkSession, d: str) -> DataFrame:
+    email = F.concat(F.lower("c_mktsegment"), F.lit("_"), F.col("c_custkey").cast("string"), F.lit("nd.o'neil@"), F.lower("c_name"))
+    return table(spark, d, "customer").select("c_custkey", scalar.name_from_email(email).alias("full_name"))
+
+
+@query(
+    "SELECT a.event_id // 2 AS request, (epoch_us(b.ts) - epoch_us(a.ts)) / 1e6::DOUBLE AS seconds, (epoch_us(b.ts) - epoch_us(a.ts)) // 1000 AS millis FROM events a JOIN events b ON a.event_id + 1 = b.event_id WHERE a.event_id % 2 = 0"
+)
+def q98_latencies(spark: SparkSession, d: str) -> DataFrame:
+    """How long a request takes, from the times of its start and end."""
+    moves = table(spark, d, "events").select(F.expr("event_id div 2").alias("request"), (F.col("event_id") % 2 == 0).alias("starts"), "ts")
+    spans = moves.groupBy("request").agg(F.min(F.when(F.col("starts"), F.col("ts"))).alias("started"), F.max(F.when(~F.col("starts"), F.col("ts"))).alias("ended"))
+    spans = spans.where("started IS NOT NULL AND ended IS NOT NULL")
+    return spans.select("request", scalar.latency_seconds(F.col("started"), F.col("ended")).alias("seconds"), F.expr("timestampdiff(MICROSECOND, started, ended) div 1000").alias("millis"))
+
+
+@query(
+    "WITH r AS (SELECT event_id, ts, event_type, CASE event_type WHEN 'error' THEN 500 + user_id % 4 WHEN 'signup' THEN 400 + user_id % 30 ELSE 200 END AS status FROM events) "
+    "SELECT event_id, event_type, status FROM r WHERE status // 100 = 4 AND event_type IN ('signup', 'error') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-21' "
+    "UNION ALL SELECT event_id, event_type, status FROM r WHERE status // 100 = 5 AND ts >= TIMESTAMP '2024-01-25'"
+)
+def q99_status_report(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", 500 + F.col("user_id") % 4).when(F.col("event_type") == "signup", 400 + F.col("user_id") % 30).otherwise(200)
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type", "user_id", status.alias("status"))
+    month = metrics.report(rows, "ts", "event_type", "status", status_class="4xx", apis=["signup", "error"], first="2024-01-10", last="2024-01-20")
+    return month.unionByName(metrics.report(rows, "ts", "event_type", "status", status_class="5xx", first="2024-01-25")).select("event_id", "event_type", "status")
+
+
+@query(
+    "SELECT o_orderkey AS payment, c_name AS project, n_name AS tenant, r_name AS owner FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey "
+    "LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 100000"
+)
+def q100_owners(spark: SparkSession, d: str) -> DataFrame:
+    """Payments with their projects, tenants and owners; what a key no longer names is null."""
+    payments = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("payment"), "o_custkey")
+    projects = table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_name").alias("project"), "c_nationkey")
+    tenants = table(spark, d, "nation").where("n_nationkey < 20").select("n_nationkey", F.col("n_name").alias("tenant"), "n_regionkey")
+    owners = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("owner"))
+    found = shape.with_parents(payments, [(projects, "o_custkey", "c_custkey"), (tenants, "c_nationkey", "n_nationkey"), (owners, "n_regionkey", "r_regionkey")])
+    return found.select("payment", "project", "tenant", "owner")
+
+
+@query(
+    "SELECT s_suppkey, host, CASE WHEN s_suppkey % 4 = 0 THEN false WHEN s_suppkey % 4 = 3 THEN s_suppkey % 8 = 7 ELSE s_nationkey BETWEEN 8 AND 11 END AS admitted FROM (SELECT s_suppkey, s_nationkey, CASE s_suppkey % 4 WHEN 0 THEN '0' || s_nationkey || '.1.2.3' "
+    "WHEN 1 THEN '::ffff:' || s_nationkey || '.1.2.3' WHEN 2 THEN s_nationkey || '.1.2.3' WHEN 3 THEN CASE WHEN s_suppkey % 8 = 7 THEN 'fe80::' || s_nationkey || '%eth0' ELSE 'fe80::' || s_nationkey || '%' END END AS host FROM supplier)"
+)
+def q101_address_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Octets with leading zeros, dotted ends of version 6, zones; networks with netmasks."""
+    n, k = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    host = F.when(n % 4 == 0, F.concat(F.lit("0"), k, F.lit(".1.2.3"))).when(n % 4 == 1, F.concat(F.lit("::ffff:"), k, F.lit(".1.2.3"))).when(n % 4 == 2, F.concat(k, F.lit(".1.2.3")))
+    host = host.otherwise(F.concat(F.lit("fe80::"), k, F.when(n % 8 == 7, "%eth0").otherwise("%")))
+    networks = readers.constant(spark, [("8.0.0.0/252.0.0.0",), ("::ffff:8.0.0.0/102",), (" fe80::/64 ",), ("not a network",)], "cidr string")
+    return gate.admitted(table(spark, d, "supplier").select("s_suppkey", host.alias("host")), "host", networks)

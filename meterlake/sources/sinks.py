@@ -17,10 +17,10 @@ from meterlake.session import exists
 DELIVERED = "status BETWEEN 1 AND 399"
 
 
-def append(rows: DataFrame, path: str, time: str | None = None) -> None:
-    """Appends rows; a missing time is now."""
+def append(rows: DataFrame, path: str, time: str | None = None, now: Column | None = None) -> None:
+    """Appends rows; a missing time is now, that of the append if none is given."""
     if time:
-        rows = rows.withColumn(time, F.coalesce(time, F.current_timestamp()))
+        rows = rows.withColumn(time, F.coalesce(F.col(time), (F.current_timestamp() if now is None else now).cast(rows.schema[time].dataType)))
     rows.write.mode("append").parquet(path)
 
 
