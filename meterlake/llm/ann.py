@@ -21,8 +21,11 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray | None =
     Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M the largest
     norm, which is 0 for queries: |q - x|^2 = |q|^2 + M^2 - 2 q.x. A node is (vantage row, start,
     middle, stop, largest distance of the nearer half, least of the farther). Halves go by rank, so
-    equal vectors cannot unbalance the tree.
+    equal vectors cannot unbalance the tree. Components so large that squares overflow are scaled for the
+    distances, by a power of two; scores are always of the vectors themselves.
     """
+    original, scale = vectors, shrink(np.abs(vectors).max(initial=0.0))
+    vectors = vectors if scale == 1 else vectors * scale
     norms = np.einsum("ij,ij->i", vectors, vectors)
     lifted = np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))])
     order = np.argsort(ids, kind="stable")
@@ -45,7 +48,12 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray | None =
     nodes = np.array(nodes, np.int64).reshape(-1, 4)
     nodes[:, 0] = place[nodes[:, 0]] if len(nodes) else nodes[:, 0]
     copies = np.zeros(len(ids), np.int64) if copies is None else copies
-    return {"ids": ids[order], "copies": copies[order], "vectors": vectors[order], "lift": lifted[order, -1], "nodes": nodes, "bounds": np.array(bounds).reshape(-1, 2)}
+    return {"ids": ids[order], "copies": copies[order], "scale": scale, "vectors": vectors[order], "original": original[order] if scale != 1 else None, "lift": lifted[order, -1], "nodes": nodes, "bounds": np.array(bounds).reshape(-1, 2)}
+
+
+def shrink(largest: float) -> float:
+    """The power of two that vectors with such a largest component are multiplied by before they are squared: 1 unless squares might overflow."""
+    return 1.0 if largest < 2.0**400 else 2.0 ** -float(np.frexp(largest)[1])
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,7 +68,9 @@ class Search:
     """The k best rows of one tree for a block of queries; all queries that visit a node do so together."""
 
     def __init__(self, tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k: int, factor: float, copies: np.ndarray | None = None):
-        self.tree, self.ids, self.queries, self.k, self.factor = tree, ids, queries, k, factor
+        self.tree, self.ids, self.original, self.k, self.factor = tree, ids, queries, k, factor
+        self.scale = shrink(np.abs(queries).max(initial=0.0))
+        self.queries = queries = queries if self.scale == 1 else queries * self.scale
         self.copies = np.zeros(len(ids), np.int64) if copies is None else copies
         self.node = {(int(n[1]), int(n[3])): i for i, n in enumerate(tree["nodes"])}
         top = (tree["vectors"][:1] ** 2).sum() + tree["lift"][:1].sum() ** 2
@@ -68,13 +78,19 @@ class Search:
         self.slack = 1e-7 * (1 + np.sqrt(self.base))
         self.best_score = np.full((len(ids), k), -np.inf)
         self.best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.found = np.zeros((len(ids), k), bool)
         self.visit(0, len(tree["ids"]), np.arange(len(ids)))
 
     def reach(self, rows: np.ndarray) -> np.ndarray:
         """How far from its query a row that still counts may lie, relaxed by the factor."""
-        worst = self.best_score[rows, -1]
+        worst = self.worst(rows)
         return np.where(np.isinf(worst), np.inf, self.factor * np.sqrt(np.maximum(self.base[rows] - 2 * np.where(np.isinf(worst), 0, worst), 0)) + self.slack[rows])
 
+    def worst(self, rows: np.ndarray) -> np.ndarray:
+        """The scores of the k-th best, scaled as the tree's are; where such a score is beyond doubles, nothing is known."""
+        score = self.best_score[rows, -1]
+        return score if self.scale * self.tree["scale"] == 1 else np.where(np.isfinite(score), score * self.scale * self.tree["scale"], -np.inf)
+
     def visit(self, start: int, stop: int, rows: np.ndarray) -> None:
         if not len(rows):
             return
@@ -97,22 +113,35 @@ class Search:
         vectors, ids, copies = (self.tree[x][start:stop] for x in ("vectors", "ids", "copies"))
         scores = self.queries[rows] @ vectors.T
         own = (ids[None, :] == self.ids[rows][:, None]) & (copies[None, :] == self.copies[rows][:, None])
-        good = (scores >= (self.best_score[rows, -1] - self.slack[rows])[:, None]) & ~own
+        good = (scores >= (self.worst(rows) - self.slack[rows])[:, None]) & ~own
         q, x = np.nonzero(good)
         if not len(q):
             return
         changed = np.unique(q)
-        exact = inner(self.queries[rows[q]], vectors[x])
+        exact = self.exact(rows[q], start + x)
         who = np.concatenate([rows[q], np.repeat(rows[changed], self.k)])
         score = np.concatenate([exact, self.best_score[rows[changed]].ravel()])
         found = np.concatenate([ids[x], self.best_id[rows[changed]].ravel()])
-        order = np.lexsort((found, -score, who))
-        who, score, found = who[order], score[order], found[order]
+        real = np.concatenate([np.ones(len(x), bool), self.found[rows[changed]].ravel()])
+        order = np.lexsort((found, -score, ~real, who))
+        who, score, found, real = who[order], score[order], found[order], real[order]
         first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
         rank = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
         keep = rank < self.k
         self.best_score[who[keep], rank[keep]] = score[keep]
         self.best_id[who[keep], rank[keep]] = found[keep]
+        self.found[who[keep], rank[keep]] = real[keep]
+
+
+    def exact(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scores of the vectors themselves. A sum that meets infinities of both signs takes the sign of the scaled one."""
+        own = self.tree["vectors"] if self.tree["original"] is None else self.tree["original"]
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = inner(self.original[queries], own[rows])
+        lost = np.isnan(score)
+        if lost.any():
+            score[lost] = np.sign(inner(self.queries[queries[lost]], self.tree["vectors"][rows[lost]])) * np.inf
+        return np.where(np.isnan(score), 0.0, score)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -152,7 +181,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
                     some = run[at : at + BLOCK_ROWS]
                     ids, copies = some.vec_id.to_numpy(np.int64), some["copy"].to_numpy(np.int64)
                     found = Search(tree, ids, np.stack(some.vector.to_numpy()), k, factor, copies)
-                    good = np.isfinite(found.best_score)
+                    good = found.found
                     n = good.sum(axis=1)
                     yield pd.DataFrame({"query_id": np.repeat(ids, n), "query_copy": np.repeat(copies, n), "vec_id": found.best_id[good], "score": found.best_score[good]})
 

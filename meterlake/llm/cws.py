@@ -121,7 +121,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """RESULT per document: its fingerprint, and how near its edited text and the next document come to it.
 
     The next document is the one with the next smaller doc_id, after the smallest the largest. Null
-    texts are empty; nulls among the ids come last; repeated rows stand side by side; a single row is
+    texts are empty; nulls among the ids come last; rows of one id go by a hash of their texts, so that repeated rows stand side by side; a single row is
     its own next. Only doc_id and text are read. Documents are range-partitioned by id once; within
     a partition the next row is at hand, and only the last row of each partition is finished in a
     second step with the first of the following one.
@@ -156,13 +156,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     names = [c.split()[0] for c in f"{RESULT}, part int, first_text string, last_text string".split(", ")]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("at"))
-    dealt = rows.repartitionByRange(F.col("at").desc_nulls_last()).sortWithinPartitions(F.col("at").desc_nulls_last(), "text").select("doc_id", "text")
+    # the hash parts the rows of one id, or of none, among several tasks
+    order = [F.col("at").desc_nulls_last(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     first = materialize(dealt.mapInPandas(run, f"{RESULT}, part int, first_text string, last_text string"), "cws")
 
     ends = first.where("last_text is not null").select("doc_id", "part", "first_text", "last_text")
     # one row per partition
-    order = Window.orderBy("part")
-    following = ends.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("next"))
+    by_part = Window.orderBy("part")
+    following = ends.select("part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)).alias("next"))
     heads = ends.select(F.col("part").alias("next"), F.col("first_text").alias("following"))
     last = ends.select(F.col("doc_id").cast("string").alias("doc_id"), "part", "last_text").join(following, "part").join(heads, "next").select("doc_id", "last_text", "following")
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 6, (2, 3, 4), 8
 #: The bound of the training sample: documents per language, windows per document.
@@ -97,20 +98,23 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame) -> tuple[list[str], ByteNet | None]:
     """Languages and the network learned from text and lang of documents that are not held out.
 
-    The sample is bounded: of each language about TRAIN_DOCS documents, drawn by a hash of the id,
-    with TRAIN_WINDOWS passages of WINDOW characters each. Null langs and texts teach nothing. One
+    The sample is bounded: of each language at most TRAIN_DOCS documents, the first by a hash of id and text,
+    each text of an id once, with TRAIN_WINDOWS passages of WINDOW characters each. Null langs and texts teach nothing. One
     count per language comes to the driver, which has to hold a network of as many classes anyway.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = known.groupBy("lang").count().collect()
     if not counts:
         return [], None
-    rate = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r.lang, TRAIN_DOCS / r["count"]))), F.col("lang"))
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 52)) < rate * float(1 << 52)
+    # about twice as many as are kept pass the rate; only these, as passages, are shuffled
+    rate = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r.lang, 2 * TRAIN_DOCS / r["count"]))), F.col("lang"))
+    drawn = known.withColumn("at", F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 52))).where(F.col("at") < rate * float(1 << 52))
     start = lambda i: F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
     passages = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring(F.col("text"), start(i).cast("int"), F.lit(WINDOW)))
-    rows = known.where(drawn).select("doc_id", "lang", passages.alias("passages")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.passages))
+    once = drawn.groupBy("lang", "at").agg(F.min(passages).alias("passages"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    rows = once.withColumn("rank", rank).where(F.col("rank") <= TRAIN_DOCS).select("lang", "at", "passages").collect()
+    rows.sort(key=lambda r: (r.at, r.lang))
     languages = sorted({r.lang for r in rows})
     samples = [(windows_of(x.encode())[0], languages.index(r.lang)) for r in rows for x in sorted(set(r.passages)) if x.strip()]
     if not samples:

@@ -100,27 +100,27 @@ def goal_of(targets: DataFrame) -> Column:
 
 
 def shuffled_blocks(docs: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Pieces of every source's shuffled stream: doc_id, source, size, copy, sid, epoch, block, start, length.
+    """Pieces of every source's shuffled stream: doc_id, source, size, tag, copy, sid, epoch, block, start, length.
 
-    A source's stream is its documents in md5 order, once per epoch in another order, laid end to end,
+    A source's stream is its documents in the md5 order of their tags, once per epoch in another order, laid end to end,
     cut into blocks of block_words and ended at the source's goal. Offsets are sums per (source, epoch,
     first three digits of the md5) plus the sum within, so a source with a third of all rows is spread
     over 4,096 groups.
     """
-    digest = F.md5(F.concat_ws(":", F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat_ws(":", F.col("epoch").cast("string"), F.col("tag")))
     needed = F.least(F.lit(max_epochs), F.ceil(F.col("goal") / F.col("source_size"))).cast("int")
     read = (
         docs.where("size > 0")
         .join(targets.select("sid", F.col("source").alias("of"), "source_size", goal_of(targets).alias("goal")), F.col("source").eqNullSafe(F.col("of")))
         .where("goal > 0")
-        .select("doc_id", "source", "size", "copy", "sid", "source_size", "goal", F.explode(F.sequence(F.lit(0), needed - 1)).alias("epoch"))
+        .select("doc_id", "source", "size", "tag", "copy", "sid", "source_size", "goal", F.explode(F.sequence(F.lit(0), needed - 1)).alias("epoch"))
         .withColumn("digest", digest)
         .withColumn("bucket", F.substring("digest", 1, 3))
     )
     sums = read.groupBy("sid", "epoch", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("sid", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("sid", "epoch", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("sid", "epoch", "bucket").orderBy("digest", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("sid", "epoch", "bucket").orderBy("digest", "copy").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         read.withColumn("inner", F.sum("size").over(inner))
         .join(bases, ["sid", "epoch", "bucket"])
@@ -131,25 +131,30 @@ def shuffled_blocks(docs: DataFrame, targets: DataFrame, block_words: int = BLOC
     )
     low: Column = F.greatest(F.col("first"), F.col("block") * block_words)
     high: Column = F.least(F.col("end"), (F.col("block") + 1) * block_words)
-    return placed.select("doc_id", "source", "size", "copy", "sid", "epoch", "block", (low - F.col("first")).alias("start"), (high - low).alias("length"))
+    return placed.select("doc_id", "source", "size", "tag", "copy", "sid", "epoch", "block", (low - F.col("first")).alias("start"), (high - low).alias("length"))
 
 
 def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def tag_of(doc_id: Column, text: Column) -> Column:
+    """What tells documents of a source apart: an md5 of id and text, so that rows that repeat an id, or have none, do not share one."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows with copy, which numbers those that agree in doc_id, source and size."""
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")))
+    """rows with copy, which numbers those that agree in source and tag."""
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("source", "tag").orderBy("doc_id")))
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text; null: 0), copy (numbers rows that agree in all three)."""
-    return numbered(docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words_of(docs["text"]).alias("size")))
+    """doc_id, source, size (words of the text; null: 0), tag, copy (numbers rows that agree in source, id and text)."""
+    return numbered(docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words_of(docs["text"]).alias("size"), tag_of(docs["doc_id"], docs["text"]).alias("tag")))
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(measured documents, targets, mixture); the mixture has a row per piece: slot, doc_id, source, size, copy, epoch, start, length.
+    """(measured documents, targets, mixture); the mixture has a row per piece: slot, doc_id, source, size, tag, copy, epoch, start, length.
 
     Every source gives its target, rounded to whole words. Null and empty texts have size 0 and are never taken. Null sources are one source, the last.
     Repeated rows count once each. An empty table gives three empty results. Only doc_id, text and
@@ -160,14 +165,14 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_E
     pieces = shuffled_blocks(sized, targets, block_words, max_epochs)
     schedule = slot_schedule(targets, block_words).withColumnRenamed("rank", "block")
     # both sides grow with the words of the corpus: neither may be broadcast
-    mixture = pieces.join(schedule.hint("merge"), ["sid", "block"]).select("slot", "doc_id", "source", "size", "copy", "epoch", "start", "length")
+    mixture = pieces.join(schedule.hint("merge"), ["sid", "block"]).select("slot", "doc_id", "source", "size", "tag", "copy", "epoch", "start", "length")
     return sized, targets, mixture
 
 
 def mix_summary(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words that the mixture takes, repeats counted)."""
     sized, targets, mixture = mix(docs, block_words, max_epochs)
-    keys = ["doc_id", "source", "size", "copy"]
+    keys = ["doc_id", "source", "size", "tag", "copy"]
     taken = sized.select(*keys, F.lit(0).cast("long").alias("length")).unionByName(mixture.select(*keys, "length")).groupBy(*keys).agg(F.sum("length").alias("taken"))
     goals = targets.select(F.col("source").alias("of"), "source_size", "target")
     return taken.join(goals, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", "taken")
@@ -175,8 +180,7 @@ def mix_summary(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int
 
 def _row_key() -> Column:
     """What tells measured documents apart, without nulls."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("doc_id", "source", "size")]
-    return F.concat_ws("|", *parts, F.col("copy").cast("string"))
+    return F.concat_ws("|", F.col("tag"), F.col("copy").cast("string"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -187,7 +191,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs:
     """
     _, _, mixture = mix(docs, block_words, max_epochs)
     took = mixture.withColumn("key", _row_key()).groupBy("key", "epoch").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.first("size").alias("size"))
-    whole = docs.select(F.struct("*").alias("d"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words_of(docs["text"]).alias("size"))
+    whole = docs.select(F.struct("*").alias("d"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words_of(docs["text"]).alias("size"), tag_of(docs["doc_id"], docs["text"]).alias("tag"))
     keyed = numbered(whole).withColumn("key", _row_key()).select("d", "key")
     part = F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(f"({WORD})")), F.col("start").cast("int") + 1, F.col("length").cast("int")), " ")
     out = keyed.join(took, "key").withColumn("cut", F.col("length") < F.col("size")).withColumn("text", F.when(F.col("cut"), part).otherwise(F.col("d.text")))

@@ -1,11 +1,12 @@
 """The mixture of sources, as one DuckDB statement."""
 
-#: Rows that agree in doc_id, source and size are numbered and so kept apart.
+#: Rows that agree in source, doc_id and text are numbered and so kept apart.
 MIX = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         row_number() OVER (PARTITION BY doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS copy
-  FROM documents),
+  SELECT *, row_number() OVER (PARTITION BY source, tag) AS copy FROM (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+           md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS tag
+    FROM documents)),
 sources AS (
   SELECT source, source_size, sid, (sid - 1) % 3 + 1 AS weight, source_size * 3 AS cap, sum(source_size) OVER ()::BIGINT AS total
   FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY source)),
@@ -30,15 +31,15 @@ schedule AS (
   SELECT sid, block FROM given JOIN needs USING (sid) WHERE block < need
   UNION ALL SELECT sid, unnest(range(n, need)) FROM needs),
 streams AS (
-  SELECT doc_id, sized.source, size, copy, sid, epoch * source_size
-    + sum(size) OVER (PARTITION BY sid, epoch ORDER BY md5(epoch::VARCHAR || ':' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size, copy ROWS UNBOUNDED PRECEDING) AS stop
+  SELECT doc_id, sized.source, size, tag, copy, sid, epoch * source_size
+    + sum(size) OVER (PARTITION BY sid, epoch ORDER BY md5(epoch::VARCHAR || ':' || tag), copy ROWS UNBOUNDED PRECEDING) AS stop
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source, range(3) AS e(epoch) WHERE size > 0),
 pieces AS (
   SELECT *, unnest(range((stop - size)::BIGINT // 64, (stop - 1)::BIGINT // 64 + 1)) AS block FROM streams),
 taken AS (
-  SELECT doc_id, source, size, copy, sum(greatest(0, least(stop, block * 64 + 64, goal) - greatest(stop - size, block * 64))) AS words
+  SELECT source, tag, copy, sum(greatest(0, least(stop, block * 64 + 64, goal) - greatest(stop - size, block * 64))) AS words
   FROM pieces JOIN needs USING (sid) SEMI JOIN schedule USING (sid, block) GROUP BY ALL)
 SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(k.words, 0)::BIGINT AS taken
 FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
-LEFT JOIN taken k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.source IS NOT DISTINCT FROM k.source AND d.size = k.size AND d.copy = k.copy
+LEFT JOIN taken k ON d.tag = k.tag AND d.source IS NOT DISTINCT FROM k.source AND d.copy = k.copy
 """

@@ -111,8 +111,8 @@ def text_print(text: F.Column) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(text), 33)
 
 
-def shared_cores(docs: DataFrame) -> DataFrame:
-    """(doc, keys): the cores of a document that another one holds too. An array is no longer than its document."""
+def core_rows(docs: DataFrame, *keys: str) -> DataFrame:
+    """(key, keys): every distinct core of every text."""
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Hashes()
@@ -120,12 +120,28 @@ def shared_cores(docs: DataFrame) -> DataFrame:
             for start in range(0, len(batch), 500):
                 part = batch[start : start + 500]
                 found = [np.unique(run_cores(_doubled(word_hashes(text, cache, lower=False)))) for text in part.text]
-                yield pd.DataFrame({"key": np.concatenate(found).view(np.int64), "doc": np.repeat(part.doc_id.to_numpy(np.int64), list(map(len, found)))})
+                sizes = list(map(len, found))
+                yield pd.DataFrame({"key": np.concatenate(found).view(np.int64)} | {k: np.repeat(part[k].to_numpy(np.int64), sizes) for k in keys})
+
+    return docs.select(*keys, "text").mapInPandas(keep, "key long, " + ", ".join(f"{k} long" for k in keys))
 
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(keep, "key long, doc long")
-    later = with_first(materialize(rows, "suffixes"), "suffix-cores")
+
+def shared_cores(docs: DataFrame) -> DataFrame:
+    """(doc, print, keys): the cores of a document that another one holds too; print tells the texts of one id apart and is null where there is one.
+
+    An array is no longer than its text: the texts of an id that has several get theirs each for itself.
+    """
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), "text")
+    later = with_first(materialize(core_rows(rows, "doc"), "suffixes"), "suffix-cores")
     both = later.select("doc", "key").unionByName(later.select(F.col("first").alias("doc"), "key").distinct())
-    return both.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    several = materialize(rows.select("doc", text_print(F.col("text")).alias("print")).distinct().groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "suffix-ids")
+    none = F.lit(None).cast("long").alias("print")
+    if several.isEmpty():
+        return both.groupBy("doc").agg(F.collect_set("key").alias("keys")).select("doc", none, "keys")
+    one = both.join(several, "doc", "left_anti").groupBy("doc").agg(F.collect_set("key").alias("keys")).select("doc", none, "keys")
+    texts = rows.join(several, "doc", "left_semi").withColumn("print", text_print(F.col("text"))).dropDuplicates(["doc", "print"])
+    own = core_rows(texts, "doc", "print").join(both.join(several, "doc", "left_semi").distinct(), ["doc", "key"])
+    return one.unionByName(own.groupBy("doc", "print").agg(F.collect_set("key").alias("keys")))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -148,7 +164,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                 sizes = list(map(len, ats))
                 yield pd.DataFrame({"key": np.concatenate(keys), "doc": np.repeat(part.doc_id.to_numpy(np.int64), sizes), "print": np.repeat(part.print.to_numpy(np.int64), sizes), "at": np.concatenate(ats)})
 
-    texts = docs.where("text is not null").select("doc_id", "text", text_print(F.col("text")).alias("print")).join(shared_cores(docs), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "print", "keys")
+    cores = shared_cores(docs).withColumnRenamed("print", "of")
+    texts = docs.where("text is not null").select("doc_id", "text", text_print(F.col("text")).alias("print"))
+    texts = texts.join(cores, (F.col("doc_id") == F.col("doc")) & (F.col("of").isNull() | (F.col("of") == F.col("print")))).select("doc_id", "text", "print", "keys")
     rows = materialize(texts.mapInPandas(hashed, "key long, doc long, print long, at int"), "suffix-runs")
     rows = rows.select("key", "doc", F.shiftleft("print", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
     at = F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
@@ -193,25 +211,21 @@ def without_repeats(docs: DataFrame, described: bool = True) -> DataFrame:
     as one document and are cut alike. Nothing is capped; whole texts are read. If not described, only
     the documents' own columns come back; else columns of theirs that are called as the added ones are left out.
     """
-    cut = passages(docs).groupBy("doc").agg(F.collect_list(F.struct("print", "start", "words", "of")).alias("cuts"))
+    cut = passages(docs).groupBy("doc", "print").agg(F.collect_list(F.struct("start", "words", "of")).alias("cuts")).withColumnRenamed("print", "at")
 
     @F.pandas_udf("text string, removed_words long, removed array<struct<start: long, words: long>>, kept_in array<long>")
-    def apply(texts: pd.Series, prints: pd.Series, cuts: pd.Series) -> pd.DataFrame:
+    def apply(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, print_, spans in zip(texts, prints, cuts):
-            mine = [c for c in spans if c["print"] == print_] if spans is not None and text is not None else []
-            if not mine:
-                rows.append((text, 0, [], []))
-                continue
+        for text, mine in zip(texts, cuts):
             left, n, removed = _cut(text, [(c["start"], c["start"] + c["words"]) for c in mine])
             rows.append((left, n, [{"start": a, "words": b} for a, b in removed], sorted({i for c in mine for i in c["of"]})))
         return pd.DataFrame(rows, columns=["text", "removed_words", "removed", "kept_in"])
 
     whole = docs.select(F.struct("*").alias("d"), text_print(docs["text"]).alias("print"))
-    joined = whole.join(cut, F.col("d.doc_id") == F.col("doc"), "left")
+    joined = whole.join(cut, (F.col("d.doc_id") == F.col("doc")) & (F.col("print") == F.col("at")), "left")
     changed = F.col("cuts").isNotNull()
     plain = joined.where(~changed).select("d", F.col("d.text").alias("text"), F.lit(0).cast("long").alias("removed_words"), F.array().cast("array<struct<start: long, words: long>>").alias("removed"), F.array().cast("array<long>").alias("kept_in"))
-    edited = joined.where(changed).withColumn("r", apply("d.text", "print", "cuts")).select("d", "r.text", "r.removed_words", "r.removed", "r.kept_in")
+    edited = joined.where(changed).withColumn("r", apply("d.text", "cuts")).select("d", "r.text", "r.removed_words", "r.removed", "r.kept_in")
     out = plain.unionByName(edited)
     chars = F.when(F.col("removed_words") > 0, F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("d.n_chars")) if "n_chars" in docs.columns else None
     added = ["removed_words", "removed", "kept_in"] if described else []

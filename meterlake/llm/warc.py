@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import materialize, shared_dir
+from meterlake.llm.words import whole_numbers
 
 MAGIC = b"\x1f\x8b\x08"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -180,6 +181,11 @@ def scan_range(file, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
         at = window.data.find(MAGIC, found[1] if found else at + 1)
 
 
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    """Records as columns; ids stay whole numbers of 64 bits where some of them are null."""
+    return pd.DataFrame({c: whole_numbers(r[c] for r in rows) if c in ("page_id", "refers_to") else [r[c] for r in rows] for c in rows[0]})
+
+
 def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Every record of the archives listed in files (path, length); see RECORDS for the columns.
 
@@ -199,14 +205,10 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
                         rows.append({"path": path, "offset": offset} | decode_record(raw))
                         held += len(raw)
                         if held > FETCH_BYTES:
-                            yield pd.DataFrame(rows)
+                            yield _frame(rows)
                             rows, held = [], 0
                     if rows:
-                        yield pd.DataFrame(rows)
-
-    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in scan(batches):
-            yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield _frame(rows)
 
     ranges = (
         files.where("length > 0")
@@ -214,11 +216,11 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
         .select("path", "start", F.least("length", F.col("start") + split_bytes).alias("stop"))
     )
     tasks = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
-    return ranges.repartition(int(min(tasks, 100_000)), "path", "start").mapInPandas(typed, RECORDS)
+    return ranges.repartition(int(min(tasks, 100_000)), "path", "start").mapInPandas(scan, RECORDS)
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Writes pages to archives in the shared folder, reads these back and describes each record."""
+    """Writes pages to archives in the shared folder, reads these back and describes each record; see write_warc for null, repeated and missing rows. Ids keep all their 64 bits."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = write_warc(pages, folder, min_revisit_bytes)
