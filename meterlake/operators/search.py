@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.session import shared_dir
 
-#: Trigrams go to so many slots. A block is so many texts (a power of two), and a page of the texts' files.
-SLOTS, BLOCK_ROWS = 1 << 15, 8
+#: Trigrams go to slots of so many bits. A block is so many texts (a power of two), and a page of the texts' files.
+SLOT_BITS, BLOCK_ROWS = 15, 8
 #: A part of the index holds about so many bytes of texts.
 PART_BYTES = 1 << 26
 #: So many blocks come to the driver, as so many ranges that a scan skips pages by; more blocks are joined instead.
@@ -29,12 +32,22 @@ class TrigramIndex:
     text: str
 
 
-def trigrams(text: Column) -> Column:
-    """The slots of a text's trigrams of characters, lower-cased, each once; none for fewer than three characters."""
-    low = F.lower(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1)))
-    slots = F.transform(starts, lambda k: F.pmod(F.xxhash64(F.substring(low, k, F.lit(3))), F.lit(SLOTS)).cast("int"))
-    return F.when(F.length(low) >= 3, F.array_distinct(slots)).otherwise(F.array().cast("array<int>"))
+def slots_of(text: str) -> np.ndarray:
+    """The slots of a lower-cased text's trigrams of characters, each once; none for fewer than three characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < 3:
+        return np.empty(0, np.int32)
+    # 21 bits a character: three fill a number, of which a product's upper bits are the slot
+    packed = codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]
+    mixed = (packed ^ (packed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique((mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+
+
+def block_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """block, slot for rows of block, low: each pair once a batch."""
+    for batch in batches:
+        found = [slots_of(text) for text in batch.low]
+        yield pd.DataFrame({"block": np.repeat(batch.block.to_numpy(np.int64), list(map(len, found))), "slot": np.concatenate([np.empty(0, np.int32), *found])}).drop_duplicates()
 
 
 def build_index(rows: DataFrame, key: str, text: str, folder: str | None = None) -> TrigramIndex:
@@ -49,9 +62,9 @@ def build_index(rows: DataFrame, key: str, text: str, folder: str | None = None)
     spread = rows.select(key, text).repartitionByRange(parts, key, F.xxhash64(text)).sortWithinPartitions(key)
     # an id tells the task in its upper bits, so blocks of one task follow one another and tasks do not share any
     blocks = spread.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS))
-    blocks.select("block", key, text).write.option("parquet.page.row.count.limit", BLOCK_ROWS).parquet(f"{folder}/texts")
-    texts = spark.read.parquet(f"{folder}/texts")
-    slots = texts.select("block", F.explode(trigrams(F.col(text))).alias("slot")).distinct()
+    blocks.select("block", key, text).write.option("parquet.page.row.count.limit", BLOCK_ROWS).option("parquet.block.size", 1 << 23).parquet(f"{folder}/texts")
+    low = spark.read.parquet(f"{folder}/texts").select("block", F.lower(text).alias("low")).where("low IS NOT NULL")
+    slots = low.mapInPandas(block_slots, "block long, slot int").distinct()
     slots.repartitionByRange(parts, "slot", "block").sortWithinPartitions("slot", "block").write.option("parquet.block.size", 1 << 20).parquet(f"{folder}/postings")
     return TrigramIndex(f"{folder}/texts", f"{folder}/postings", key, text)
 
@@ -60,7 +73,10 @@ def candidate_blocks(spark: SparkSession, index: TrigramIndex, needle: str) -> D
     """The blocks that hold every slot of the needle's trigrams; None for fewer than three characters, of which the index knows nothing."""
     if len(needle) < 3:
         return None
-    wanted = spark.range(1).select(trigrams(F.lit(needle)).alias("s")).first().s
+    # lower-cased as the texts are
+    wanted = slots_of(spark.range(1).select(F.lower(F.lit(needle)).alias("low")).first().low).tolist()
+    if not wanted:
+        return None
     # an OR of equalities reaches the scan; Spark would push a long IN as its least and greatest value only
     held = spark.read.parquet(index.postings).where(_any([F.col("slot") == s for s in wanted]))
     return held.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("block")
