@@ -20,7 +20,7 @@ PATH_SIZE, LEAF_SIZE, WORD_SIZE, HIDDEN = 48, 16, 32, 16
 NUMBERS = 4
 FEATURES = PATH_SIZE + LEAF_SIZE + WORD_SIZE + NUMBERS
 #: The made-up pages that the labeller learns from.
-TRAIN_PAGES, EPOCHS, BATCH, RATE = 800, 6, 40, 0.02
+TRAIN_PAGES, EPOCHS, BATCH, RATE = 1600, 6, 40, 0.02
 #: Blocks that are labelled together.
 BATCH_BLOCKS = 8192
 
@@ -396,24 +396,56 @@ class PageMaker:
         out: list[tuple[str, int | None]] = [(f"<h1>{self.words(2, 12)}</h1>", 1)] if self.chance(0.85) else []
         for _ in range(self.rng.integers(1, 14)):
             kind = self.rng.random()
-            if kind < 0.72:
-                open_p = self.some("<p>", "<p>", "<p>", "<p><b>", "<div>")
-                shut = "</div>" if open_p == "<div>" else self.some("</p>", "</p>", "</p>", "<br>" if open_p == "<p><b>" else "</p>")
-                text = self.prose(1, 120)
-                if self.chance(0.15):
-                    text = text.replace(" ", f' <a href="/x">{self.word()}</a> ', 1)
-                out.append((f"{open_p}{text}{shut}", 1))
-            elif kind < 0.82:
-                out.append((f"<{self.some('h2', 'h3')}>{self.words(1, 8)}</{'h2'}>", 1))
-            elif kind < 0.88:
-                out += [("<ul>", None), *((f"<li>{self.prose(3, 20)}</li>", 1) for _ in range(self.rng.integers(1, 5))), ("</ul>", None)]
-            elif kind < 0.93:
+            if kind < 0.5:
+                out.append(self.paragraph())
+            elif kind < 0.56:
+                out += [(f"<p>{self.prose(1, 8)}</p>", 1) for _ in range(self.rng.integers(3, 25))]
+            elif kind < 0.62:
+                out.append((f"<{(t := self.some('h2', 'h3'))}>{self.words(1, 8)}</{t}>", 1))
+            elif kind < 0.68:
+                t = self.some("ul", "ul", "ol")
+                out += [(f"<{t}>", None), *((f"<li>{self.prose(3, 20)}</li>", 1) for _ in range(self.rng.integers(1, 7))), (f"</{t}>", None)]
+            elif kind < 0.72:
                 out.append((f"<blockquote>{self.prose()}</blockquote>", 1))
-            elif kind < 0.96:
+            elif kind < 0.78:
+                out += self.grid()
+            elif kind < 0.82:
+                out.append(("<pre>" + "\n".join(self.some(self.prose(3, 12), f"{self.word()} = {self.word()}({self.word()})") for _ in range(self.rng.integers(1, 6))) + "</pre>", 1))
+            elif kind < 0.86:
+                out += [(f'<figure><img src="{self.word()}.jpg">', None), (f"<figcaption>{self.prose(3, 40)}</figcaption>", 1), ("</figure>", None)]
+            elif kind < 0.9:
+                pairs = [x for _ in range(self.rng.integers(1, 5)) for x in ((f"<dt>{self.words(1, 4)}</dt>", 1), (f"<dd>{self.prose(3, 30)}</dd>", 1))]
+                out += [("<dl>", None), *pairs, ("</dl>", None)]
+            elif kind < 0.95:
+                out.append(self.linked())
+            elif kind < 0.975:
                 out += self.wrapped("div", ("share", "social share", "share-buttons"), self.links(3, 2))
             else:
                 out += self.advert()
-        return out
+        return [*out, self.linked()] if self.chance(0.15) else out
+
+    def linked(self) -> tuple[str, int]:
+        """A paragraph of which most is links."""
+        links = " ".join(f'<a href="/{self.word()}">{self.words(1, 8)}</a>{self.some("", ",", " " + self.words(1, 3))}' for _ in range(self.rng.integers(2, 7)))
+        return f"<p>{self.some('', self.prose(2, 8))} {links}{self.some('', '.', ' ' + self.prose(2, 10))}</p>", 1
+
+    def paragraph(self) -> tuple[str, int]:
+        open_p = self.some("<p>", "<p>", "<p>", "<p><b>", "<div>")
+        shut = "</div>" if open_p == "<div>" else self.some("</p>", "</p>", "</p>", "<br>" if open_p == "<p><b>" else "</p>")
+        text = self.prose(1, 120)
+        if self.chance(0.15):
+            text = text.replace(" ", f' <a href="/x">{self.word()}</a> ', 1)
+        return f"{open_p}{text}{shut}", 1
+
+    def grid(self) -> list[tuple[str, int | None]]:
+        """A table of the article: short cells or whole sentences."""
+        cell = self.some(lambda: self.words(1, 4), lambda: self.prose(3, 25))
+        out: list[tuple[str, int | None]] = [("<table>", None)]
+        wide = self.rng.integers(2, 5)
+        for row in range(self.rng.integers(2, 6)):
+            t = "th" if row == 0 and self.chance(0.5) else "td"
+            out += [("<tr>", None), *((f"<{t}>{cell()}</{t}>", 1) for _ in range(wide)), ("</tr>", None)]
+        return [*out, ("</table>", None)]
 
     def advert(self) -> list[tuple[str, int | None]]:
         text = self.some(self.prose(3, 40), f"Advertisement {self.words(2, 8)}", f"Sponsored: {self.words(3, 10)}", self.prose(3, 20) + "\n" + self.prose(3, 10))
@@ -453,6 +485,18 @@ class PageMaker:
             inside += [("<ul>", None), *self.links(3), ("</ul>", None)]
         return [("<footer>", None), *inside, ("</footer>", None)] if self.chance(0.75) else [('<div class="footer">', None), *inside, ("</div>", None)]
 
+    def columns(self) -> list[tuple[str, int | None]]:
+        """An article between other cells of a layout table, with telling classes or without."""
+        telling = self.chance(0.5)
+        cell = lambda classes, inside: self.wrapped("td", classes if telling else (), inside)
+        out: list[tuple[str, int | None]] = [("<table>", None), ("<tr>", None)]
+        if self.chance(0.8):
+            out += cell(("menu", "nav", "left"), [("<ul>", None), *self.links(self.rng.integers(2, 9)), ("</ul>", None)] if self.chance(0.7) else self.links(self.rng.integers(2, 9)))
+        out += cell(("content", "article-body", "main", "text", "story"), self.article())
+        if self.chance(0.4):
+            out += cell(("sidebar", "right", "related"), self.side() if self.chance(0.5) else self.links(self.rng.integers(1, 7), 8))
+        return [*out, ("</tr>", None), ("</table>", None)]
+
     def page(self) -> tuple[str, list[int]]:
         """A page, and whether each of its blocks is main text."""
         parts: list[tuple[str, int | None]] = [(f"<!DOCTYPE html><html><head><title>{self.words(2, 10)}</title>", 0), ("<style>p{margin:0}</style></head><body>", None)]
@@ -460,7 +504,10 @@ class PageMaker:
             if self.chance(p):
                 parts += make()
         name, classes = self.some(("article", ()), ("article", ()), ("main", ()), ("article", ("post", "entry")), ("div", ("content", "article-body", "post", "entry", "story", "text")), ("section", ("content", "story")), ("div", ()))
-        parts += self.wrapped(name, classes, self.article())
+        if self.chance(0.2):
+            parts += self.columns()
+        else:
+            parts += self.wrapped(name, classes, self.article())
         for p, make in ((0.3, self.comments), (0.25, self.side), (0.15, self.form), (0.2, self.advert), (0.85, self.foot)):
             if self.chance(p):
                 parts += make()
