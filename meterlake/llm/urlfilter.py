@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,41 +71,68 @@ def lexical_features(urls: DataFrame, suffix_rates: dict[str, float]) -> DataFra
     return urls.select("*", *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()))
 
 
+#: Parts of the made-up sample.
+SYLLABLES = "ba ce di fo gu ka le mi no pu ra se ti vo wa zen mar lin tor bel sun hol per dan".split()
+SALES = "cheap pills casino bonus loans replica win prize deals adult slots payday viagra crypto coupon hot".split()
+GOOD_SUFFIXES = "com com com org org net net edu gov de uk fr io info".split()
+BAD_SUFFIXES = "com com net org info info biz biz top xyz click ru loan".split()
+
+
 def labelled_urls(spark: SparkSession, n: int = LABELLED_URLS) -> DataFrame:
-    """url, label (1: block): a made-up sample, half harmless, half of the look of link farms.
+    """url, label (1: block), kind: a made-up sample, half harmless, half not, one label in fifty wrong.
 
-    Harmless ones mostly have hosts of one word, but a twentieth of them a hyphen, a fifth long article
-    numbers and a fifth several parameters. The others string selling words together with hyphens, or
-    have random hosts, long numbers, deep paths and many parameters. Suffixes are drawn with different
-    weights for the two kinds, and one label in fifty is wrong.
+    Harmless: news by date and words, products, reference pages, forum threads, searches and front pages, on
+    hosts of one or two words, a sixteenth of them with a hyphen. Not so: hosts of selling words strung
+    together, by themselves or below a hosting domain, mostly with plain pages, random hosts, plain hosts with affiliate links, redirects that hold another URL, deep paths
+    of numbers, and chains of labels. Nothing is taken from the pages that the filter judges.
     """
-    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
-    number = lambda below, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(below)).cast("string")
-    plain = ["garden", "river", "maple", "notes", "atlas", "museum", "library", "harbor", "signal", "orchard", "thorin", "lerend"]
-    sales = ["cheap", "pills", "casino", "bonus", "spam", "farm", "loans", "replica", "win", "prize", "deals", "adult"]
-    front = ["", "", "www.", "blog.", "m.", "en.", "news."]
-    good_end, bad_end = ["com", "org", "com", "org", "edu", "net"], ["com", "biz", "info", "top", "net", "org", "xyz"]
-    tail = ["", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed"]
-    one_in = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)) == 0
-    second = F.when(one_in(20, "h"), F.concat(F.lit("-"), pick(plain, "b"))).otherwise(pick(["", "s", "hub"], "x"))
-    article = F.when(one_in(5, "k"), F.concat(pick(["story-", "item/", "2024/05/"], "y"), number(10**9, "p"))).otherwise(number(2000, "n"))
-    ending = F.when(one_in(5, "z"), F.concat(F.lit("?id="), number(10**8, "q"), F.lit("&lang=en&page="), number(90, "u"))).otherwise(pick(tail, "t"))
-    good = F.concat(
-        pick(["http", "https"], "s"), F.lit("://"), pick(front, "f"), pick(plain, "a"), second,
-        pick([".example", ".site", ".pages", ""], "d"), F.lit("."), pick(good_end, "e"), F.lit("/"), pick(["en", "de", "fr", "es", "docs"], "l"), F.lit("/"), article, ending,
-    )
-    hyphened = F.concat(pick(sales, "a"), F.lit("-"), pick(sales, "b"), pick(["", "", "-online", "-best-price"], "w"))
-    random_host = F.substring(F.sha2(F.concat(F.lit("host"), F.col("id").cast("string")), 256), 1, 18)
-    many = F.concat(pick(["/go/", "/", "/out/to/"], "i"), number(10**9, "p"), F.lit("/"), number(10**9, "q"), pick(["/x/y/?id=", "/?id=", "?id="], "o"), number(10**9, "r"), F.lit("&aff="), number(10**6, "u"), F.lit("&sid="), number(10**7, "v"))
-    mild = F.concat(F.lit("/"), pick(["en", "de", "fr", "es", "buy"], "l"), F.lit("/"), number(2000, "n"), pick(tail, "t"))
-    kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(3))
-    bad = F.concat(
-        pick(["http", "https"], "s"), F.lit("://"), pick(front, "f"), F.when(kind == 0, random_host).otherwise(hyphened),
-        pick([".example", ".site", ".click", ""], "d"), F.lit("."), pick(bad_end, "e"), F.when(kind == 1, mild).otherwise(many),
-    )
-    ids = spark.range(0, n, numPartitions=1)
-    wrong = one_in(50, "wrong").cast("long")
-    return ids.select(F.when(F.col("id") % 2 == 0, good).otherwise(bad).alias("url"), ((F.col("id") + wrong) % 2).cast("double").alias("label"))
+    at = lambda salt, below: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(below))
+    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (at(salt, len(words)) + 1).cast("int"))
+    number = lambda below, salt: at(salt, below).cast("string")
+    code = lambda salt, size: F.substring(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256), 1, size)
+    word = lambda salt: F.concat(pick(SYLLABLES, f"{salt}1"), pick(SYLLABLES, f"{salt}2"), pick([*SYLLABLES[:6], "", "", ""], f"{salt}3"))
+    slug = lambda salt: F.concat_ws("-", word(f"{salt}a"), word(f"{salt}b"), word(f"{salt}c"), F.when(at(f"{salt}n", 2) == 0, word(f"{salt}d")))
+    scheme = F.concat(pick(["http", "https", "https"], "scheme"), F.lit("://"))
+    front = pick(["", "", "", "www.", "www.", "docs.", "shop.", "forum.", "my.", "static.", "city."], "front")
+    name = F.when(at("join", 16) == 0, F.concat(word("h"), F.lit("-"), word("i"))).when(at("join", 16) < 8, F.concat(word("h"), word("i"))).otherwise(word("h"))
+    middle = pick(["", "", "", ".co", ".ac"], "middle")
+    good_host = F.concat(scheme, front, name, middle, F.lit("."), pick(GOOD_SUFFIXES, "good"))
+    slash = pick(["", "/"], "slash")
+    page = pick(["", "", "", "?page=2", "?lang=en", "?utm_source=mail&utm_medium=link", "#comments"], "page")
+    good = {
+        "news": F.concat(F.lit("/"), (at("y", 15) + 2010).cast("string"), F.lit("/"), F.lpad((at("m", 12) + 1).cast("string"), 2, "0"), F.lit("/"), slug("n"), pick([".html", "", "/"], "end"), page),
+        "product": F.concat(pick(["/product/", "/item/", "/p/"], "prod"), number(10**8, "pid"), F.lit("/"), slug("p"), page),
+        "reference": F.concat(pick(["/docs/", "/wiki/", "/guide/", "/api/v2/"], "ref"), word("r"), F.lit("/"), word("q"), pick(["", ".htm", "#usage"], "anchor")),
+        "thread": F.concat(F.lit("/t/"), slug("t"), F.lit("/"), number(10**6, "tid"), page),
+        "search": F.concat(F.lit("/search?q="), word("s"), F.lit("+"), word("u"), F.lit("&page="), number(40, "sp"), F.lit("&sort=date")),
+        "front": F.concat(slash),
+        "section": F.concat(F.lit("/"), word("x"), F.lit("/"), number(20_000, "art"), pick(["", "/", ".html"], "secend"), page),
+    }
+    bad_end, host = F.concat(F.lit("."), pick(BAD_SUFFIXES, "bad")), lambda body: F.concat(scheme, pick(["", "www.", "go."], "sub"), body)
+    strung = F.concat_ws("-", pick(SALES, "s1"), pick(SALES, "s2"), F.when(at("sn", 2) == 0, pick([*SALES, "online", "best", "now"], "s3")))
+    track = F.concat(F.lit("?id="), number(10**9, "id"), F.lit("&aff="), number(10**6, "aff"), F.lit("&sid="), code("sid", 12), pick(["", "&sub=1&click=2"], "more"))
+    bad = {
+        "strung": F.concat(host(strung), F.when(at("farm", 2) == 0, F.concat(F.lit("."), word("fh"))).otherwise(""), bad_end, F.when(at("tr", 4) == 0, F.concat(pick(["/", "/buy/", "/order.php"], "buy"), track)).otherwise(good["section"])),
+        "random": F.concat(host(code("host", 16)), bad_end, F.lit("/"), code("path", 10)),
+        "affiliate": F.concat(host(word("h")), bad_end, pick(["/go", "/out", "/c", "/"], "go"), track),
+        "redirect": F.concat(host(word("h")), bad_end, F.lit("/r?u=http%3A%2F%2F"), code("to", 12), F.lit(".com%2F"), number(10**8, "to2"), F.lit("&k="), code("k", 16)),
+        "deep": F.concat(host(F.concat(word("h"), number(1000, "hn"))), bad_end, *(F.concat(F.lit("/"), number(10**7, f"deep{k}")) for k in range(6)), F.lit("/")),
+        "chain": F.concat(scheme, code("c1", 5), F.lit("."), pick(SALES, "c2"), F.lit("."), code("c3", 4), F.lit("."), word("h"), bad_end, F.lit("/"), pick(SALES, "c4"), F.lit("/"), number(10**6, "c5")),
+    }
+
+    def one_of(kinds: dict[str, Column], salt: str) -> tuple[Column, Column]:
+        names = list(kinds)
+        k = at(salt, len(names))
+        value = F.lit(None).cast("string")
+        for i, name_ in enumerate(names):
+            value = F.when(k == i, kinds[name_]).otherwise(value)
+        return value, pick(names, salt)
+
+    (good_path, good_kind), (bad_url, bad_kind) = one_of(good, "goodkind"), one_of(bad, "badkind")
+    harmless = F.col("id") % 2 == 0
+    wrong = (at("wrong", 50) == 0).cast("long")
+    url, kind = F.when(harmless, F.concat(good_host, good_path)).otherwise(bad_url), F.when(harmless, good_kind).otherwise(bad_kind)
+    return spark.range(0, n, numPartitions=1).select(url.alias("url"), ((F.col("id") + wrong) % 2).cast("double").alias("label"), kind.alias("kind"))
 
 
 def suffix_statistics(labelled: DataFrame) -> dict[str, float]:
@@ -132,10 +157,14 @@ def train(labelled: DataFrame) -> tuple[dict[str, float], list[tuple[float, tupl
     return rates, [(w, _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees)]
 
 
-@cache
+_TRAINED: list[tuple[dict[str, float], list[tuple[float, tuple]]]] = []
+
+
 def production_model(spark: SparkSession) -> tuple[dict[str, float], list[tuple[float, tuple]]]:
-    """The model of the made-up sample, trained once per session."""
-    return train(labelled_urls(spark))
+    """The model of the made-up sample, trained once per process; it holds nothing of the session."""
+    if not _TRAINED:
+        _TRAINED.append(train(labelled_urls(spark)))
+    return _TRAINED[0]
 
 
 def margin(trees: list[tuple[float, tuple]]) -> Column:
