@@ -394,7 +394,7 @@ def q46_stream_rpm(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT event_id // 2 AS job_key FROM events")
 def q47_stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = _event_stream(spark, d).withColumn("job_key", F.expr("event_id div 2"))
-    return _streamed(spark, jobs.once(rows, "job_key", "ts", "40 days").select("job_key"))
+    return _streamed(spark, jobs.once(rows, "job_key", "ts", "2 days").select("job_key"))
 
 
 @query(

@@ -273,3 +273,19 @@ def q101_address_forms(spark: SparkSession, d: str) -> DataFrame:
     host = host.otherwise(F.concat(F.lit("fe80::"), k, F.when(n % 8 == 7, "%eth0").otherwise("%")))
     networks = readers.constant(spark, [("8.0.0.0/252.0.0.0",), ("::ffff:8.0.0.0/102",), (" fe80::/64 ",), ("not a network",)], "cidr string")
     return gate.admitted(table(spark, d, "supplier").select("s_suppkey", host.alias("host")), "host", networks)
+
+
+@query(
+    "WITH p AS (SELECT page_id, regexp_extract(url, '^[^/]*//[^/]*(/[^?#]*)', 1) AS path, upper(regexp_extract(url, '^([a-z]+):', 1)) AS method FROM pages) "
+    "SELECT page_id, method, '{{base_url}}' || path AS raw, len(string_split(trim(path, '/'), '/'))::BIGINT AS depth, string_split(trim(path, '/'), '/')[1] AS first FROM p"
+)
+def q102_collection_files(spark: SparkSession, d: str) -> DataFrame:
+    """API requests as JSON items in files, one folder a method, and read again as they are typed."""
+    folder = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    rows = q96_api_collection(spark, d)
+    where = F.struct(F.concat(F.lit("{{base_url}}"), F.col("path")).alias("raw"), scalar.path_parts(F.col("path")).alias("path"))
+    items = rows.select("page_id", "name", "method", F.struct("method", where.alias("url")).alias("request"))
+    sinks.write_json(items, folder, by="method")
+    back = spark.read.schema("page_id LONG, name STRING, request STRUCT<method: STRING, url: STRUCT<raw: STRING, path: ARRAY<STRING>>>").json(folder)
+    url = F.col("request.url")
+    return back.select("page_id", F.col("request.method").alias("method"), url["raw"].alias("raw"), F.size(url["path"]).cast("long").alias("depth"), url["path"][0].alias("first"))

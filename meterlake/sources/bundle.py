@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterlake.session import shared_dir
+from meterlake.sources.readers import kept_files
 
 #: How a file's block names its language, by the end of its name.
 FENCES = {".py": "python", ".html": "html"}
@@ -48,6 +50,20 @@ def bundled(files: DataFrame, path: Column, text: Column, parts: int, folder: st
     return local.join(F.broadcast(starts), "part").select("part", (F.col("_row") + F.col("row")).alias("place"), "path", (F.col("_start") + F.col("_offset")).alias("offset"), "bytes")
 
 
-def read_back(spark, folder: str) -> DataFrame:
+def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """part, row, section of a bundle, in no order; sorted by part and row they are its text."""
     return spark.read.schema("row long, path string, bytes long, section string, part int").parquet(folder).select("part", "row", "section")
+
+
+def texts_of(spark: SparkSession, folder: str, without_dirs: Sequence[str] = (), without_ends: Sequence[str] = (), without_names: Sequence[str] = ()) -> DataFrame:
+    """path (from the folder on) and text of the files of a tree that readers.tree keeps; bytes that are no UTF-8 are left out, and so are empty files, which Spark does not list.
+
+    Excluded files are not opened: what is kept is known by path before any content is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    kept = files.where(kept_files(F.col("path"), without_dirs, without_ends, without_names))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    return kept.select(F.substring(plain(F.col("path")), F.length(plain(F.lit(base))) + 2, F.length("path")).alias("path"), text.alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.schemas import COLLECTIONS
@@ -15,13 +15,6 @@ def collection(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(COLLECTIONS[name]).parquet(path)
 
 
-def requests(rows: DataFrame, body: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with the parsed request, rows whose body does not parse), from JSON text."""
-    parsed = rows.withColumn("request", F.from_json(body, f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("request").isNull() | F.col("request._corrupt").isNotNull()
-    return parsed.where(~bad).withColumn("request", F.col("request").dropFields("_corrupt")), rows.where(F.col(body).isNull()).unionByName(parsed.where(bad & F.col(body).isNotNull()).drop("request"))
-
-
 def untyped(rows: DataFrame, body: str) -> DataFrame:
     """rows with the body as a variant; null where it is no JSON."""
     return rows.withColumn("request", F.try_parse_json(body))
@@ -49,13 +42,17 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
+def kept_files(path: Column, without_dirs: Sequence[str] = (), without_ends: Sequence[str] = (), without_names: Sequence[str] = ()) -> Column:
+    """Whether a path has none of the excluded folders, its name none of the endings and is none of the names."""
+    parts, name = F.split(path, "/"), F.element_at(F.split(path, "/"), -1)
+    end = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    keep = ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, without_dirs)).cast("array<string>"))
+    return keep & ~end.isin(*without_ends, "\0") & ~name.isin(*without_names, "\0")
+
+
 def tree(spark: SparkSession, folder: str, without_dirs: Sequence[str] = (), without_ends: Sequence[str] = (), without_names: Sequence[str] = ()) -> DataFrame:
     """Files below a folder, by path, without excluded folders, extensions and names."""
-    files = uploads(spark, folder)
-    parts = F.split("path", "/")
-    end = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
-    keep = ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, without_dirs)).cast("array<string>"))
-    return files.where(keep & ~end.isin(*without_ends, "\0") & ~F.col("name").isin(*without_names, "\0")).orderBy("path")
+    return uploads(spark, folder).where(kept_files(F.col("path"), without_dirs, without_ends, without_names)).orderBy("path")
 
 
 def constant(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

@@ -169,12 +169,6 @@ def test_as_of_takes_equal_times(spark):
     assert {tuple(r) for r in metering.as_of(left, right, ["k"], "t", "v", "v").collect()} == {(1, 5, "x"), (1, 1, None), (2, 9, None)}
 
 
-def test_requests_are_parsed_or_rejected(spark):
-    rows = spark.createDataFrame([('{"model":"m","n":2}',), ("{bad",), (None,)], "body string")
-    good, bad = readers.requests(rows, "body", schemas.CHAT_REQUEST)
-    assert [r.request.model for r in good.collect()] == ["m"] and bad.count() == 2
-
-
 def test_inputs_scalar_or_list(spark):
     rows = spark.createDataFrame([(1, '"one"'), (2, '["a","b"]')], "id int, v string")
     assert {(r.id, r["index"], r.input) for r in readers.inputs_of(rows, "v").collect()} == {(1, 0, "one"), (2, 0, "a"), (2, 1, "b")}

@@ -76,6 +76,20 @@ def test_bundle_equals_one_made_by_hand(spark, tmp_path):
     assert bundle.bundled(spark.createDataFrame([], "path string, text string"), F.col("path"), F.col("text"), 5).count() == 0
 
 
+def test_bundle_of_a_tree(spark, tmp_path):
+    files = {"a/x.py": b"print(1)", "a/y.html": "<p>é</p>".encode(), "skip/z.py": b"no", "b/w.log": b"no", "b/LICENSE": b"no", "b/bad.txt": b"ok\xff\xfe!", "c.txt": b""}
+    for name, data in files.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    texts = bundle.texts_of(spark, f"{tmp_path}/in", ["skip"], [".log"], ["LICENSE"])
+    assert {tuple(r) for r in texts.collect()} == {("a/x.py", "print(1)"), ("a/y.html", "<p>é</p>"), ("b/bad.txt", "ok!")}
+    folder = f"file://{tmp_path}/out"
+    got = bundle.bundled(texts, F.col("path"), F.col("text"), 2, folder).orderBy("place").collect()
+    assert [r.path for r in got] == ["a/x.py", "a/y.html", "b/bad.txt"]
+    whole = "".join(r.section for r in bundle.read_back(spark, folder).orderBy("part", "row").collect())
+    assert whole.startswith("### File: `a/x.py`\n\n```python\nprint(1)\n```\n\n### File: `a/y.html`\n\n```html\n<p>é</p>\n```\n\n")
+
+
 def test_indexed_search(spark):
     pick = random.Random(1)
     texts = ["".join(pick.choices("abcdefgh ", k=300)) for _ in range(1500)]
