@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterlake.session import shared_dir
+from meterlake.session import new_folder
 
 
 def paged(rows: DataFrame, keys: Sequence[str], size: int, parts: int | None = None, folder: str | None = None) -> tuple[str, DataFrame]:
@@ -20,7 +19,7 @@ def paged(rows: DataFrame, keys: Sequence[str], size: int, parts: int | None = N
     boundaries are found part by part. The table of pages has a row for size rows.
     """
     spark = rows.sparkSession
-    folder = folder or f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "pages")
     spread = rows.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys)
     spread.withColumn("_part", F.spark_partition_id()).write.parquet(folder)
     stored = spark.read.parquet(folder)

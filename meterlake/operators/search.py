@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.session import shared_dir
+from meterlake.session import new_folder
 
 #: Trigrams go to slots of so many bits. A block is so many texts (a power of two), and a page of the texts' files.
 SLOT_BITS, BLOCK_ROWS = 15, 8
@@ -57,7 +56,7 @@ def build_index(rows: DataFrame, key: str, text: str, folder: str | None = None)
     so that a search reads the few row groups of its slots. It grows with the texts; nothing comes to the driver but their size.
     """
     spark = rows.sparkSession
-    folder = folder or f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "trigrams")
     parts = max(1, -(-int(rows.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
     spread = rows.select(key, text).repartitionByRange(parts, key, F.xxhash64(text)).sortWithinPartitions(key)
     # an id tells the task in its upper bits, so blocks of one task follow one another and tasks do not share any

@@ -7,8 +7,6 @@ keys, part for models, orders for jobs and payments, lineitem for usage. The que
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from meterlake.functions import scalar
 from meterlake.operators import gate, metering, metrics, shape, store
 from meterlake.plans import live, stores
 from meterlake.plans.registry import ORACLE_SQL, QUERIES, query
-from meterlake.session import exists, shared_dir, table
+from meterlake.session import exists, new_folder, table
 from meterlake.sources import readers
 from meterlake.streaming import jobs
 
@@ -363,7 +361,7 @@ def q45_vector_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, out: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The rows that a stream has given once all its input is read; with keys, the last that it gave for each."""
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     rows = f"{folder}/rows"
     sink = out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if keys is None:
@@ -570,7 +568,7 @@ def q67_project_names(spark: SparkSession, d: str) -> DataFrame:
 def q68_consume_jobs(spark: SparkSession, d: str) -> DataFrame:
     from meterlake.sources import sinks
 
-    topic = f"{shared_dir(spark)}/topic-{uuid.uuid4().hex}"
+    topic = new_folder(spark, "topic")
     queued = store.find_eq(table(spark, d, "orders"), o_orderstatus="P")
     sinks.publish(queued.select(F.col("o_orderkey").cast("string").alias("job_id"), F.lit("image").alias("job_type"), F.col("o_custkey").cast("string").alias("payload")), topic)
     done = jobs.finished(readers.job_topic(spark, topic), F.concat(F.lit("jobs/"), F.col("job_id"), F.lit(".png")))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.operators import store
 from meterlake.plans.registry import query
-from meterlake.session import shared_dir, table
+from meterlake.session import new_folder, table
 from meterlake.sources import readers, sinks, topic
 from meterlake.streaming import jobs, matching, replay, stateful
 
@@ -84,7 +82,7 @@ def q79_stream_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey::VARCHAR AS job_id, 'completed' AS status, 'jobs/' || o_orderkey || '.png' AS url FROM orders WHERE o_orderstatus = 'P'")
 def q80_topic_consumed(spark: SparkSession, d: str) -> DataFrame:
     topic.register(spark)
-    path = f"{shared_dir(spark)}/topic-{uuid.uuid4().hex}"
+    path = new_folder(spark, "topic")
     queued = store.find_eq(table(spark, d, "orders"), o_orderstatus="P")
     messages = sinks.envelopes(queued.select(F.col("o_orderkey").cast("string").alias("job_id"), F.lit("image").alias("job_type"), F.col("o_custkey").cast("string").alias("payload")))
     messages.write.format("job_topic").mode("append").save(path)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions import scalar, signing
 from meterlake.operators import gate, keyed, metrics, paging, search, shape, sketches
 from meterlake.plans.registry import query
-from meterlake.session import shared_dir, table
+from meterlake.session import new_folder, new_table, table
 from meterlake.sources import bundle, intake, readers, sinks, variants
 
 #: A request as the queries below read it from lineitem; every seventh line is cut off and is no JSON.
@@ -151,7 +149,7 @@ def q90_signatures(spark: SparkSession, d: str) -> DataFrame:
     "UNION ALL SELECT -1 - o_orderkey, o_totalprice + 1, CASE WHEN o_orderkey % 10 = 0 THEN 'X' END FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 100 <> 5"
 )
 def q91_bucketed_update(spark: SparkSession, d: str) -> DataFrame:
-    name = f"orders_{uuid.uuid4().hex}"
+    name = new_table(spark, "orders")
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     keyed.create(orders, name, "o_orderkey", 16)
     news = orders.where("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.when(F.col("o_orderkey") % 10 == 0, "X").alias("o_orderstatus"), (F.col("o_orderkey") % 100 == 5).alias("gone"))
@@ -173,7 +171,7 @@ def q92_update_by_email(spark: SparkSession, d: str) -> DataFrame:
 )
 def q93_tree_totals(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of a tree of text files by folder, without some folders, endings and names; texts are the files' lines."""
-    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "tree")
     texts = table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.coalesce("source", F.lit("none")).alias("source"), "lang")
     texts.write.partitionBy("source", "lang").text(folder)
     files = readers.tree(spark, folder, without_dirs=["lang=fr"], without_ends=[".crc"], without_names=["_SUCCESS"])
@@ -187,7 +185,7 @@ def q93_tree_totals(spark: SparkSession, d: str) -> DataFrame:
 )
 def q94_appended_logs(spark: SparkSession, d: str) -> DataFrame:
     """Two appends to one table; a log without a time gets the time of its append, here a given one."""
-    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "logs")
     logs = table(spark, d, "events").select(
         F.concat(F.lit("log_"), F.col("event_id").cast("string")).alias("log_id"), F.col("event_type").alias("action"), F.when(F.col("event_type") != "error", F.col("ts")).alias("logged_at"), "event_id"
     )
@@ -199,7 +197,7 @@ def q94_appended_logs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, user_id, requests::BIGINT AS requests FROM (SELECT event_type, user_id, count(*) AS requests FROM events GROUP BY ALL) ORDER BY requests DESC, event_type, user_id LIMIT 100")
 def q95_csv_report(spark: SparkSession, d: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "report")
     top = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("requests")).orderBy(F.col("requests").desc(), "event_type", "user_id").limit(100)
     sinks.report_csv(top, folder)
     return spark.read.schema(top.schema).option("header", "true").csv(folder)
@@ -281,7 +279,7 @@ def q101_address_forms(spark: SparkSession, d: str) -> DataFrame:
 )
 def q102_collection_files(spark: SparkSession, d: str) -> DataFrame:
     """API requests as JSON items in files, one folder a method, and read again as they are typed."""
-    folder = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "collection")
     rows = q96_api_collection(spark, d)
     where = F.struct(F.concat(F.lit("{{base_url}}"), F.col("path")).alias("raw"), scalar.path_parts(F.col("path")).alias("path"))
     items = rows.select("page_id", "name", "method", F.struct("method", where.alias("url")).alias("request"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+#: What applications have made by new_folder and new_table, by their ids.
+_MADE: dict[str, tuple[list[str], list[str]]] = {}
+
+
+def _made(spark: SparkSession) -> tuple[list[str], list[str]]:
+    return _MADE.setdefault(spark.sparkContext.applicationId, ([], []))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder in the shared one that no other has; it is noted for drop_made."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made(spark)[0].append(path)
+    return path
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """A table's name that no other has; it is noted for drop_made."""
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    _made(spark)[1].append(table_name)
+    return table_name
+
+
+def drop_made(spark: SparkSession) -> int:
+    """Deletes the folders and tables that this application has made on the way, and says how many. Frames that read them, such as results of queries, can be read no more."""
+    folders, tables = _MADE.pop(spark.sparkContext.applicationId, ([], []))
+    for path in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return len(folders) + len(tables)

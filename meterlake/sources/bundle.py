@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterlake.session import shared_dir
+from meterlake.session import new_folder
 from meterlake.sources.readers import kept_files
 
 #: How a file's block names its language, by the end of its name.
@@ -34,7 +33,7 @@ def bundled(files: DataFrame, path: Column, text: Column, parts: int, folder: st
     folder/part=k; parts in order are the bundle (see read_back).
     """
     spark = files.sparkSession
-    folder = folder or f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "bundle")
     rows = files.select(path.alias("path"), section(F.coalesce(path, F.lit("")), F.coalesce(text, F.lit(""))).alias("section"))
     rows = rows.withColumn("_tie", F.xxhash64("section"))
     spread = rows.repartitionByRange(parts, "path", "_tie").withColumn("part", F.spark_partition_id())

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from meterlake.session import shared_dir
+from meterlake.session import new_folder
 
 #: The reason of a body that is no JSON object of the schema; no other check is made then.
 MALFORMED = "malformed"
@@ -36,7 +35,7 @@ def routed(rows: DataFrame, body: str, schema: str, checks: Mapping[str, Column]
     malformed) are observed on the way. A reader of one outcome reads only its folder.
     """
     spark = rows.sparkSession
-    folder = folder or f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "intake")
     told = typed(rows, body, schema, checks, required).withColumn("accepted", F.size("reasons") == 0)
     watch = Observation()
     told = told.observe(watch, F.count("*").alias("requests"), F.count_if("accepted").alias("accepted"), F.count_if(F.array_contains("reasons", MALFORMED)).alias("malformed"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.session import shared_dir
+from meterlake.session import new_folder
 
 
 def slices(rows: DataFrame, time: str, n: int = 4) -> list[DataFrame]:
@@ -22,7 +20,7 @@ def slices(rows: DataFrame, time: str, n: int = 4) -> list[DataFrame]:
 
 def stored(rows: DataFrame, time: str, n: int = 4) -> str:
     """The folder of rows, written slice after slice, so that a stream over its files meets them in the order of time."""
-    folder = f"{shared_dir(rows.sparkSession)}/replay-{uuid.uuid4().hex}"
+    folder = new_folder(rows.sparkSession, "replay")
     for part in slices(rows, time, n):
         part.coalesce(1).write.mode("append").parquet(folder)
     return folder
@@ -36,7 +34,7 @@ def stream_of(spark: SparkSession, folder: str, schema, files_per_batch: int = 1
 def appended(out: DataFrame, folder: str | None = None) -> DataFrame:
     """All rows that a stream appends until its input is read. folder holds its state and rows; given again, the stream goes on from there."""
     spark = out.sparkSession
-    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "stream")
     sink = out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     sink.outputMode("append").format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")

@@ -242,3 +242,13 @@ def test_exact_quantiles_lie_by_the_sketched(spark):
     rows = spark.range(10_000).select(F.lit("a").alias("k"), F.rand(1).alias("v"))
     exact, near = metrics.quantiles(rows, ["k"], "v", 0.5).first().p50, metrics.approximate_quantiles(rows, ["k"], "v", 0.5).first().p50
     assert abs(exact - near) < 0.01
+
+
+def test_made_folders_and_tables_can_be_dropped(spark):
+    from meterlake.session import drop_made, exists, new_folder, new_table
+
+    path, name = new_folder(spark, "x"), new_table(spark, "x")
+    spark.range(3).write.parquet(path)
+    spark.range(3).write.saveAsTable(name)
+    assert exists(spark, path) and drop_made(spark) >= 2
+    assert not exists(spark, path) and not spark.catalog.tableExists(name) and drop_made(spark) == 0
