@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.session import shared_dir
+from meterlake.session import new_folder
 
 #: Words, as the contracts define them, in Java, RE2 and Python syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again, so that a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

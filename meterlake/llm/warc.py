@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import materialize, shared_dir
+from meterlake.llm.common import materialize, new_folder
 from meterlake.llm.words import whole_numbers
 
 MAGIC = b"\x1f\x8b\x08"
@@ -222,7 +221,7 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Writes pages to archives in the shared folder, reads these back and describes each record; see write_warc for null, repeated and missing rows. Ids keep all their 64 bits."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     manifest = write_warc(pages, folder, min_revisit_bytes)
     return read_warc(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 

@@ -91,3 +91,13 @@ def test_an_article_in_a_layout_table_is_whole():
     page = htmltext.blocks(html)
     text = [b.text for b, ok in zip(page, htmltext.production_labeller().label([page])[0]) if ok]
     assert [b.text for b in page][1:-1] == text
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    html = Pages(3).page("article")[0]
+    rows = [(1, "u", html, "x", "y"), (1, "u", html, "x", "y"), (2, None, None, "x", "y"), (None, "u", "", "x", "y"), (3, "u", "no markup at all", "x", "y")]
+    got = htmltext.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")).collect()
+    assert len(got) == 5
+    mine = [r for r in got if r.page_id == 1]
+    assert mine[0] == mine[1] and mine[0].n_chars == len(mine[0].text) > 100
+    assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (None, 2))

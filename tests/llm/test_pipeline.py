@@ -54,3 +54,19 @@ def test_stages(spark):
 def test_run_agrees_with_itself(spark):
     one, two = (corpus_pipeline.run(spark, DATA).agg(F.count("*"), F.sum("length"), F.sum("ids_crc32")).first() for _ in range(2))
     assert one == two and np.all(np.array(one) > 0)
+
+
+def test_stages_with_odd_documents(spark):
+    """Null and empty texts, ids and sources, repeated rows, very long texts and columns with names of the stages' own go through all stages."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).select("doc_id", "text", "lang", "source", "n_chars")
+    long = docs.orderBy("doc_id").limit(1).withColumns({"doc_id": F.lit(9001).cast("long"), "text": F.concat_ws(" ", F.array_repeat("text", 40))})
+    odd = spark.createDataFrame(
+        [(None, "A text without an id, but with words enough to tell.", "en", None), (9002, None, None, "s"), (9003, "", "en", "s"), (9004, " \t\n", "en", None), (9005, "one", None, "s"), (9005, "one", None, "s")],
+        "doc_id long, text string, lang string, source string",
+    ).withColumn("n_chars", F.length("text").cast("long"))
+    whole = docs.unionByName(long).unionByName(odd).unionByName(odd.limit(1)).withColumns({c: F.lit("clash") for c in ("key", "copy", "size", "tag", "print", "doc", "d", "p")})
+    for name, stage in corpus_pipeline.STAGES:
+        before, whole = whole.count(), materialize(stage(spark, whole, DATA), name)
+        assert 0 < whole.count() and (name in ("mix_sources", "pack_sequences") or whole.count() <= before)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
