@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from meterlake.session import new_folder
 
 #: Trigrams go to slots of so many bits. A block is so many texts (a power of two), and a page of the texts' files.
 SLOT_BITS, BLOCK_ROWS = 15, 8
+#: Blocks of a row of the posting table; a multiple of 8.
+CHUNK_BLOCKS = 512
 #: A part of the index holds about so many bytes of texts.
 PART_BYTES = 1 << 26
 #: So many blocks come to the driver, as so many ranges that a scan skips pages by; more blocks are joined instead.
@@ -42,43 +45,64 @@ def slots_of(text: str) -> np.ndarray:
     return np.unique((mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
 
 
-def block_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """block, slot for rows of block, low: each pair once a batch."""
+POSTINGS = "slot int, part int, chunk int, first long, bits binary"
+
+
+def bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """POSTINGS for rows of block, low: for every slot that a chunk of blocks has, a bit for each of its blocks, from first on."""
+    part, chunk = TaskContext.get().partitionId(), 0
     for batch in batches:
-        found = [slots_of(text) for text in batch.low]
-        yield pd.DataFrame({"block": np.repeat(batch.block.to_numpy(np.int64), list(map(len, found))), "slot": np.concatenate([np.empty(0, np.int32), *found])}).drop_duplicates()
+        blocks, low = batch.block.to_numpy(np.int64), batch.low.to_numpy()
+        at = 0
+        while at < len(batch):
+            # blocks of a batch may leave gaps where texts are null; a chunk spans at most CHUNK_BLOCKS numbers
+            stop = at + int(np.searchsorted(blocks[at:], blocks[at] + CHUNK_BLOCKS))
+            held = np.zeros((CHUNK_BLOCKS, 1 << SLOT_BITS), bool)
+            for block, text in zip(blocks[at:stop], low[at:stop]):
+                held[block - blocks[at], slots_of(text)] = True
+            slots = np.flatnonzero(held.any(axis=0))
+            bits = np.packbits(held[:, slots], axis=0).T
+            yield pd.DataFrame({"slot": slots.astype(np.int32), "part": np.int32(part), "chunk": np.int32(chunk), "first": blocks[at], "bits": [b.tobytes() for b in bits]})
+            at, chunk = stop, chunk + 1
 
 
 def build_index(rows: DataFrame, key: str, text: str, folder: str | None = None) -> TrigramIndex:
-    """Writes the texts in blocks, in the order of key, and the posting table; null texts hold nothing.
+    """Writes the texts in blocks, as they lie, and the posting table; null texts hold nothing.
 
-    The posting table has a row for each slot and block, not for each trigram and text, and is sorted by slot,
-    so that a search reads the few row groups of its slots. It grows with the texts; nothing comes to the driver but their size.
+    The posting table has a bit for each slot and block, in one row for a slot and a chunk of CHUNK_BLOCKS blocks,
+    and is sorted by slot, so that a search reads the few row groups of its slots. Texts are not shuffled;
+    nothing comes to the driver but their size.
     """
     spark = rows.sparkSession
     folder = folder or new_folder(spark, "trigrams")
-    parts = max(1, -(-int(rows.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
-    spread = rows.select(key, text).repartitionByRange(parts, key, F.xxhash64(text)).sortWithinPartitions(key)
     # an id tells the task in its upper bits, so blocks of one task follow one another and tasks do not share any
-    blocks = spread.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS))
+    blocks = rows.select(key, text).withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS))
     blocks.select("block", key, text).write.option("parquet.page.row.count.limit", BLOCK_ROWS).option("parquet.block.size", 1 << 23).parquet(f"{folder}/texts")
-    low = spark.read.parquet(f"{folder}/texts").select("block", F.lower(text).alias("low")).where("low IS NOT NULL")
-    slots = low.mapInPandas(block_slots, "block long, slot int").distinct()
-    slots.repartitionByRange(parts, "slot", "block").sortWithinPartitions("slot", "block").write.option("parquet.block.size", 1 << 20).parquet(f"{folder}/postings")
+    texts = spark.read.parquet(f"{folder}/texts")
+    parts = max(1, -(-int(texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
+    low = texts.select("block", F.lower(text).alias("low")).where("low IS NOT NULL")
+    held = low.mapInPandas(bitmaps, POSTINGS)
+    held.repartitionByRange(parts, "slot", "part", "chunk").sortWithinPartitions("slot").write.option("parquet.block.size", 1 << 20).parquet(f"{folder}/postings")
     return TrigramIndex(f"{folder}/texts", f"{folder}/postings", key, text)
 
 
 def candidate_blocks(spark: SparkSession, index: TrigramIndex, needle: str) -> DataFrame | None:
     """The blocks that hold every slot of the needle's trigrams; None for fewer than three characters, of which the index knows nothing."""
-    if len(needle) < 3:
-        return None
     # lower-cased as the texts are
     wanted = slots_of(spark.range(1).select(F.lower(F.lit(needle)).alias("low")).first().low).tolist()
     if not wanted:
         return None
+
+    def common(chunk: pd.DataFrame) -> pd.DataFrame:
+        """A chunk has at most a row for each wanted slot."""
+        if len(chunk) < len(wanted):
+            return pd.DataFrame({"block": np.empty(0, np.int64)})
+        bits = np.bitwise_and.reduce([np.frombuffer(b, np.uint8) for b in chunk.bits])
+        return pd.DataFrame({"block": np.flatnonzero(np.unpackbits(bits)) + chunk["first"].iloc[0]})
+
     # an OR of equalities reaches the scan; Spark would push a long IN as its least and greatest value only
-    held = spark.read.parquet(index.postings).where(_any([F.col("slot") == s for s in wanted]))
-    return held.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("block")
+    held = spark.read.schema(POSTINGS).parquet(index.postings).where(_any([F.col("slot") == s for s in wanted]))
+    return held.groupBy("part", "chunk").applyInPandas(common, "block long").distinct()
 
 
 def _any(conditions: list[Column]) -> Column:
