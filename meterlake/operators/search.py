@@ -77,7 +77,8 @@ def build_index(rows: DataFrame, key: str, text: str, folder: str | None = None)
     folder = folder or new_folder(spark, "trigrams")
     # an id tells the task in its upper bits, so blocks of one task follow one another and tasks do not share any
     blocks = rows.select(key, text).withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS))
-    blocks.select("block", key, text).write.option("parquet.page.row.count.limit", BLOCK_ROWS).option("parquet.block.size", 1 << 23).parquet(f"{folder}/texts")
+    paged = {"parquet.page.row.count.limit": BLOCK_ROWS, "parquet.page.size.row.check.min": BLOCK_ROWS, "parquet.block.size": 1 << 23}
+    blocks.select("block", key, text).write.options(**paged).parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
     parts = max(1, -(-int(texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
     low = texts.select("block", F.lower(text).alias("low")).where("low IS NOT NULL")
