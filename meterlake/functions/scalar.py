@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -69,6 +70,11 @@ def ipv4_network(address: Column, bits: int) -> Column:
     return ipv4_number(address).bitwiseAND(F.lit((2**32 - 1) ^ (2 ** (32 - bits) - 1)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it: long expressions stay short."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def address_hex(address: Column) -> Column:
     """An address as its version (4 or 6) and 8 or 32 hexadecimal digits; null if it is none.
 
@@ -76,20 +82,29 @@ def address_hex(address: Column) -> Column:
     """
     four = F.concat(F.lit("4"), F.lower(F.lpad(F.hex(ipv4_number(address)), 8, "0")))
     zoneless = F.when(address.contains(":"), F.regexp_replace(address, r"(?s)\A([^%/]*)%[^%/]+\z", "$1")).otherwise(address)
-    end = F.regexp_extract(zoneless, r"\A[0-9A-Fa-f:]*:([0-9.]*\.[0-9.]*)\z", 1)
-    low = ipv4_number(end)
-    groups_of = lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(65535))))
-    # a dotted end that is no quad stays and makes the whole no address
-    text = F.lower(F.when(low.isNotNull(), F.concat(F.substring(zoneless, F.lit(1), F.length(zoneless) - F.length(end)), groups_of(low))).otherwise(zoneless))
-    halves = F.split(text, "::")
+    return F.coalesce(four, let(let(zoneless, _undotted), lambda text: let(F.split(text, "::"), lambda halves: _grouped(text, halves))))
+
+
+def _undotted(text: Column) -> Column:
+    """A dotted end as two groups; one that is no quad stays, and makes the whole no address. In small letters."""
+    end = F.regexp_extract(text, r"\A[0-9A-Fa-f:]*:([0-9.]*\.[0-9.]*)\z", 1)
+    groups = lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(65535))))
+    whole = lambda e, n: F.lower(F.when(n.isNotNull(), F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(e)), groups(n))).otherwise(text))
+    return let(end, lambda e: let(ipv4_number(e), lambda n: whole(e, n)))
+
+
+def _grouped(text: Column, halves: Column) -> Column:
+    """Version 6 from its text and what stands before and behind '::'."""
     groups = lambda k: F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(k)), F.lit("")), ":"), lambda x: x != "")
-    left, right = groups(1), groups(2)
-    missing = 8 - F.size(left) - F.size(right)
-    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    shaped = text.rlike(r"\A[0-9a-f:]*:[0-9a-f:]*\z") & ~text.rlike(r":::|\A:[^:]|[^:]:\z") & ~F.exists(full, lambda x: F.length(x) > 4)
-    sized = ((F.size(halves) == 1) & (missing == 0)) | ((F.size(halves) == 2) & (missing >= 1))
-    six = F.concat(F.lit("6"), F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ""))
-    return F.coalesce(four, F.when(shaped & sized, six))
+
+    def joined(left: Column, right: Column) -> Column:
+        missing = 8 - F.size(left) - F.size(right)
+        full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+        shaped = text.rlike(r"\A[0-9a-f:]*:[0-9a-f:]*\z") & ~text.rlike(r":::|\A:[^:]|[^:]:\z") & ~F.exists(full, lambda x: F.length(x) > 4)
+        sized = ((F.size(halves) == 1) & (missing == 0)) | ((F.size(halves) == 2) & (missing >= 1))
+        return F.when(shaped & sized, F.concat(F.lit("6"), F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), "")))
+
+    return let(groups(1), lambda left: let(groups(2), lambda right: joined(left, right)))
 
 
 def mask_bits(mask: Column, most: Column) -> Column:
