@@ -1,4 +1,4 @@
-"""Queries that replay stored rows as streams: state with timers, joins of two streams, topics, deliveries."""
+"""Queries over streams of stored rows: state with timers, joins of two streams, topics, deliveries."""
 
 from __future__ import annotations
 
@@ -11,14 +11,15 @@ from meterlake.session import new_folder, table
 from meterlake.sources import readers, sinks, topic
 from meterlake.streaming import jobs, matching, replay, stateful
 
-#: What streams have passed once the replay of events is over: the last time, in whole milliseconds, less what is allowed to be late.
+#: What streams have passed once all events are read: the last time, in whole milliseconds, less what is allowed to be late.
 _PASSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL {late} FROM events)"
 
 
-def _events(spark: SparkSession, d: str, *columns: str) -> tuple[str, object]:
-    """events in slices of time, as a folder to stream from, and their schema; times are read as UTC."""
-    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("ts", *columns)
-    return replay.stored(rows, "ts"), rows.schema
+def _events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """events as a stream, times read as UTC; the folder holds other tables, hence the filter by name."""
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return rows.select(F.col("ts").cast("timestamp").alias("ts"), *columns)
 
 
 @query(
@@ -27,8 +28,8 @@ def _events(spark: SparkSession, d: str, *columns: str) -> tuple[str, object]:
     f"WHERE moved < {_PASSED.format(late='1 HOUR')}"
 )
 def q76_stream_inflight(spark: SparkSession, d: str) -> DataFrame:
-    folder, schema = _events(spark, d, "event_id", "user_id")
-    requests = replay.stream_of(spark, folder, schema).withColumn("done", F.expr("ts + INTERVAL 6 HOURS"))
+    events = _events(spark, d, "event_id", "user_id")
+    requests = events.withColumn("done", F.expr("ts + INTERVAL 6 HOURS"))
     with stateful.state_on_disk(spark):
         told = replay.appended(stateful.running_requests(requests, "user_id", "ts", "done", "event_id", "1 hour"))
     return told.select("user_id", "event_id", F.col("at").cast("timestamp_ntz").alias("moved"), "delta", "running")
@@ -43,9 +44,9 @@ def q76_stream_inflight(spark: SparkSession, d: str) -> DataFrame:
     f"WHERE status NOT IN ('completed', 'failed') AND t + INTERVAL 20 MINUTE < {_PASSED.format(late='1 HOUR')}"
 )
 def q77_stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    folder, schema = _events(spark, d, "event_id", "event_type")
+    events = _events(spark, d, "event_id", "event_type")
     status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
-    updates = replay.stream_of(spark, folder, schema).select(F.expr("event_id div 4").alias("job_id"), status.alias("status"), F.col("ts").alias("at"))
+    updates = events.select(F.expr("event_id div 4").alias("job_id"), status.alias("status"), F.col("ts").alias("at"))
     with stateful.state_on_disk(spark):
         told = replay.appended(stateful.lifecycle(updates, "20 minutes", "1 hour"))
     return told.select("job_id", "status", F.col("at").cast("timestamp_ntz").alias("changed_at"))
@@ -60,9 +61,9 @@ _RESULTS = "SELECT event_id // 2 AS job_id, event_type AS outcome, ts AS finishe
     f"WHERE finished_at IS NOT NULL OR submitted_at + INTERVAL 5 MINUTE < (SELECT least((SELECT max(submitted_at) FROM ({_JOBS})), (SELECT max(finished_at) FROM ({_RESULTS})))) - INTERVAL 10 MINUTE"
 )
 def q78_stream_results(spark: SparkSession, d: str) -> DataFrame:
-    folder, schema = _events(spark, d, "event_id", "user_id", "event_type")
-    even = replay.stream_of(spark, folder, schema).where("event_id % 2 = 0").select(F.expr("event_id div 2").alias("job_id"), "user_id", F.col("ts").alias("submitted_at"))
-    odd = replay.stream_of(spark, folder, schema).where("event_id % 2 = 1 AND event_type <> 'error'")
+    events = _events(spark, d, "event_id", "user_id", "event_type")
+    even = events.where("event_id % 2 = 0").select(F.expr("event_id div 2").alias("job_id"), "user_id", F.col("ts").alias("submitted_at"))
+    odd = _events(spark, d, "event_id", "event_type").where("event_id % 2 = 1 AND event_type <> 'error'")
     results = odd.select(F.expr("event_id div 2").alias("job_id"), F.col("event_type").alias("outcome"), F.col("ts").alias("finished_at"))
     with stateful.state_on_disk(spark):
         told = replay.appended(matching.matched(even, results, "job_id", "submitted_at", "finished_at", "5 minutes", "10 minutes"))
@@ -74,8 +75,8 @@ def q78_stream_results(spark: SparkSession, d: str) -> DataFrame:
     f"HAVING time_bucket(INTERVAL 1 HOUR, max(ts)) + INTERVAL 1 HOUR <= {_PASSED.format(late='2 HOUR')}"
 )
 def q79_stream_tokens(spark: SparkSession, d: str) -> DataFrame:
-    folder, schema = _events(spark, d, "user_id", "value")
-    rates = jobs.windowed_rate(replay.stream_of(spark, folder, schema), "ts", "2 hours", "1 hour", "user_id", tokens=F.ceil("value"))
+    events = _events(spark, d, "user_id", "value")
+    rates = jobs.windowed_rate(events, "ts", "2 hours", "1 hour", "user_id", tokens=F.ceil("value"))
     return replay.appended(rates).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -64,7 +64,7 @@ _NAME = "coalesce(source, 'none') || '/' || lang || '/' || doc_id || CASE WHEN d
 def q83_bundle(spark: SparkSession, d: str) -> DataFrame:
     ending = F.when(F.col("doc_id") % 3 == 0, ".py").when(F.col("doc_id") % 3 == 1, ".html").otherwise(".txt")
     files = table(spark, d, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), ending).alias("path"), "text")
-    return bundle.bundled(files, F.col("path"), F.col("text"), 16).select("place", "path", F.col("offset").alias("offset_"), "bytes")
+    return bundle.bundled(files, F.col("path"), F.col("text")).select("place", "path", F.col("offset").alias("offset_"), "bytes")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), lower('License'))")

@@ -13,6 +13,8 @@ from meterlake.sources.readers import kept_files
 
 #: How a file's block names its language, by the end of its name.
 FENCES = {".py": "python", ".html": "html"}
+#: Unless told how many, a part holds about so many bytes of texts.
+PART_BYTES = 1 << 25
 
 
 def section(path: Column, text: Column) -> Column:
@@ -24,7 +26,7 @@ def section(path: Column, text: Column) -> Column:
     return F.concat(F.lit("### File: `"), path, F.lit("`\n\n```"), fence, F.lit("\n"), text, F.lit("\n```\n\n"))
 
 
-def bundled(files: DataFrame, path: Column, text: Column, parts: int, folder: str | None = None) -> DataFrame:
+def bundled(files: DataFrame, path: Column, text: Column, parts: int | None = None, folder: str | None = None) -> DataFrame:
     """The bundle's manifest: part, place (from 0), path, offset and bytes of every file in the whole bundle; null texts are empty, null paths first.
 
     Files are range-partitioned by path and hash of their text, sorted within, and each part is written by its own task, with the offsets of its
@@ -33,6 +35,8 @@ def bundled(files: DataFrame, path: Column, text: Column, parts: int, folder: st
     folder/part=k; parts in order are the bundle (see read_back).
     """
     spark = files.sparkSession
+    if parts is None:
+        parts = max(1, -(-int(files.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
     folder = folder or new_folder(spark, "bundle")
     rows = files.select(path.alias("path"), section(F.coalesce(path, F.lit("")), F.coalesce(text, F.lit(""))).alias("section"))
     rows = rows.withColumn("_tie", F.xxhash64("section"))

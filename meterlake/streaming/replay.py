@@ -1,33 +1,14 @@
-"""Stored rows as a stream in slices of time, and what a stream has given once its input is read."""
+"""Files as a stream, and what a stream has given once its input is read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meterlake.session import new_folder
 
 
-def slices(rows: DataFrame, time: str, n: int = 4) -> list[DataFrame]:
-    """rows cut into n spans of equal time, in order; rows without a time go first."""
-    low, high = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
-    if low is None:
-        return [rows]
-    width = (high - low) // n + 1
-    place = F.coalesce(F.floor((F.unix_micros(time) - low) / width), F.lit(0))
-    return [rows.where(place == k) for k in range(n)]
-
-
-def stored(rows: DataFrame, time: str, n: int = 4) -> str:
-    """The folder of rows, written slice after slice, so that a stream over its files meets them in the order of time."""
-    folder = new_folder(rows.sparkSession, "replay")
-    for part in slices(rows, time, n):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
-
 def stream_of(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A stream over the files of such a folder, oldest first."""
+    """A stream over the files of a folder, oldest first."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
