@@ -55,8 +55,10 @@ def bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks, low = batch.block.to_numpy(np.int64), batch.low.to_numpy()
         at = 0
         while at < len(batch):
-            # blocks of a batch may leave gaps where texts are null; a chunk spans at most CHUNK_BLOCKS numbers
-            stop = at + int(np.searchsorted(blocks[at:], blocks[at] + CHUNK_BLOCKS))
+            # a task may read parts of several files in any order: a chunk ends where a block lies before its first or too far behind it
+            away = blocks[at:] - blocks[at]
+            outside = (away < 0) | (away >= CHUNK_BLOCKS)
+            stop = at + int(outside.argmax()) if outside.any() else len(batch)
             held = np.zeros((CHUNK_BLOCKS, 1 << SLOT_BITS), bool)
             for block, text in zip(blocks[at:stop], low[at:stop]):
                 held[block - blocks[at], slots_of(text)] = True

@@ -106,6 +106,16 @@ def test_indexed_search(spark):
     assert search.holding(spark, empty, "needle").count() == 0
 
 
+def test_blocks_in_any_order_have_their_bits(spark, tmp_path):
+    blocks = [2**31 + 7, 2**31 + 8, 3, 3, 5, 4, 600, 2**31 + 6, 9]
+    rows = spark.createDataFrame([(b, f"text{k}") for k, b in enumerate(blocks)], "block long, low string").coalesce(1)
+    index = search.TrigramIndex("", f"file://{tmp_path}/postings", "", "")
+    rows.mapInPandas(search.bitmaps, search.POSTINGS).write.parquet(index.postings)
+    for k, b in enumerate(blocks):
+        assert b in {r.block for r in search.candidate_blocks(spark, index, f"text{k}").collect()}
+    assert {r.block for r in search.candidate_blocks(spark, index, "text").collect()} == set(blocks)
+
+
 def test_many_blocks_are_joined(spark, monkeypatch):
     monkeypatch.setattr(search, "MAX_BLOCKS", 3)
     rows = spark.createDataFrame([(k, f"text of number {k}") for k in range(300)], "id long, text string")
