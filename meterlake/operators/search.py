@@ -18,6 +18,8 @@ from meterlake.session import new_folder
 SLOT_BITS, BLOCK_ROWS = 15, 8
 #: Blocks of a row of the posting table; a multiple of 8.
 CHUNK_BLOCKS = 512
+#: Rows of the posting table that a task hands over at once.
+PIECE = 4096
 #: A part of the index holds about so many bytes of texts.
 PART_BYTES = 1 << 26
 #: So many blocks come to the driver, as so many ranges that a scan skips pages by; more blocks are joined instead.
@@ -51,6 +53,7 @@ POSTINGS = "slot int, part int, chunk int, first long, bits binary"
 def bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """POSTINGS for rows of block, low: for every slot that a chunk of blocks has, a bit for each of its blocks, from first on."""
     part, chunk = TaskContext.get().partitionId(), 0
+    held = np.zeros((1 << SLOT_BITS, CHUNK_BLOCKS), bool)
     for batch in batches:
         blocks, low = batch.block.to_numpy(np.int64), batch.low.to_numpy()
         at = 0
@@ -59,12 +62,15 @@ def bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             away = blocks[at:] - blocks[at]
             outside = (away < 0) | (away >= CHUNK_BLOCKS)
             stop = at + int(outside.argmax()) if outside.any() else len(batch)
-            held = np.zeros((CHUNK_BLOCKS, 1 << SLOT_BITS), bool)
-            for block, text in zip(blocks[at:stop], low[at:stop]):
-                held[block - blocks[at], slots_of(text)] = True
-            slots = np.flatnonzero(held.any(axis=0))
-            bits = np.packbits(held[:, slots], axis=0).T
-            yield pd.DataFrame({"slot": slots.astype(np.int32), "part": np.int32(part), "chunk": np.int32(chunk), "first": blocks[at], "bits": [b.tobytes() for b in bits]})
+            wide = int(away[: stop - at].max()) + 1
+            held[:, :wide] = False
+            for block, text in zip(away[: stop - at], low[at:stop]):
+                held[slots_of(text), block] = True
+            slots = np.flatnonzero(held[:, :wide].any(axis=1))
+            for k in range(0, len(slots), PIECE):
+                some = slots[k : k + PIECE]
+                bits = np.packbits(held[some, :wide], axis=1)
+                yield pd.DataFrame({"slot": some.astype(np.int32), "part": np.int32(part), "chunk": np.int32(chunk), "first": blocks[at], "bits": [b.tobytes() for b in bits]})
             at, chunk = stop, chunk + 1
 
 
