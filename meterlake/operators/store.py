@@ -79,11 +79,11 @@ def approve(requests: DataFrame, request_id: str, secret: str, now: Column | Non
     """(new keys, requests with approved_key_id set), for every request still pending; what was decided before stays.
 
     A key's text comes from the secret and the request's id, so that a rerun gives the same one and none can
-    guess it who does not know the secret; it is stored as a prefix and a hash, and key_id is part of a hash of that hash. A key takes the request's tenant, if it has one, and limits, or DEFAULT_LIMITS.
+    guess it who does not know the secret; a request without an id gets null. It is stored as a prefix and a hash, and key_id is part of a hash of that hash. A key takes the request's tenant, if it has one, and limits, or DEFAULT_LIMITS.
     """
     if not secret:
         raise ValueError("keys need a secret")
-    made = F.sha2(F.concat_ws(":", F.lit(secret), F.col(request_id).cast("string")), 256)
+    made = F.sha2(F.concat(F.lit(f"{secret}:"), F.col(request_id).cast("string")), 256)
     plain, pending = F.concat(F.lit(text_prefix), made), F.col("status") == "pending_approval"
     hashed = F.sha2(plain, 256)
     key = F.concat(F.lit(key_prefix), F.substring(F.sha2(hashed, 256), 1, 10))

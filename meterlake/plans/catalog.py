@@ -94,8 +94,10 @@ _KEY = f"('key_' || left(sha256(sha256({_PLAIN})), 10))"
 def q10_approve_flow(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderstatus") == "P", "pending_approval").otherwise("closed").alias("status"), "o_custkey")
     keys, done = store.approve(asked, "request_id", SECRET)
-    granted = done.where("approved_key_id IS NOT NULL").join(keys.drop("request_id"), F.col("approved_key_id") == F.col("key_id"))
-    return granted.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("o_custkey") % 10 + 1).select("request_id", "key_id", F.col("s_name").alias("tenant"))
+    # a key_id has 40 bits, so among millions of requests some share one: a request goes with its own key, and once
+    made = keys.select(F.col("request_id").alias("_request"), "key_id")
+    granted = done.where("status = 'approved'").join(made, F.col("request_id").eqNullSafe(F.col("_request")) & F.col("approved_key_id").eqNullSafe(F.col("key_id")), "left_semi")
+    return granted.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("o_custkey") % 10 + 1).select("request_id", F.col("approved_key_id").alias("key_id"), F.col("s_name").alias("tenant"))
 
 
 @query("SELECT p_brand AS provider, count(*) AS requests FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25 GROUP BY p_brand")

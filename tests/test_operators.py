@@ -274,3 +274,32 @@ def test_sessions_over_days(spark):
             runs[-1].append(x)
         want += [(k, r[0], r[-1] + gap, len(r)) for r in runs]
     assert sorted(map(str, (tuple(r) for r in metering.sessions(t, "t", "30 minutes", "k").collect()))) == sorted(map(str, want))
+
+
+@pytest.fixture
+def small_tables(spark, tmp_path):
+    """Writes tables of the driver's kinds to a folder; says their path and a DuckDB session with them."""
+    import duckdb
+
+    def put(**tables):
+        c = duckdb.connect()
+        for name, (rows, schema) in tables.items():
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/{name}.parquet")
+            c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        return f"file://{tmp_path}", c
+
+    return put
+
+
+def test_requests_that_share_a_key_id_come_once(spark, small_tables):
+    from meterlake.plans import catalog
+    from tests.conftest import rows_of
+
+    # the first two make the same key_id; an id that repeats, and none
+    ids = [381846, 915026, 7, 7, None, 8]
+    folder, duck = small_tables(
+        orders=([(k, 3, "F" if k == 8 else "P") for k in ids], "o_orderkey long, o_custkey long, o_orderstatus string"), supplier=([(4, "four")], "s_suppkey long, s_name string")
+    )
+    got = catalog.QUERIES["q10_approve_flow"](spark, folder).toPandas()
+    assert rows_of(got) == rows_of(duck.execute(catalog.ORACLE_SQL["q10_approve_flow"]).df()) and len(got) == 5
+    assert got.key_id[got.request_id.isin(ids[:2])].nunique() == 1
