@@ -303,3 +303,14 @@ def test_requests_that_share_a_key_id_come_once(spark, small_tables):
     got = catalog.QUERIES["q10_approve_flow"](spark, folder).toPandas()
     assert rows_of(got) == rows_of(duck.execute(catalog.ORACLE_SQL["q10_approve_flow"]).df()) and len(got) == 5
     assert got.key_id[got.request_id.isin(ids[:2])].nunique() == 1
+
+
+def test_every_user_has_a_bill_of_their_own(spark, small_tables):
+    from meterlake.plans import catalog
+    from tests.conftest import rows_of
+
+    rows = [(dt.datetime(2024, m, 5), u, v) for m in (1, 2) for u in (1, 2, None) for v in (1490.0, 16.0 * m, None)] + [(dt.datetime(2024, 1, 6), 4, None)]
+    folder, duck = small_tables(events=(rows, "ts timestamp_ntz, user_id long, value double"))
+    got = catalog.QUERIES["q28_metered_billing"](spark, folder).toPandas()
+    assert rows_of(got) == rows_of(duck.execute(catalog.ORACLE_SQL["q28_metered_billing"]).df()) and len(got) == 7
+    assert set(got[got.user_id == 2].amount) == {"300.0000", "450.0000"}
