@@ -7,6 +7,7 @@ microseconds inside, timers milliseconds.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -108,48 +109,89 @@ def running_requests(requests: DataFrame, tenant: str, start: str, end: str, key
 
 
 class Lifecycle(_Waiting):
-    """The states of a job; one that is silent for too long expires, one that has ended is forgotten after a while."""
+    """The states of a bucket's jobs; one that is silent for too long expires, one that has ended is forgotten after a while."""
 
-    def __init__(self, silent: int, forget: int):
-        self.silent, self.forget = silent, forget
+    def __init__(self, kind: str, silent: int, forget: int):
+        self.kind, self.silent, self.forget = kind, silent, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "status string, last long")
-        self.waiting = handle.getListState("waiting", "at long, status string")
+        # columns of many jobs as arrays: a row of state is one pickle on its way to the store
+        self.current = handle.getValueState("current", f"job array<{self.kind}>, status array<string>, last array<long>")
+        self.waiting = handle.getListState("waiting", f"at array<long>, status array<string>, job array<{self.kind}>")
+        self.told: dict[tuple, int] = {}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        self.wait([(r.at, r.status) for r in rows])
+        came = [(r.at, r.status, r.job_id) for r in rows]
+        if came:
+            self.waiting.appendValue(_columns(came))
+            self.wake(min(r[0] for r in came))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        status, last = self.current.get() if self.current.exists() else (None, None)
-        for at, new in [*self.due(passed), (passed, None)]:
-            if status is not None and status not in FINAL and last + self.silent < at:
-                status, last = "expired", last + self.silent
-                yield Row(job_id=key[0], status=status, at=last)
-            if new is not None and status not in FINAL:
-                if new != status:
-                    yield Row(job_id=key[0], status=new, at=at)
-                status, last = new, at
-        if status is None:
+        # a bucket's first timer of a batch does the work of all that the watermark has passed
+        if self.told.get(key) == passed:
             return
-        if status in FINAL and last + self.forget < passed and not self.waiting.exists():
+        self.told[key] = passed
+        due, awaited = defaultdict(list), set()
+        for at, status, job in self.due(passed, awaited):
+            due[job].append((at, status))
+        known = {job: (status, last) for job, status, last in zip(*(self.current.get() or ()))}
+        kept = {}
+        for job in known.keys() | due.keys():
+            status, last = known.get(job, (None, None))
+            for at, new in [*due.get(job, ()), (passed, None)]:
+                if status is not None and status not in FINAL and last + self.silent < at:
+                    status, last = "expired", last + self.silent
+                    yield Row(job_id=job, status=status, at=last)
+                if new is not None and status not in FINAL:
+                    if new != status:
+                        yield Row(job_id=job, status=new, at=at)
+                    status, last = new, at
+            if status not in FINAL or last + self.forget >= passed or job in awaited:
+                kept[job] = (status, last)
+        if kept:
+            if kept != known:
+                self.current.update(_columns([(job, *state) for job, state in kept.items()]))
+            self.wake(max(passed, min(last + (self.forget if status in FINAL else self.silent) for status, last in kept.values())))
+        elif known:
             self.current.clear()
-            return
-        self.current.update((status, last))
-        self.wake(max(passed, last + (self.forget if status in FINAL else self.silent)))
+
+    def due(self, passed: int, awaited: set) -> list[tuple]:
+        """The waiting rows before passed, by time and status; those after it wait on, and awaited gets their jobs."""
+        now, later = [], []
+        for lot in self.waiting.get():
+            for row in zip(*lot):
+                (now if row[0] < passed else later).append(row)
+        awaited.update(r[2] for r in later)
+        if later:
+            if now:
+                self.waiting.put([_columns(later)])
+            self.wake(min(r[0] for r in later))
+        elif now:
+            self.waiting.clear()
+        return sorted(now, key=lambda r: r[:2])
 
 
-def lifecycle(updates: DataFrame, expire_after: str = "1 hour", late: str = "10 minutes", forget_after: str = "7 days") -> DataFrame:
+def _columns(rows: list[tuple]) -> tuple[list, ...]:
+    return tuple(map(list, zip(*rows)))
+
+
+def lifecycle(updates: DataFrame, expire_after: str = "1 hour", late: str = "10 minutes", forget_after: str = "7 days", buckets: int = 1 << 13) -> DataFrame:
     """(job_id, status, at) whenever a job's status changes, from a stream of updates (job_id, status, at).
 
     A job in a final state moves no more. One that is silent for more than expire_after of event time
     expires, at that time, whether or not updates come later. forget_after an end the job's state is freed, and
     an update that still comes begins it anew. Updates of one time go by status. Null status is no update.
+
+    A call to the store costs far more than a row in it, so jobs, whose ids are strings or whole numbers, share
+    the state and timers of a bucket, by a hash of their ids. A task holds one bucket at a time: what came
+    within late, and a row for each job that is not forgotten. With very many jobs take more buckets; a stream keeps their number.
     """
     rows = updates.where("status IS NOT NULL").withWatermark("at", late).select("job_id", "status", F.col("at").alias("event_time"), F.unix_micros("at").alias("at"))
     kind = rows.schema["job_id"].dataType.simpleString()
-    told = rows.groupBy("job_id").transformWithState(Lifecycle(micros(expire_after), micros(forget_after)), f"job_id {kind}, status string, at long", "Append", "EventTime")
+    told = rows.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets))).groupBy("bucket").transformWithState(
+        Lifecycle(kind, micros(expire_after), micros(forget_after)), f"job_id {kind}, status string, at long", "Append", "EventTime"
+    )
     return told.select("job_id", "status", F.timestamp_micros("at").alias("at"))

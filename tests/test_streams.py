@@ -83,6 +83,33 @@ def test_lifecycle_with_timers(spark, tmp_path):
     ]
 
 
+def test_jobs_of_a_bucket_go_their_own_ways(spark, tmp_path):
+    pick, folder = random.Random(8), f"file://{tmp_path}/in"
+    rows = [(pick.choice([None, *(f"j{k}" for k in range(60 * lot, 60 * lot + 90))]), pick.choice(["queued", "running", "running", "completed"]), at(100 * lot + 100 * pick.random())) for lot in range(4) for _ in range(300)]
+    for lot in range(4):
+        put(spark, rows[300 * lot : 300 * lot + 300], UPDATES, folder)
+    with stateful.state_on_disk(spark):
+        out = stateful.lifecycle(replay.stream_of(spark, folder, spark.createDataFrame([], UPDATES).schema), "20 minutes", "2 hours", buckets=4)
+        run = out.writeStream.format("parquet").option("path", f"file://{tmp_path}/rows").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    passed, silent, want = max(r[2] for r in rows), dt.timedelta(minutes=20), set()
+    passed = passed.replace(microsecond=passed.microsecond // 1000 * 1000) - dt.timedelta(hours=2)
+    for job in {r[0] for r in rows}:
+        status = last = None
+        for when, new in [*sorted((r[2], r[1]) for r in rows if r[0] == job and r[2] < passed), (passed, None)]:
+            if status in ("queued", "running") and last + silent < when:
+                status = "expired"
+                want.add((job, status, last + silent))
+            if new and status not in ("completed", "expired"):
+                if new != status:
+                    want.add((job, new, when))
+                status, last = new, when
+    got = [tuple(r) for r in spark.read.schema(out.schema).parquet(f"file://{tmp_path}/rows").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {r[1] for r in got} == {"queued", "running", "completed", "expired"}
+    # a hundred jobs and more are in the state, yet its rows and timers go by buckets
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 4 * 20
+
+
 def test_join_of_streams_frees_its_state(spark, tmp_path):
     left, right = f"file://{tmp_path}/jobs", f"file://{tmp_path}/results"
     for k in range(0, 600, 100):
