@@ -26,8 +26,10 @@ RETRIEVED = 64
 DEALT_TERMS, COMMON = 4, 64
 #: A shard is closed at this many documents or tokens.
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 20
-#: Runs that a task remembers; beyond these it starts anew. Documents and bytes that are tokenized together.
-KNOWN_RUNS, TOKENIZED_DOCS, PIECE_BYTES = 400_000, 1000, 1 << 20
+#: Runs that a worker remembers from task to task; beyond these it starts anew. Documents and bytes that are tokenized together.
+KNOWN_RUNS, TOKENIZED_DOCS, PIECE_BYTES = 1_000_000, 2000, 1 << 20
+#: New runs are merged together over this many bytes of text: many at once cost much less than a few.
+MERGED_BYTES = 8 << 20
 #: The rank of a pair that does not merge.
 NO_MERGE = 0xFFFF
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -189,17 +191,39 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.empty(0, np.uint64)
+        # hashes of known runs in order, and the number of each; starts and sizes in the pool go by numbers
+        self.keys, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.starts = self.sizes = np.empty(0, np.int64)
         self.pool = np.empty(0, np.uint16)
-        self.odd: dict[bytes, tuple[int, int]] = {}
-
-    def _added(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and sizes in the pool of newly encoded runs or words."""
-        sizes = np.array([len(x) // 2 for x in found], np.int64)
-        starts = len(self.pool) + np.cumsum(sizes) - sizes
-        self.pool = np.append(self.pool, np.frombuffer(b"".join(found), np.uint16))
-        return starts, sizes
+        self.odd: dict[bytes, int] = {}
+        self.known = 0
+        # runs and odd words that have numbers but no ids yet
+        self.new: list[tuple[np.ndarray, list[bytes], bool]] = []
+
+    def _numbered(self, found: list[bytes], odd: bool) -> np.ndarray:
+        """Numbers for new runs or odd words; _merge gives them ids."""
+        numbers = np.arange(self.known, self.known + len(found), dtype=np.int32)
+        self.known += len(found)
+        self.new.append((numbers, found, odd))
+        return numbers
+
+    def _merge(self) -> None:
+        """Ids for all that is new, at once."""
+        if not self.new:
+            return
+        ids: list[bytes] = [b""] * (self.known - len(self.starts))
+        for odd in (False, True):
+            lots = [(n, found) for n, found, o in self.new if o == odd]
+            words = [w for _, found in lots for w in found]
+            if words:
+                made = self._whole([w.decode() for w in words]) if odd else self.merges.encode(words)
+                for k, x in zip(np.concatenate([n for n, _ in lots]).tolist(), made):
+                    ids[k - len(self.starts)] = x
+        sizes = np.array([len(x) // 2 for x in ids], np.int64)
+        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), np.uint16))
+        self.new = []
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -237,20 +261,20 @@ class WordTokenizer:
             kind[_spans(begin, gaps[np.searchsorted(gaps, begin)] - begin)] = ODD
         return kind
 
-    def _piece(self, text: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the units of a text that begins and ends with a space, and the start and size in the pool of each one's ids."""
+    def _piece(self, text: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the units of a text that begins and ends with a space, and each one's number."""
         kind = self._classes(text)
         cuts = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) + 1
         size = np.diff(np.append(cuts, len(text)))
         real = kind[cuts] != SPACE
         cuts, size = cuts[real], size[real]
         odd = kind[cuts] == ODD
-        starts, sizes = np.empty(len(cuts), np.int64), np.empty(len(cuts), np.int64)
+        numbers = np.empty(len(cuts), np.int32)
         if odd.any():
             words = [raw[a : a + n] for a, n in zip(cuts[odd].tolist(), size[odd].tolist())]
             new = [w for w in dict.fromkeys(words) if w not in self.odd]
-            self.odd.update(zip(new, zip(*(x.tolist() for x in self._added(self._whole([w.decode() for w in new]))))))
-            starts[odd], sizes[odd] = np.array([self.odd[w] for w in words]).T
+            self.odd.update(zip(new, self._numbered(new, odd=True).tolist()))
+            numbers[odd] = [self.odd[w] for w in words]
         plain = np.flatnonzero(~odd)
         at, n = cuts[plain], size[plain]
         # eight bytes from every position on, then up to RUN_BYTES of every run
@@ -270,12 +294,12 @@ class WordTokenizer:
         if len(missing):
             run = first[missing]
             lower = text.tobytes()
-            new = self._added(self.merges.encode([lower[a : a + m] for a, m in zip(at[run].tolist(), n[run].tolist())]))
+            new = self._numbered([lower[a : a + m] for a, m in zip(at[run].tolist(), n[run].tolist())], odd=False)
             at_key = where[missing]
-            self.keys, self.starts, self.sizes = (np.insert(old, at_key, x) for old, x in ((self.keys, distinct[missing]), (self.starts, new[0]), (self.sizes, new[1])))
+            self.keys, self.numbers = np.insert(self.keys, at_key, distinct[missing]), np.insert(self.numbers, at_key, new)
             where = np.searchsorted(self.keys, distinct)
-        starts[plain], sizes[plain] = self.starts[where][place], self.sizes[where][place]
-        return cuts, starts, sizes
+        numbers[plain] = self.numbers[where][place]
+        return cuts, numbers
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, END_ID last; null is empty."""
@@ -287,30 +311,41 @@ class WordTokenizer:
         whole = dict(zip(special, self._whole([texts[k] for k in special])))
         buffer = b"\n".join([b"", *raw, b""])
         begins = np.cumsum([1, *(len(r) + 1 for r in raw)])
-        ids, units, counts, at = [], [], [], 0
+        ids, units, counts, lot, at, merged = [], [], [], [], 0, 0
         while at < len(buffer) - 1:
             stop = len(buffer)
             if stop - at > PIECE_BYTES and (gap := _GAP.search(buffer, at + PIECE_BYTES)):
                 stop = gap.end()
-            if len(self.keys) + len(self.odd) > KNOWN_RUNS:
-                self._forget()
             piece = buffer[at:stop]
-            found, starts, sizes = self._piece(self._lowered(piece), piece)
-            ids.append(self.pool[_spans(starts, sizes)])
+            found, numbers = self._piece(self._lowered(piece), piece)
             units.append(found + at)
-            counts.append(sizes)
+            lot.append(numbers)
             at = stop - 1
+            if at - merged >= MERGED_BYTES or at >= len(buffer) - 1:
+                self._merge()
+                for numbers in lot:
+                    counts.append(self.sizes[numbers])
+                    ids.append(self.pool[_spans(self.starts[numbers], counts[-1])])
+                lot, merged = [], at
+                if self.known > KNOWN_RUNS:
+                    self._forget()
         flat = np.concatenate(ids).tobytes() if ids else b""
         total = np.append(0, np.cumsum(np.concatenate(counts))) if counts else np.zeros(1, np.int64)
         bounds = 2 * total[np.searchsorted(np.concatenate(units), begins)] if units else np.zeros(len(begins), np.int64)
         return [whole[k] + end if k in whole else flat[a:b] + end for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))]
 
 
+@cache
+def _word_tokenizer(path: str) -> WordTokenizer:
+    """One per worker, so that its tasks share the runs that they have met."""
+    return WordTokenizer(path)
+
+
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id as a string, ids): one row per document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = _word_tokenizer(path)
         for batch in batches:
             for at in range(0, len(batch), TOKENIZED_DOCS):
                 part = batch[at : at + TOKENIZED_DOCS]

@@ -577,3 +577,18 @@ def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected_components(links).collect()}
     assert got == {k: 0 for k in range(101)} | {200: 200, 201: 200}
+
+
+def test_new_runs_of_several_pieces_are_merged_at_once(monkeypatch):
+    monkeypatch.setattr(packing, "PIECE_BYTES", 1 << 10)
+    texts = [" ".join(f"{'abcdefghij'[k % 10]}{'klmno'[k % 5]}{'xyz'[j % 3]}é 4{k}, don't ждать{k % 7}" for k in range(j, j + 90)) for j in range(20)]
+    tokenizer, calls = packing.WordTokenizer(packing.default_tokenizer()), []
+    monkeypatch.setattr(tokenizer, "merges", type("Counted", (), {"encode": lambda self, runs, inner=tokenizer.merges: calls.append(len(runs)) or inner.encode(runs)})())
+    got = tokenizer.encode(texts)
+    assert len(calls) == 1 and tokenizer.encode(texts) == got and len(calls) == 1
+    whole = tokenizer.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*e.ids, packing.END_ID] for e in whole]
+    # lots that end within the texts, and forgetting after each, give the same ids
+    monkeypatch.setattr(packing, "MERGED_BYTES", 3 << 10)
+    monkeypatch.setattr(packing, "KNOWN_RUNS", 0)
+    assert packing.WordTokenizer(packing.default_tokenizer()).encode(texts) == got
